@@ -57,8 +57,13 @@ def _windows(w: Column, length: int) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(w, i + 1, length)).alias("a"), F.xxhash64(F.lit(1), F.slice(w, i + 1, length)).alias("b")))
 
 
+def _rows(df: DataFrame, keys: list[str], array: Column, name: str) -> DataFrame:
+    """A row for each entry. explode() would have Spark filter by the array's size first, and work the array out for that."""
+    return df.select(*keys, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def _exploded(df: DataFrame, keys: list[str], length: int) -> DataFrame:
-    return df.select(*keys, F.explode(_windows(F.col("w"), length)).alias("x")).select(*keys, F.lit(length).alias("n"), "x.*")
+    return _rows(df, keys, _windows(F.col("w"), length), "x").select(*keys, F.lit(length).alias("n"), "x.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -76,11 +81,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         wanted = wanted.union(_exploded(items.where(F.size("w") == n), ["item"], n))
     wanted = materialize(wanted.select("n", "a", "b", "item").distinct(), "windows")
     windows = materialize(wanted.select("n", "a", "b").distinct(), "spans")
-    prints = materialize(winnow(items.where(F.size("w") >= SPAN)).select(F.explode("prints").alias("print")).distinct(), "prints")
+    prints = materialize(_rows(winnow(items), [], F.col("prints"), "print").distinct(), "prints")
 
     keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
     hashed = words(keyed).drop("text")
-    met = winnow(hashed.where(F.size("w") >= SPAN)).select("key", F.explode("prints").alias("print")).join(small(prints, BROADCAST_ROWS), "print", "left_semi")
+    met = _rows(winnow(hashed), ["key"], F.col("prints"), "print").join(small(prints, BROADCAST_ROWS), "print", "left_semi")
     met = materialize(met.select("key").distinct(), "met")
     near = words(keyed.join(small(met, BROADCAST_ROWS), "key", "left_semi")).select("key", "w")
     spans = _exploded(near, ["key"], SPAN)

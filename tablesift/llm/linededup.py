@@ -26,6 +26,14 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _distinct_lines(docs: DataFrame, *keys: Column | str) -> DataFrame:
+    """(keys, h, g): two hashes of each of a document's distinct lines that count. explode() would have Spark filter by the
+    array's size first, and split the text once more for that."""
+    each = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), _counted), F.trim))
+    lines = docs.select(*keys, F.explode_outer(each).alias("line")).where(F.col("line").isNotNull())
+    return lines.withColumns({"h": F.xxhash64("line"), "g": F.hash("line")}).drop("line")
+
+
 def _counted(line: Column) -> Column:
     return line.rlike("[^ ]+" + " +[^ ]+" * (MIN_WORDS - 1))
 
@@ -33,9 +41,7 @@ def _counted(line: Column) -> Column:
 def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """(h, g, home, spread) of each line on at least so many sites: two hashes of the trimmed line, its home and its
     number of sites, estimated unless `exact`."""
-    each = F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), _counted), F.trim))).alias("line")
-    lines = docs.select("doc_id", F.coalesce("source", F.lit(NO_SITE)).alias("site"), each)
-    lines = lines.select("doc_id", "site", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    lines = _distinct_lines(docs, "doc_id", F.coalesce("source", F.lit(NO_SITE)).alias("site"))
     seen = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("doc_id").alias("home"))
     low, high = sites * (1 - MARGIN) - 1, sites * (1 + MARGIN) + 1
     spread = materialize(seen.select("h", "g", "home", F.hll_sketch_estimate("sketch").alias("spread")).where(F.col("spread") >= low), "spread")
@@ -57,8 +63,7 @@ def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """
     cut = boilerplate(docs, sites)
     keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    here = keyed.select("doc_id", "_key", F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), _counted), F.trim))).alias("line"))
-    here = here.select("doc_id", "_key", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    here = _distinct_lines(keyed, "doc_id", "_key")
     hits = here.join(small(cut.select("h", "g", "home"), 500_000), ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("home")))
     by_doc = materialize(hits.groupBy("_key").agg(F.collect_set("h").alias("_cut")), "cut")
     weight = by_doc.agg(F.sum(F.size("_cut"))).first()[0] or 0
