@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["license", "linededup", "langid", "mixing", "fingerprint", "warc", "decontaminate", "simhash"]
+MODULES = ["quality", "license", "linededup", "suffix", "langid", "mixing", "fingerprint", "warc", "decontaminate", "simhash"]
 
 
 def queries() -> dict:
