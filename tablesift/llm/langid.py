@@ -199,6 +199,22 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, bits double")
 
 
+def with_known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs without those that `identify` calls `und`, each with the predicted language as its lang. Rows pass through one by one."""
+    model = model or train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in slices(batches, text, 1 << 20):
+            best = code_lengths(model, *joined(batch.column(text))).argmin(1)
+            names = pa.array([model.languages[i] for i in best], pa.string())
+            yield pa.RecordBatch.from_arrays([names if i == lang else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return docs.where(F.col("text").rlike(r"\p{L}") & F.lit(model is not None)).mapInArrow(run, docs.schema)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 

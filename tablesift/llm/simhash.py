@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, byte_texts, discard, materialize, slices, table
+from .common import ASCII_LOWER, byte_texts, discard, materialize, row_key, slices, small, table
 from .graph import connected_components
 
 SHINGLE = 3
@@ -51,9 +51,9 @@ def simhash(text: bytes, n: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1, 8 << 20):
-        prints = np.array([simhash(t) for t in byte_texts(batch.column(1))], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+    for batch in slices(batches, 2, 8 << 20):
+        prints = np.array([simhash(t) for t in byte_texts(batch.column(2))], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "key", "fp"])
 
 
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -161,14 +161,10 @@ def _choices(fp: F.Column) -> list[F.Column]:
     return out
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, more columns or none. Gives a row for each of its rows: doc_id, fp (long), component_id.
-
-    A null or wordless text has fingerprint zero and links like any other; repeated rows give repeated rows; a
-    null doc_id never is a component's id unless its component has no other (then that is null); an empty table
-    gives an empty result.
-    """
-    prints = materialize(docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long"), "prints")
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, fp) of each row, and (fp, comp, component_id) of each fingerprint; comp is the component's smallest fingerprint."""
+    keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    prints = materialize(keyed.mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, fp long"), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     spread = distinct.select("fp", F.explode(F.array(*_choices(F.col("fp")))).alias("c")).select("c.key", "c.tail", "fp")
     edges = spread.repartition("key").sortWithinPartitions("key", "tail").mapInArrow(_bucket_links, "u long, v long")
@@ -176,17 +172,36 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     named = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "first")
     named = materialize(named, "named")
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    final = materialize(named.join(least, "comp").select("fp", "component_id"), "component")
+    final = materialize(named.join(least, "comp").select("fp", "comp", "component_id"), "component")
     discard(distinct, named)
+    return prints, final
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, more columns or none. Gives a row for each of its rows: doc_id, fp (long), component_id.
+
+    A null or wordless text has fingerprint zero and links like any other; repeated rows give repeated rows; a
+    null doc_id never is a component's id unless its component has no other (then that is null); an empty table
+    gives an empty result.
+    """
+    prints, final = _components(docs)
     return prints.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each component: the one with its smallest doc_id."""
-    found = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = found.select("doc_id").distinct()
-    kept = docs.join(ids.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs without all but one row of each component: the one with its smallest doc_id (a null one only if there is no other).
+    Only the rows of components of several are looked up again; repeated rows are dropped too."""
+    prints, final = _components(docs)
+    rows = prints.join(final, "fp")
+    several = rows.groupBy("comp").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("one")).where("n > 1")
+    several = materialize(several.select("comp", F.col("one.key").alias("one")), "several")
+    members = rows.join(several, "comp").select("key", "one")
+    gone = materialize(members.where("key <> one").select(F.col("key").alias("_gone")).distinct(), "gone")
+    repeated = members.where("key = one").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
+    kept = keyed.join(small(gone, 500_000), F.col("_key") == F.col("_gone"), "left_anti")
+    kept = kept.dropDuplicates(["_key"]) if repeated else kept
+    return kept.select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
