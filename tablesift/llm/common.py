@@ -43,12 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") if "://" in base else f"file://{os.path.abspath(base)}"
 
 
+#: With this setting Spark deletes an execution's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends here, and a lost
-    executor costs no recomputation of what came before."""
+    executor costs no recomputation of what came before. The shuffle files of the way there go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tablesift/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tablesift_path = path
     return out

@@ -8,7 +8,8 @@ neighbouring suffixes go through the first passes together, as one row:
 1. The digit of a suffix is the GRAM-byte string with the least hash among those in its window (the first, if
    several). Equal windows have equal ones at equal places, and about DEPTH - GRAM suffixes in a row share one: a run.
 2. The digit is all bytes that the windows of a run cover. Runs that are equal to another are repeated as a whole.
-3. Groups that hold different runs are dealt out suffix by suffix, by all DEPTH bytes; each distinct run takes part once.
+3. The digit is all DEPTH bytes of a suffix, in the groups that hold different runs; each distinct run takes part once. A task
+   takes whole groups of up to GROUP distinct runs; the suffixes of larger ones are dealt out one by one.
 
 Digits are 64-bit digests in pass 1, where a clash only costs work, and 128-bit ones in passes 2 and 3.
 """
@@ -30,6 +31,8 @@ DEPTH = 200
 GRAM = 64
 #: Bytes that a task works on at once; longer texts are cut, with DEPTH - 1 bytes shared.
 PIECE = 1 << 20
+#: Distinct runs that share their first digit and are handled in one task.
+GROUP = 2048
 #: Per-document tables are broadcast up to so many entries.
 BROADCAST_ENTRIES = 1_000_000
 
@@ -115,19 +118,77 @@ def _runs(depth: int, gram: int, whole: bool):
     return emit
 
 
-def _suffixes(depth: int):
-    """Rows (key, text, runs) to a row for each suffix of the runs, which are structs (lo, n, c1, c2), once for each c1, c2."""
+KIND = "h long, c1 long, c2 long, lone boolean, hot boolean, data binary"
+
+
+def _kinds(depth: int):
+    """Rows (key, text, runs) to a row KIND for each kind of run asked for, with all bytes that its windows cover."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
+            out = []
             for text, runs in zip(byte_texts(batch.column(1)), batch.column(2).to_pylist()):
-                out: list[tuple] = []
-                for run in {(r["c1"], r["c2"]): r for r in runs}.values():
-                    out += [(run["c1"], run["c2"], j, xxhash.xxh3_128_digest(text[run["lo"] + j : run["lo"] + j + depth])) for j in range(run["n"] + 1)]
-                if out:
-                    c1, c2, j, digest = zip(*out)
-                    w1, w2 = _longs(list(digest))
-                    yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(j, pa.int32())], names=["w1", "w2", "c1", "c2", "j"])
+                for r in {(r["c1"], r["c2"]): r for r in runs}.values():
+                    out.append((r["h"], r["c1"], r["c2"], r["lone"], r["hot"], text[r["lo"] : r["lo"] + r["n"] + depth]))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["h", "c1", "c2", "lone", "hot", "data"])
+
+    return emit
+
+
+def _spread(depth: int):
+    """Rows KIND to a row for each suffix, with its last digit."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 5, 1 << 20):
+            out = [(c1, c2, j, xxhash.xxh3_128_digest(data[j : j + depth])) for c1, c2, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 5))) for j in range(len(data) - depth + 1)]
+            c1, c2, j, digest = zip(*out)
+            w1, w2 = _longs(list(digest))
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(j, pa.int32())], names=["w1", "w2", "c1", "c2", "j"])
+
+    return emit
+
+
+def _group_parts(kinds: list[tuple], depth: int) -> list[tuple[int, int, int, int]]:
+    """(c1, c2, a, b) of a group's lone kinds (c1, c2, lone, data): windows a to b also occur in another kind."""
+    first: dict[bytes, int] = {}
+    shared: set[bytes] = set()
+    digests = []
+    for i, (*_, data) in enumerate(kinds):
+        own = [xxhash.xxh3_128_digest(data[j : j + depth]) for j in range(len(data) - depth + 1)]
+        shared.update(w for w in own if first.setdefault(w, i) != i)
+        digests.append(own)
+    out = []
+    for (c1, c2, lone, _), own in zip(kinds, digests):
+        if lone:
+            at = [j for j, w in enumerate(own) if w in shared]
+            out += [(c1, c2, a, b - 1) for a, b in merged([(j, j + 1) for j in at])]
+    return out
+
+
+def _matched(depth: int):
+    """Rows KIND, sorted by h, to (c1, c2, a, b)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        now, out = None, []
+        names = ["c1", "c2", "a", "b"]
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([],) * 4)], names=names)
+
+        for batch in slices(batches, 5, 4 << 20):
+            for h, c1, c2, lone, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))):
+                if h != now:
+                    out += _group_parts(group, depth)
+                    group, now = [], h
+                group.append((c1, c2, lone, data))
+            if len(out) > 10_000:
+                yield made()
+                out = []
+        out += _group_parts(group, depth)
+        yield made()
 
     return emit
 
@@ -170,22 +231,26 @@ def repeated_spans(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Da
     runs = keyed.mapInArrow(_runs(depth, gram, True), "key long, lo long, n int, h long, c1 long, c2 long")
     runs = materialize(runs.join(shared, "h"), "runs")
     whole = materialize(runs.groupBy("h", "c1", "c2").agg(F.count("*").alias("c"), F.min("key").alias("key")), "whole")
-    mixed = materialize(whole.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h"), "mixed")
-    open_ = materialize(whole.join(mixed, "h").select("key", "c1", "c2", "c"), "open")
-    # the suffixes of one run of each kind, cut anew from the texts
-    asked = runs.join(open_.drop("c"), ["key", "c1", "c2"]).groupBy("key").agg(F.collect_list(F.struct("lo", "n", "c1", "c2")).alias("runs"))
+    mixed = materialize(whole.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    open_ = whole.join(mixed, "h").select("h", "key", "c1", "c2", (F.col("c") == 1).alias("lone"), (F.col("kinds") > GROUP).alias("hot"))
+    # one run of each kind, cut anew from the texts
+    asked = runs.drop("h").join(materialize(open_, "open"), ["key", "c1", "c2"]).groupBy("key").agg(F.collect_list(F.struct("h", "lo", "n", "c1", "c2", "lone", "hot")).alias("runs"))
     asked = materialize(asked, "asked")
-    suffixes = keyed.join(_light(asked, "runs"), "key").select("key", "text", "runs").mapInArrow(_suffixes(depth), "w1 long, w2 long, c1 long, c2 long, j int")
-    suffixes = materialize(suffixes, "suffixes")
-    equal = materialize(suffixes.groupBy("w1", "w2").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("w1", "w2"), "equal")
-    single = suffixes.join(equal, ["w1", "w2"]).join(open_.where("c = 1").select("c1", "c2"), ["c1", "c2"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_set("j")).alias("js"))
-    # a kind of run and the parts of it that are repeated, as offsets of first and last window starts
-    part = F.transform(F.filter("js", lambda j: ~F.array_contains("js", j - 1)), lambda a: F.struct(a.cast("long").alias("a"), F.array_min(F.filter("js", lambda j: (j >= a) & ~F.array_contains("js", j + 1))).cast("long").alias("b")))
+    kinds = materialize(keyed.join(_light(asked, "runs"), "key").select("key", "text", "runs").mapInArrow(_kinds(depth), KIND), "kinds")
+    parts = kinds.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(_matched(depth), "c1 long, c2 long, a long, b long")
+    if kinds.where("hot").limit(1).count():
+        suffixes = materialize(kinds.where("hot").mapInArrow(_spread(depth), "w1 long, w2 long, c1 long, c2 long, j int"), "suffixes")
+        equal = materialize(suffixes.groupBy("w1", "w2").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("w1", "w2"), "equal")
+        lone = kinds.where("hot and lone").select("c1", "c2")
+        js = suffixes.join(equal, ["w1", "w2"]).join(lone, ["c1", "c2"]).groupBy("c1", "c2").agg(F.collect_set("j").alias("js"))
+        stretch = F.transform(F.filter("js", lambda j: ~F.array_contains("js", j - 1)), lambda a: F.struct(a.cast("long").alias("a"), F.array_min(F.filter("js", lambda j: (j >= a) & ~F.array_contains("js", j + 1))).cast("long").alias("b")))
+        parts = parts.union(js.select("c1", "c2", F.inline(stretch)))
+    parts = materialize(parts, "parts")
     repeated = runs.join(materialize(whole.where("c > 1").select("c1", "c2"), "repeated"), ["c1", "c2"]).select("key", "lo", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
-    partly = runs.join(materialize(single.select("c1", "c2", part.alias("parts")), "parts"), ["c1", "c2"]).select("key", "lo", F.inline("parts"))
+    partly = runs.join(parts, ["c1", "c2"]).select("key", "lo", "a", "b")
     spans = repeated.union(partly).groupBy("key").agg(F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + depth).alias("b"))).alias("spans"))
     out = materialize(spans, "spans")
-    discard(shared, runs, whole, mixed, open_, asked, suffixes, equal)
+    discard(shared, runs, whole, mixed, asked, kinds, parts)
     return out
 
 

@@ -48,11 +48,12 @@ def test_against_brute_force(spark, monkeypatch, depth, gram, piece):
     monkeypatch.setattr(suffix, "PIECE", piece)
     data = texts(depth)
     rows = [(i, t, "clash", "clash", "clash") for i, t in enumerate(data)]
-    for entries in (suffix.BROADCAST_ENTRIES, 0):  # both ways of joining
+    for entries, group in ((suffix.BROADCAST_ENTRIES, suffix.GROUP), (0, 3)):  # both ways of joining, and of the last pass
         monkeypatch.setattr(suffix, "BROADCAST_ENTRIES", entries)
+        monkeypatch.setattr(suffix, "GROUP", group)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in dedup_substrings(spark.createDataFrame(rows, SCHEMA), depth, gram).collect()}
         assert [got[i] for i in range(len(data))] == brute(data, depth)
-        if depth != 40:
+        if depth == 200:
             break
 
 
