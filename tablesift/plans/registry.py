@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import lake_queries, stats_queries
+
 FLAGSHIP = "topk_joinable_columns"
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES = {**lake_queries.QUERIES, **stats_queries.QUERIES}
+ORACLE = {**lake_queries.ORACLE, **stats_queries.ORACLE}
