@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, slices, small, table
+from .common import joined, map_rows, slices, small, table
 
 SAMPLE_BYTES = 6 << 20
 MAX_SYMBOLS = 128
@@ -52,14 +52,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _padded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Three zero bytes before each row: the array, and for each byte of `data` its place there."""
-    place = np.arange(len(data), dtype=np.int64)
-    row = np.searchsorted(starts, place, side="right")
-    place += ORDER * row
-    out = np.zeros(len(data) + ORDER * len(starts), dtype=data.dtype)
-    out[place] = data
-    return out, place
+#: Bytes that are worked on at once.
+CHUNK = 1 << 18
+
+
+def _contexts(data: np.ndarray, offsets: np.ndarray, pad: int) -> Iterator[tuple]:
+    """(from, to, a, b, c, d) for stretches of the rows' values, laid end to end: each value d and the three before it in its row,
+    `pad` where there are none."""
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    for s in range(0, len(data), CHUNK):
+        e = min(len(data), s + CHUNK)
+        ext = np.full(e - s + ORDER, pad, dtype=np.int64)
+        ext[ORDER - min(s, ORDER) :] = data[max(0, s - ORDER) : e]
+        before = [ext[ORDER - k : len(ext) - k].copy() for k in range(1, ORDER + 1)]
+        near = heads[(heads > s - ORDER) & (heads < e)] - s
+        for k, values in enumerate(before, 1):
+            for i in range(k):
+                at = near + i
+                values[at[(at >= 0) & (at < e - s)]] = pad
+        yield s, e, before[2], before[1], before[0], ext[ORDER:]
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,12 +79,9 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, codes = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
         for i, name in enumerate(names):
             data, offsets = joined(batch.column(1).filter(pa.array(codes == i)))
-            if not len(data):
-                continue
-            full, at = _padded(data, offsets[:-1])
-            full = full.astype(np.uint32)
-            gram, n = np.unique(full[at - 3] << 24 | full[at - 2] << 16 | full[at - 1] << 8 | full[at], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            for _, _, a, b, c, d in _contexts(data, offsets, 0):
+                gram, n = np.unique(a << 24 | b << 16 | c << 8 | d, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def _blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -141,23 +149,15 @@ def fit(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model | None:
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each row in each language; the rows' bytes stand end to end."""
     out = np.zeros((len(offsets) - 1, len(model.languages)))
-    if not len(data):
-        return out
     size = model.symbols
-    full, at = _padded(model.symbol[data], offsets[:-1])
-    # the padding is byte 0, whatever symbol that is
-    if model.symbol[0]:
-        pad = np.ones(len(full), dtype=bool)
-        pad[at] = False
-        full[pad] = model.symbol[0]
-    a, b, c, d = full[at - 3], full[at - 2], full[at - 1], full[at]
-    front = model.pair[a * size + b]
-    deep = np.where(front > 0, model.triple[np.where(front > 0, (front - size) * size + c, 0)], 0)
-    two = model.pair[b * size + c]
-    node = np.where(deep > 0, deep, np.where(two > 0, two, c))
-    bits = model.bits[node.astype(np.int64) * size + d]
-    full_rows = np.flatnonzero(np.diff(offsets))
-    out[full_rows] = np.add.reduceat(bits, offsets[full_rows], axis=0, dtype=np.float64)
+    filled = np.flatnonzero(np.diff(offsets))
+    for s, e, a, b, c, d in _contexts(model.symbol[data], offsets, int(model.symbol[0])):  # before a text stand zero bytes
+        front = model.pair[a * size + b]
+        deep = np.where(front > 0, model.triple[np.where(front > 0, (front - size) * size + c, 0)], 0)
+        two = model.pair[b * size + c]
+        node = np.where(deep > 0, deep, np.where(two > 0, two, c))
+        rows = filled[(offsets[filled] < e) & (offsets[filled + 1] > s)]
+        out[rows] += np.add.reduceat(model.bits[node * size + d], np.maximum(offsets[rows], s) - s, axis=0, dtype=np.float64)
     return out
 
 
@@ -168,7 +168,7 @@ def train(docs: DataFrame, seed: int = SEED) -> Model | None:
     rate = docs.sparkSession.createDataFrame([(r["lang"], float(r["share"])) for r in sums.collect()], "lang string, share double")
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(small(rate, 100_000), "lang").where(part < F.col("share")).select("lang", "text")
-    counted = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.transform(map_rows, _grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     return fit(np.array(counted["lang"].to_pylist(), dtype=object), np.asarray(counted["gram"]), np.asarray(counted["n"]))
 
 
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(bits)], names=["doc_id", "held_out", "lang_pred", "score", "bits"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, bits double")
+    return rows.transform(map_rows, run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, bits double")
 
 
 def with_known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -212,7 +212,7 @@ def with_known_language(docs: DataFrame, model: Model | None = None) -> DataFram
             names = pa.array([model.languages[i] for i in best], pa.string())
             yield pa.RecordBatch.from_arrays([names if i == lang else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.where(F.col("text").rlike(r"\p{L}") & F.lit(model is not None)).mapInArrow(run, docs.schema)
+    return docs.where(F.col("text").rlike(r"\p{L}") & F.lit(model is not None)).transform(map_rows, run, docs.schema)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

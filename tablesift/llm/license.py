@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD_BYTES, byte_texts, slices, table
+from .common import WORD_BYTES, byte_texts, map_rows, slices, table
 
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -298,7 +298,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
             columns = [pa.array([f[name] for f in found], pa.int64() if kind == "long" else pa.float64() if kind == "double" else pa.string()) for name, kind in (c.split() for c in SCHEMA.split(", "))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCHEMA}")
+    return docs.select("doc_id", "text").transform(map_rows, run, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCHEMA}")
 
 
 def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, table
+from .common import byte_texts, map_rows, slices, table
 
 #: Documents that the scorer is trained on, at most about; the posterior labels themselves come from all.
 SAMPLE = 4096
@@ -124,10 +124,11 @@ def features(texts: list[bytes], stats: list[list[float] | None]) -> np.ndarray:
     """Hashed features, a row for each text: square roots of trigram shares, and ones for the bins of its statistics."""
     out = np.zeros((len(texts), BUCKETS), dtype=np.float32)
     for i, (text, s) in enumerate(zip(texts, stats)):
-        b = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
-        if len(b) > 2:
-            h = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(21)
-            out[i] = np.sqrt(np.bincount(h, minlength=BUCKETS) / len(h))
+        counts = np.zeros(BUCKETS)
+        for at in range(0, len(text) - 2, 1 << 20):
+            b = np.frombuffer(text[at : at + (1 << 20) + 2], dtype=np.uint8).astype(np.uint32)
+            counts += np.bincount((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(21), minlength=BUCKETS)
+        out[i] = np.sqrt(counts / max(1, len(text) - 2))
         if s is not None:
             for j, level in enumerate(np.searchsorted(EDGES, s)):
                 out[i, (j * 64 + int(level)) * 2654435761 % 2**32 >> 21] += 1
@@ -166,12 +167,12 @@ def classify(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFra
     scored alike, and count each in the estimates. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(_voted, "pattern long").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
+    counted = docs.select("text").transform(map_rows, _voted, "pattern long").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
     patterns, counts = np.array([r["pattern"] for r in counted], dtype=np.int64), np.array([r["n"] for r in counted], dtype=float)
     prior, chance = estimate(patterns, counts, len(LABELLERS)) if len(patterns) else (0.5, np.full((2, len(LABELLERS), 3), 1 / 3))
     share = min(1.0, sample / max(1.0, counts.sum()))
     part = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))
-    drawn = docs.where(part).select("text").mapInArrow(_featured, "pattern long, x binary").toArrow()
+    drawn = docs.where(part).select("text").transform(map_rows, _featured, "pattern long, x binary").toArrow()
     x = np.frombuffer(b"".join(drawn["x"].to_pylist()), dtype=np.float16).reshape(-1, BUCKETS).astype(np.float32)
     label = posterior(np.asarray(drawn["pattern"]), prior, chance) if len(x) else np.zeros(0)
     order = np.lexsort((label, x[:, 1], x[:, 0])) if len(x) else np.zeros(0, dtype=int)  # sums don't depend on how tasks end
@@ -187,7 +188,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFra
             weak = posterior(np.array([pattern(p) for p in v], dtype=np.int64), prior, chance)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weak), pa.array(score.astype(np.float64)), pa.array(score >= KEEP), pa.array([sum(p > 0 for p in q) for q in v], pa.int64())], names=["doc_id", "weak", "score", "keep", "n_votes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, weak double, score double, keep boolean, n_votes long")
+    return docs.select("doc_id", "text").transform(map_rows, run, f"doc_id {dict(docs.dtypes)['doc_id']}, weak double, score double, keep boolean, n_votes long")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, byte_texts, discard, materialize, row_key, slices, small, table
+from .common import ASCII_LOWER, byte_texts, discard, map_rows, materialize, row_key, slices, small, table
 from .graph import connected_components
 
 SHINGLE = 3
@@ -164,10 +164,10 @@ def _choices(fp: F.Column) -> list[F.Column]:
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, fp) of each row, and (fp, comp, component_id) of each fingerprint; comp is the component's smallest fingerprint."""
     keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    prints = materialize(keyed.mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, fp long"), "prints")
+    prints = materialize(keyed.transform(map_rows, _fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, fp long"), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     spread = distinct.select("fp", F.explode(F.array(*_choices(F.col("fp")))).alias("c")).select("c.key", "c.tail", "fp")
-    edges = spread.repartition("key").sortWithinPartitions("key", "tail").mapInArrow(_bucket_links, "u long, v long")
+    edges = spread.repartition("key").sortWithinPartitions("key", "tail").transform(map_rows, _bucket_links, "u long, v long")
     comps = connected_components(edges)
     named = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "first")
     named = materialize(named, "named")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, discard, materialize, row_key, slices, table
+from .common import byte_texts, discard, map_rows, materialize, row_key, slices, table
 
 DEPTH = 200
 GRAM = 64
@@ -226,9 +226,9 @@ def _light(df: DataFrame, array: str) -> DataFrame:
 def repeated_spans(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """keyed: key, text. Gives (key, spans): the byte intervals [a, b) covered by repeated windows, not yet united,
     for keys that have any."""
-    first = keyed.mapInArrow(_runs(depth, gram, False), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    first = keyed.transform(map_rows, _runs(depth, gram, False), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     shared = materialize(first, "digits")
-    runs = keyed.mapInArrow(_runs(depth, gram, True), "key long, lo long, n int, h long, c1 long, c2 long")
+    runs = keyed.transform(map_rows, _runs(depth, gram, True), "key long, lo long, n int, h long, c1 long, c2 long")
     runs = materialize(runs.join(shared, "h"), "runs")
     whole = materialize(runs.groupBy("h", "c1", "c2").agg(F.count("*").alias("c"), F.min("key").alias("key")), "whole")
     mixed = materialize(whole.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
@@ -236,10 +236,10 @@ def repeated_spans(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Da
     # one run of each kind, cut anew from the texts
     asked = runs.drop("h").join(materialize(open_, "open"), ["key", "c1", "c2"]).groupBy("key").agg(F.collect_list(F.struct("h", "lo", "n", "c1", "c2", "lone", "hot")).alias("runs"))
     asked = materialize(asked, "asked")
-    kinds = materialize(keyed.join(_light(asked, "runs"), "key").select("key", "text", "runs").mapInArrow(_kinds(depth), KIND), "kinds")
-    parts = kinds.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(_matched(depth), "c1 long, c2 long, a long, b long")
+    kinds = materialize(keyed.join(_light(asked, "runs"), "key").select("key", "text", "runs").transform(map_rows, _kinds(depth), KIND), "kinds")
+    parts = kinds.where("not hot").repartition("h").sortWithinPartitions("h").transform(map_rows, _matched(depth), "c1 long, c2 long, a long, b long")
     if kinds.where("hot").limit(1).count():
-        suffixes = materialize(kinds.where("hot").mapInArrow(_spread(depth), "w1 long, w2 long, c1 long, c2 long, j int"), "suffixes")
+        suffixes = materialize(kinds.where("hot").transform(map_rows, _spread(depth), "w1 long, w2 long, c1 long, c2 long, j int"), "suffixes")
         equal = materialize(suffixes.groupBy("w1", "w2").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("w1", "w2"), "equal")
         lone = kinds.where("hot and lone").select("c1", "c2")
         js = suffixes.join(equal, ["w1", "w2"]).join(lone, ["c1", "c2"]).groupBy("c1", "c2").agg(F.collect_set("j").alias("js"))
@@ -264,7 +264,7 @@ def dedup_substrings(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
     spans = repeated_spans(keyed, depth, gram)
     rows = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key")).join(_light(spans, "spans"), "key", "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(_cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.select("doc_id", "text", "spans").transform(map_rows, _cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

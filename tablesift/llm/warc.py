@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, slices, small, table
+from .common import map_rows, materialize, shared_dir, slices, small, table
 
 LEAST = 1000
 #: Index rows that one merge task holds, about.
@@ -197,10 +197,10 @@ def capture_histories(pages: DataFrame, least: int = LEAST, folder: str | None =
     rows = rows.join(small(materialize(equal, "payloads"), 500_000), "digest", "left")
     revisit = F.coalesce("copied", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("refers"))
     rows = rows.select("page_id", "url", "url_key", "html", "captured", "digest", "refers", revisit.alias("revisit"))
-    index = materialize(rows.sortWithinPartitions("url_key", "captured", "page_id").mapInArrow(_writer(folder, ARCHIVE_BYTES), INDEX), "index")
+    index = materialize(rows.sortWithinPartitions("url_key", "captured", "page_id").transform(map_rows, _writer(folder, ARCHIVE_BYTES), INDEX), "index")
     ranges = max(1, -(-index.count() // MERGE_ROWS), spark.sparkContext.defaultParallelism)
     dealt = index.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("run", "url_key", "captured", "page_id", "archive", "at")
-    return dealt.mapInArrow(_merger(folder), RESULT)
+    return dealt.transform(map_rows, _merger(folder), RESULT)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
