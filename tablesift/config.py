@@ -14,6 +14,9 @@ class Cleaning:
     elements: Mode = None
 
 
+# The defaults below are those of the workflow's published configuration.
+
+
 @dataclass(frozen=True)
 class Crawling:
     accepted_formats: tuple[str, ...] = ("CSV",)

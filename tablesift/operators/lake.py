@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Mode
 from ..functions.text import clean, is_num
+from .order import row_numbers
 
 CELL_SCHEMA = "table_id int, column_id int, row_id long, value string"
 
@@ -42,12 +43,12 @@ def unpivot(df: DataFrame, table_id: int, mode: Mode = "complex", order: list[st
     """(table_id, column_id, row_id, value) of one table. Column ids count all columns; with `indexable`, only those of strings
     take part, and nulls and numbers don't. Rows are numbered by the columns in `order`; without it row_id is null,
     as Spark's rows have no order of their own."""
-    row = F.row_number().over(Window.orderBy(*order)) - 1 if order else F.lit(None)
+    numbered = row_numbers(df, order, "_row") if order else df.withColumn("_row", F.lit(None).cast("long"))
     kept = [(i, c) for i, (c, kind) in enumerate(df.dtypes) if kind == "string" or not indexable]
     if not kept:
         return df.sparkSession.createDataFrame([], CELL_SCHEMA)
     each = F.array(*[F.struct(F.lit(i).alias("column_id"), clean(F.col(f"`{c}`"), mode).alias("value")) for i, c in kept])
-    cells = df.withColumn("_row", row.cast("long")).select("_row", F.explode(each).alias("x"))
+    cells = numbered.select("_row", F.explode(each).alias("x"))
     cells = cells.select(F.lit(table_id).alias("table_id"), "x.column_id", F.col("_row").alias("row_id"), "x.value")
     return cells.where(F.col("value").isNotNull() & ~is_num(F.col("value"))) if indexable else cells
 

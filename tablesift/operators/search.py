@@ -86,16 +86,21 @@ def similar_columns(columns: DataFrame, jaccard: float) -> DataFrame:
     """All pairs of columns of different tables with a (rounded) jaccard of at least so much, found by prefix filtering.
 
     In ascending order of frequency, two columns that similar share a value among their first n - ceil(t n) + 1; only
-    these rare values are joined, with the size filter, and what they find is verified on all values.
+    these rare values are joined, with the size filter. Pairs whose matches so far, and all that could be left, fall short are
+    dropped; the others are verified on all values.
     """
     t = jaccard - 0.0005  # the rounded value is compared
     freq = columns.groupBy("value").agg(F.count("*").alias("df"))
     n = sizes(columns)
     ranked = columns.join(freq, "value").join(n, KEYS).withColumn("at", F.row_number().over(Window.partitionBy(*KEYS).orderBy("df", "value")))
-    prefix = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * t) + 1) & (F.col("df") > 1)).select(*KEYS, "n", "value")
+    ranked = ranked.withColumn("length", F.col("n") - F.ceil(F.col("n") * t) + 1)
+    prefix = ranked.where((F.col("at") <= F.col("length")) & (F.col("df") > 1)).select(*KEYS, "n", "length", "value")
     r, s = side(prefix, "r"), side(prefix, "s")
     pairs = r.join(s, "value").where("r_table_id < s_table_id").where(F.least("r_n", "s_n") >= F.greatest("r_n", "s_n") * t)
-    pairs = pairs.select("r_table_id", "r_column_id", "s_table_id", "s_column_id").distinct()
+    pairs = pairs.groupBy("r_table_id", "r_column_id", "s_table_id", "s_column_id", "r_n", "s_n", "r_length", "s_length").agg(F.count("*").alias("met"))
+    # beyond the prefix that ends first lie at most its column's other values
+    most = F.col("met") + F.greatest(F.col("r_n") - F.col("r_length"), F.col("s_n") - F.col("s_length"))
+    pairs = pairs.where(most * (1 + t) >= t * (F.col("r_n") + F.col("s_n")) - 1e-6).select("r_table_id", "r_column_id", "s_table_id", "s_column_id")
     counted = pairs.join(side(columns, "r"), ["r_table_id", "r_column_id"]).join(side(columns, "s"), ["s_table_id", "s_column_id", "value"])
     counted = counted.groupBy("r_table_id", "r_column_id", "s_table_id", "s_column_id").agg(F.count("*").alias("k"))
     return measured(counted, n).where(F.col("jaccard") >= jaccard)

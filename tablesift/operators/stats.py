@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import row_numbers
+
 
 def majority(votes: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """The most frequent score of each key; of several the lowest. Unparsable votes (-1) count."""
@@ -37,7 +39,11 @@ def running_rate(rows: DataFrame, order: list[str], success: str, step: int, by:
     """(by..., n_rows, rate): the success rate of the first `step`, 2 `step`, ... rows. Rows are counted in blocks first, so
     that only one row per block is summed in order."""
     keys = by or []
-    numbered = rows.select(*keys, F.col(success).cast("double").alias("s"), F.row_number().over(Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)).alias("i"))
+    if keys:
+        numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        numbered = row_numbers(rows, order, "i").withColumn("i", F.col("i") + 1)
+    numbered = numbered.select(*keys, F.col(success).cast("double").alias("s"), "i")
     block = numbered.groupBy(*keys, F.ceil(F.col("i") / step).alias("b")).agg(F.count("*").alias("c"), F.sum("s").alias("s"))
     up = Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     return block.select(*keys, F.sum("c").over(up).alias("n_rows"), F.round(F.sum("s").over(up) / F.sum("c").over(up), 6).alias("rate"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablesift.config import Search
 from tablesift.functions.scoring import leaks, parse_review, parse_score, succeeded
-from tablesift.operators import lake, metadata, profile, search, sets, sqlgen, stats
+from tablesift.operators import lake, metadata, order, profile, search, sets, sqlgen, stats
 
 
 def columns(spark, sets_by_table):
@@ -109,6 +109,15 @@ def test_stats_small(spark):
     assert abs(t - 2.96552) < 1e-4 and abs(p - 0.00378) < 1e-4
 
 
+def test_row_numbers(spark):
+    values = [random.Random(3).randrange(50) for _ in range(500)] + [None, None]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int")
+    got = {r.i: r.n for r in order.row_numbers(df, ["v", "i"], "n", 8).collect()}
+    want = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0, i))
+    assert got == {i: n for n, i in enumerate(want)}
+    assert order.row_numbers(df.limit(0), ["v"], "n").count() == 0 and order.row_numbers(df.select(F.col("i").cast("string").alias("s")), ["s"], "n").agg(F.max("n")).first()[0] == 501
+
+
 def test_sets(spark):
     a = spark.createDataFrame([(1, "x", 5.0), (2, "y", 6.0), (2, "y", 6.0)], "k int, name string, v double")
     b = spark.createDataFrame([("y", 6.0, 2), ("q", 1.0, 9)], "name string, v double, k int")
