@@ -137,9 +137,10 @@ def features(texts: list[bytes], stats: list[list[float] | None]) -> np.ndarray:
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, shrink: float = 1e-4) -> np.ndarray:
     """Weights and, last, the bias, from soft labels, by gradient steps with momentum."""
+    y = y.astype(np.float32)
     w, speed, b, speed_b = np.zeros(x.shape[1], dtype=np.float32), np.zeros(x.shape[1], dtype=np.float32), 0.0, 0.0
     for _ in range(rounds if len(x) else 0):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        error = (1 / (1 + np.exp(-(x @ w + np.float32(b)))) - y).astype(np.float32)
         speed = 0.9 * speed - rate * (x.T @ error / len(x) + shrink * w).astype(np.float32)
         speed_b = 0.9 * speed_b - rate * float(error.mean())
         w, b = w + speed, b + speed_b
