@@ -13,7 +13,7 @@ from tablesift.llm.decontaminate import without_contaminated
 from tablesift.llm.langid import with_known_language
 from tablesift.llm.linededup import without_boilerplate
 from tablesift.llm.mixing import mix
-from tablesift.llm.simhash import one_of_each
+from tablesift.llm.nearcopies import one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component."""
+    """Keeps one document of each component of texts with five-word Jaccard similarity of at least 0.8."""
     return one_of_each(docs)
 
 
