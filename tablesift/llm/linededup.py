@@ -3,7 +3,8 @@
 For each line hash, HyperLogLog sketches of the sites are merged by aggregation. Lines whose
 estimate is clear of the threshold are decided by it; those near it get an exact distinct count.
 A line found on enough sites stays only in its home, the document with the smallest doc_id that has it, so a
-text that was copied as a whole survives once. Lines of fewer than `MIN_WORDS` words are never cut.
+text that was copied as a whole survives once. op3, like its SQL, never cuts lines of fewer than `MIN_WORDS` words;
+the pipeline's stage counts every line that is not blank.
 """
 
 from __future__ import annotations
@@ -26,22 +27,22 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _distinct_lines(docs: DataFrame, *keys: Column | str) -> DataFrame:
+def _distinct_lines(docs: DataFrame, words: int, *keys: Column | str) -> DataFrame:
     """(keys, h, g): two hashes of each of a document's distinct lines that count. explode() would have Spark filter by the
     array's size first, and split the text once more for that."""
-    each = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), _counted), F.trim))
+    each = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: _counted(x, words)), F.trim))
     lines = docs.select(*keys, F.explode_outer(each).alias("line")).where(F.col("line").isNotNull())
     return lines.withColumns({"h": F.xxhash64("line"), "g": F.hash("line")}).drop("line")
 
 
-def _counted(line: Column) -> Column:
-    return line.rlike("[^ ]+" + " +[^ ]+" * (MIN_WORDS - 1))
+def _counted(line: Column, words: int) -> Column:
+    return line.rlike("[^ ]+" + " +[^ ]+" * (words - 1) if words > 1 else r"(?U)\S")
 
 
-def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) -> DataFrame:
     """(h, g, home, spread) of each line on at least so many sites: two hashes of the trimmed line, its home and its
     number of sites, estimated unless `exact`."""
-    lines = _distinct_lines(docs, "doc_id", F.coalesce("source", F.lit(NO_SITE)).alias("site"))
+    lines = _distinct_lines(docs, words, "doc_id", F.coalesce("source", F.lit(NO_SITE)).alias("site"))
     seen = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("doc_id").alias("home"))
     low, high = sites * (1 - MARGIN) - 1, sites * (1 + MARGIN) + 1
     spread = materialize(seen.select("h", "g", "home", F.hll_sketch_estimate("sketch").alias("spread")).where(F.col("spread") >= low), "spread")
@@ -53,7 +54,7 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     return out
 
 
-def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) -> DataFrame:
     """docs: doc_id, text, source, more columns or none. Its rows with these changes: `text` without the lines cut,
     and new columns n_lines and n_removed, which take the place of columns so named.
 
@@ -61,15 +62,15 @@ def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     long as another document has the line, and never keeps one (unless all have null). Repeated rows are
     treated alike. An empty table gives an empty result.
     """
-    cut = boilerplate(docs, sites)
+    cut = boilerplate(docs, sites, words)
     keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    here = _distinct_lines(keyed, "doc_id", "_key")
+    here = _distinct_lines(keyed, words, "doc_id", "_key")
     hits = here.join(small(cut.select("h", "g", "home"), 500_000), ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("home")))
     by_doc = materialize(hits.groupBy("_key").agg(F.collect_set("h").alias("_cut")), "cut")
     weight = by_doc.agg(F.sum(F.size("_cut"))).first()[0] or 0
     marked = keyed.join(F.broadcast(by_doc) if weight <= 1_000_000 else by_doc, "_key", "left")
     lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda x: ~(_counted(x) & F.array_contains(F.col("_cut"), F.xxhash64(F.trim(x)))))
+    kept = F.filter(lines, lambda x: ~(_counted(x, words) & F.array_contains(F.col("_cut"), F.xxhash64(F.trim(x)))))
     marked = marked.withColumn("_kept", F.when(F.col("_cut").isNotNull(), kept))
     marked = marked.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.when(F.col("_cut").isNotNull(), F.size(lines) - F.size("_kept")).otherwise(F.lit(0)).cast("long")})
     text = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))
@@ -78,8 +79,8 @@ def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with the lines cut and n_chars set anew; documents that had nothing else are gone."""
-    out = dedup_lines(docs, sites).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s", "")) != ""))
+    """docs with the lines cut, short ones too, and n_chars set anew; documents that had nothing else are gone."""
+    out = dedup_lines(docs, sites, 1).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s", "")) != ""))
     length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return out.select(*[length.cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

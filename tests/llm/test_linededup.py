@@ -1,5 +1,6 @@
 import hashlib
 
+import corpus_pipeline
 from tablesift.llm.linededup import boilerplate, dedup_lines, without_boilerplate
 
 SCHEMA = "doc_id long, text string, source string, n_chars long, h string, n_lines string"
@@ -58,3 +59,10 @@ def test_emptied_documents_go_and_columns_stay(spark):
 
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_the_pipeline_cuts_short_lines_and_scripts_without_spaces(spark):
+    short = ["Les.", "And ornd.", "这一行在每个网站上都有", "tab\tparted\tline", "全角　空格　的行"]
+    data = [(i, "\n".join([f"own {i}", *short, "", " ", "\r"]), f"s{i}", 0, "", "") for i in range(12)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(data, SCHEMA), "").collect()}
+    assert got[0] == data[0][1] and all(got[i] == f"own {i}\n\n \n\r" for i in range(1, 12))
