@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The mix is cut into equal-token blocks. Blocks go to sources by the highest quotients target/(2i+1),
-then, the same way, from each source to its shards by size: integer quotas. Within a shard the
-documents stand in a seeded order, end to end; the quota takes whole laps of that line and then its
-first blocks. Only sums per source and per shard reach the driver (one row per source, at most
+The mix is cut into equal-token blocks of one word. Blocks go to sources by the highest quotients target/(2i+1),
+then, the same way, from each source to its shards by size: integer quotas, so a source is off by about one word whatever
+the size of the mix. Within a shard the documents stand in a seeded order, end to end; the quota takes whole laps of that
+line and then its first words. Only sums per source and per shard reach the driver (one row per source, at most
 `MAX_SHARDS` per source); no task sorts more than one shard.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,6 @@ from .common import materialize, small, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Blocks of the whole mix (or one for each word of a smaller one): a source's error is about one block.
-BLOCKS = 1 << 14
 DOCS_PER_SHARD = 250
 MAX_SHARDS = 1024
 SEED = 20240607
@@ -43,11 +42,19 @@ def targets(sizes: list[int], weights: list[float], most: float = MAX_REPEATS) -
 
 
 def sainte_lague(votes: list[float], seats: int) -> list[int]:
-    """Seats by highest quotients votes/(2i+1); ties go to the earlier entry. No votes, no seats."""
-    out = [0] * len(votes)
-    heap = [(-v, i) for i, v in enumerate(votes) if v > 0]
+    """Seats by highest quotients votes/(2i+1); ties go to the earlier entry. No votes, no seats.
+
+    All quotients above a divisor that leaves seats over are dealt at once; about one seat per entry is left to the heap.
+    """
+    out, total = [0] * len(votes), sum(votes)
+    if total <= 0:
+        return out
+    if seats > len(votes):
+        divisor = total / (seats - len(votes) / 2) * (1 + 1e-12)
+        out = [max(0, math.ceil(v / divisor - 0.5)) for v in votes]
+    heap = [(-v / (2 * n + 1), i) for i, (v, n) in enumerate(zip(votes, out)) if v > 0]
     heapq.heapify(heap)
-    for _ in range(seats if heap else 0):
+    for _ in range(seats - sum(out)):
         _, i = heap[0]
         out[i] += 1
         heapq.heapreplace(heap, (-votes[i] / (2 * out[i] + 1), i))
@@ -66,9 +73,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED)
     sized = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")), "sizes")
     sums = sorted(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["size"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))])
-    total = sum(r["size"] for r in sums)
-    block = max(1, total // BLOCKS)
-    seats = sainte_lague(goal, round(total / block))
+    seats = sainte_lague(goal, sum(r["size"] for r in sums))
     plan = [(r["source"], r["size"], t, min(MAX_SHARDS, -(-r["n"] // DOCS_PER_SHARD))) for r, t in zip(sums, goal)]
     sources = spark.createDataFrame(plan, "s string, source_size long, target double, shards int")
     at = sized.join(small(sources, 100_000), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -80,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED)
     for r, n in zip(sums, seats):
         own = by_shard[r["source"]]
         for (shard, size), k in zip(own, sainte_lague([s for _, s in own], n)):
-            quotas.append((r["source"], shard, size, min(k * block, MAX_REPEATS * size)))
+            quotas.append((r["source"], shard, size, min(k, MAX_REPEATS * size)))
     quota = spark.createDataFrame(quotas, "s string, sh int, shard_size long, quota long")
     at = at.join(small(quota, 100_000), F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("sh")))
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -61,3 +61,21 @@ def test_mix_against_its_rules(spark):
 def test_empty(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r.taken for r in mix(spark.createDataFrame([(1, None, None, "", "", "")], SCHEMA)).collect()] == [0]
+
+
+def test_a_tiny_source_beside_a_huge_one(spark):
+    rows = [(i, "w " * 400000, "huge", "", "", "") for i in range(50)] + [(100 + i, "w " * n, s, "", "", "") for s, n in (("s1", 20), ("s2", 150), ("s3", 900)) for i in range(2)]
+    got = mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    for s in ("huge", "s1", "s2", "s3"):
+        goal = next(r.target for r in got if r.source == s)
+        assert goal > 0 and abs(sum(r.taken for r in got if r.source == s) - goal) <= 0.02 * goal, s
+
+
+def test_dealing_at_once_gives_the_same_seats():
+    r = random.Random(4)
+    for _ in range(200):
+        votes = [r.choice([0, 1, 1, 7, 50, r.random() * 1000, 10**6]) for _ in range(r.randrange(1, 9))]
+        seats = r.randrange(300)
+        quotients = sorted(((-v / (2 * k + 1), i) for i, v in enumerate(votes) if v for k in range(seats)))[:seats]
+        assert sainte_lague(votes, seats) == [sum(i == j for _, j in quotients) for i in range(len(votes))]
+    assert sum(sainte_lague([5e9, 1e5, 3.0], 5_000_100_003)) == 5_000_100_003
