@@ -1,9 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
-A paragraph is a stretch of text up to a line or sentence end, of `LONGEST` characters at most. A document of more
-than `MOST` of them takes 2, 4, 8 ... consecutive ones together, so a sketch stays small whatever the text's
-length; versions are compared in the coarser of their two groupings. A digest goes to one cell of each of
-three subtables; a cell holds the count, the XOR of digests and the XOR of their checksums. Subtracting
+A paragraph is a stretch of text up to a line or sentence end, of `LONGEST` characters at most. All distinct ones of a
+document are sketched, whatever their number; the cells needed depend on the difference of two texts, not on their
+length. A digest goes to one cell of each of three subtables; a cell holds the count, the XOR of digests and the XOR of their checksums. Subtracting
 two sketches cancels what both texts have; peeling cells that hold a single digest recovers the
 others, and where that stalls the sketches are made anew, three times as large. Beyond the largest size the
 digests are compared directly. Likeness is the share of common digests in all, from the digests recovered.
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import materialize, row_key, table
 
 LONGEST = 160
-MOST = 32
 PARAGRAPH = rf"[^\n.!?|]{{1,{LONGEST}}}+[\n.!?|]*+|[\n.!?|]++"
 #: Cells of a subtable at first, and at each retry.
 SIZES = (8, 24, 72)
@@ -29,19 +27,8 @@ STRETCH, STRETCHES = 2000, 1000
 
 
 def digests(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
-
-
-def group_of(d: Column) -> Column:
-    """How many paragraphs a digest covers: the least power of two that leaves at most MOST digests."""
-    over = F.floor((F.size(d) - 1) / MOST).cast("long")
-    return F.when(F.size(d) <= MOST, F.lit(1)).otherwise(F.pow(F.lit(2), F.length(F.bin(over)))).cast("int")
-
-
-def grouped(d: Column, k: Column) -> Column:
-    """Distinct digests of each k consecutive paragraphs."""
-    at = F.sequence(F.lit(0), F.floor((F.size(d) - 1) / k).cast("int"))
-    return F.array_distinct(F.when(k <= 1, d).otherwise(F.transform(at, lambda i: F.xxhash64(F.slice(d, i * k + 1, k)))))
+    """Distinct digests of a text's paragraphs."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
 def _place(key: Column, j: int, size: int) -> Column:
@@ -169,11 +156,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     df = base.join(given, (F.col("key") == F.col("for_key")) & (F.col("key2") == F.col("for_key2")))
     df = df.select("doc_id", "next_doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", "next_all", F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - F.col("need")), "tail").alias("edited"))
     df = df.select("doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("all"), digests(F.col("edited")).alias("edited_all"), "next_all")
-    df = df.withColumns({"k": group_of(F.col("all")), "edited_k": group_of(F.col("edited_all")), "next_k": group_of(F.col("next_all"))})
-    df = df.withColumns({"ke": F.greatest("k", "edited_k"), "kn": F.greatest("k", "next_k")})
-    df = df.withColumns({"own": grouped(F.col("all"), F.col("k")), "ed": grouped(F.col("edited_all"), F.col("edited_k")), "a1": grouped(F.col("all"), F.col("ke")), "b1": grouped(F.col("edited_all"), F.col("ke")), "a2": grouped(F.col("all"), F.col("kn")), "b2": grouped(F.col("next_all"), F.col("kn"))})
-    df = df.select("doc_id", "n_chars", "edited_sha256", "next_doc_id", as_text(sketch(F.col("own"))).alias("fingerprint"), as_text(sketch(F.col("ed"))).alias("edited_fingerprint"), "a1", "b1", "a2", "b2")
-    df = likeness(likeness(df, "a1", "b1", "near_edited"), "a2", "b2", "near_next")
+    df = df.select("doc_id", "n_chars", "edited_sha256", "next_doc_id", as_text(sketch(F.col("all"))).alias("fingerprint"), as_text(sketch(F.col("edited_all"))).alias("edited_fingerprint"), "all", "edited_all", "next_all")
+    df = likeness(likeness(df, "all", "edited_all", "near_edited"), "all", "next_all", "near_next")
     return df.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_doc_id")
 
 

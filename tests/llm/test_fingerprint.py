@@ -80,3 +80,13 @@ def test_edge_rows(spark):
     assert fp.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     one = fp.fingerprints(spark.createDataFrame([(1, "abcdef", "", "", "")], SCHEMA)).first()
     assert one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
+
+
+def test_long_texts_are_compared_by_single_paragraphs(spark):
+    long = [f"Sentence {i} of a long text." for i in range(200)]
+    changed = [f"Other {i}." if i % 40 == 0 else x for i, x in enumerate(long)]
+    rows = [(i, "".join(t), "", "", "") for i, t in ((3, long), (2, ["New. ", *long]), (1, changed))]
+    got = {r.doc_id: r for r in fp.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for doc, after in ((3, 2), (2, 1), (1, 3)):
+        a, b = (set(paragraphs(next(t for i, t, *_ in rows if i == x))) for x in (doc, after))
+        assert got[doc].next_doc_id == after and abs(got[doc].near_next - len(a & b) / len(a | b)) < 1e-9 and got[doc].near_next > 0.9
