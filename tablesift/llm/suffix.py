@@ -1,17 +1,17 @@
 """Exact substring dedup by a depth-limited radix sort of suffixes.
 
-Suffixes are sorted by their first DEPTH bytes only, in most-significant-digit passes, and only to tell equal
-from different: a pass deals the suffixes of each group out by their next digit, and a group of one is dropped. What
-is equal after the last pass are exactly the repeated windows of DEPTH bytes. The digits are chosen so that
-neighbouring suffixes go through the first passes together, as one row:
-
-1. The digit of a suffix is the GRAM-byte string with the least hash among those in its window (the first, if
-   several). Equal windows have equal ones at equal places, and about DEPTH - GRAM suffixes in a row share one: a run.
-2. The digit is all bytes that the windows of a run cover. Runs that are equal to another are repeated as a whole.
-3. The digit is all DEPTH bytes of a suffix, in the groups that hold different runs; each distinct run takes part once. A task
-   takes whole groups of up to GROUP distinct runs; the suffixes of larger ones are dealt out one by one.
-
-Digits are 64-bit digests in pass 1, where a clash only costs work, and 128-bit ones in passes 2 and 3.
+Suffixes are sorted by their first DEPTH bytes only, in most-significant-digit passes: a pass orders the suffixes of each
+group by their next digit, which splits the group, and a group of one is dropped. What is equal after the last pass
+are exactly the repeated windows of DEPTH bytes. Not every suffix travels as a row of its own:
+
+* Neighbouring suffixes are one row, a run: those whose windows have the same least-hashed GRAM-byte string at the same
+  place (about DEPTH - GRAM of them). Equal windows lie in runs with equal strings, so a run whose string no
+  other run has holds no repeated window and is dropped before the sort.
+* Equal runs are one kind, sorted once. All windows of a kind that occurs twice are repeated.
+* The suffixes of the kinds that share a string are sorted: up to GROUP kinds within a task, by digits of eight bytes
+  (`sort_equal`); larger groups over the cluster, suffix by suffix, by digits of a quarter of DEPTH (`_passes`).
+
+Documents are dealt out once, into buckets by row id; all joins with texts read those.
 """
 
 from __future__ import annotations
@@ -25,16 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, discard, map_rows, materialize, row_key, slices, table
+from .common import bucketed, byte_texts, discard, map_rows, materialize, slices, table
 
 DEPTH = 200
 GRAM = 64
 #: Bytes that a task works on at once; longer texts are cut, with DEPTH - 1 bytes shared.
 PIECE = 1 << 20
-#: Distinct runs that share their first digit and are handled in one task.
-GROUP = 2048
-#: Per-document tables are broadcast up to so many entries.
-BROADCAST_ENTRIES = 1_000_000
+#: Kinds of runs with one string that are sorted within a task.
+GROUP = 64
+#: Bytes of kinds that are sorted at once there.
+AT_ONCE = 1 << 20
+#: Digits of the passes over the cluster.
+DIGITS = 4
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -57,7 +59,7 @@ def _pieces(texts: list[bytes], depth: int, most: int) -> Iterator[list[tuple[in
 
 
 def runs_of(data: bytes, lengths: list[int], depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start of each run, and where its digit lies, for texts of the given lengths laid end to end.
+    """First and last window start of each run, and where its string lies, for texts of the given lengths laid end to end.
     gram is a power of two."""
     g = _BYTE[np.frombuffer(data, dtype=np.uint8)]
     width = 1
@@ -95,11 +97,11 @@ def _longs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(depth: int, gram: int, whole: bool):
-    """Rows (key, text) to rows of runs; with `whole` false only the digit of the first pass."""
+    """Rows (id, text) to rows of runs; with `whole` false only the hash of the string."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
-            keys = np.asarray(batch.column(0))
+            ids = np.asarray(batch.column(0))
             for group in _pieces(byte_texts(batch.column(1)), depth, PIECE):
                 data = b"".join(p for _, _, p in group)
                 lengths = [len(p) for _, _, p in group]
@@ -113,7 +115,7 @@ def _runs(depth: int, gram: int, whole: bool):
                 piece = np.searchsorted(starts, lo, side="right") - 1
                 row, base = (np.array([x[i] for x in group]) for i in (0, 1))
                 place = (lo - starts[piece] + base[piece]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row[piece]]), pa.array(place), pa.array((hi - lo).astype(np.int32)), pa.array(h), pa.array(c1), pa.array(c2)], names=["key", "lo", "n", "h", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[piece]]), pa.array(place), pa.array((hi - lo).astype(np.int32)), pa.array(h), pa.array(c1), pa.array(c2)], names=["id", "lo", "n", "h", "c1", "c2"])
 
     return emit
 
@@ -122,7 +124,7 @@ KIND = "h long, c1 long, c2 long, lone boolean, hot boolean, data binary"
 
 
 def _kinds(depth: int):
-    """Rows (key, text, runs) to a row KIND for each kind of run asked for, with all bytes that its windows cover."""
+    """Rows (id, text, runs) to a row KIND for each kind of run asked for, with all bytes that its windows cover."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
@@ -137,62 +139,111 @@ def _kinds(depth: int):
     return emit
 
 
-def _spread(depth: int):
-    """Rows KIND to a row for each suffix, with its last digit."""
+def sort_equal(data: bytes, at: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Which of the suffixes that start `at` share their first `depth` bytes with another of their group (ascending), as indices.
+
+    A pass for each eight bytes: where a group's suffixes differ in them they are ordered by them, and groups of one go.
+    """
+    padded = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    word = np.ndarray(len(data) + 1, dtype=">u8", buffer=padded, strides=(1,))
+    which = np.arange(len(at))
+    head = np.diff(group, prepend=-1) != 0
+
+    def alone_out(*arrays: np.ndarray) -> list[np.ndarray]:
+        size = np.diff(np.append(np.flatnonzero(head), len(head)))
+        keep = np.repeat(size > 1, size)
+        return [x[keep] for x in arrays]
+
+    at, which, head = alone_out(at, which, head)
+    for done in range(0, depth, 8):
+        if not len(at):
+            break
+        digit = word[at + done].astype(np.uint64) >> np.uint64(8 * max(0, 8 - (depth - done)))
+        first = np.flatnonzero(head)
+        size = np.diff(np.append(first, len(head)))
+        unlike = np.logical_or.reduceat(digit != np.repeat(digit[first], size), first)
+        if not unlike.any():
+            continue
+        sub = np.flatnonzero(np.repeat(unlike, size))
+        order = sub[np.lexsort((digit[sub], np.repeat(np.arange(len(first)), size)[sub]))]
+        at[sub], which[sub], digit[sub] = at[order], which[order], digit[order]
+        head[1:] |= digit[1:] != digit[:-1]
+        at, which, head = alone_out(at, which, head)
+    return np.sort(which)
+
+
+def _sorted_here(depth: int):
+    """Rows KIND, those of one h together, to (c1, c2, a, b): the windows a to b of a lone kind also occur in another."""
+
+    def equal(kinds: list[tuple]) -> pa.RecordBatch:
+        h, c1, c2, lone, data = ([k[i] for k in kinds] for i in (0, 1, 2, 3, 5))
+        length = np.array([len(x) for x in data])
+        windows = length - depth + 1
+        kind = np.repeat(np.arange(len(kinds)), windows)
+        first = np.cumsum(windows) - windows
+        offset = np.arange(len(kind)) - first[kind]
+        group = np.cumsum(np.array(h[1:] + h[-1:]) != np.array(h)) if len(h) > 1 else np.zeros(1, dtype=np.int64)
+        group = np.concatenate([[0], group[:-1]])
+        met = np.zeros(len(kind), dtype=bool)
+        met[sort_equal(b"".join(data), (np.cumsum(length) - length)[kind] + offset, group[kind], depth)] = True
+        met &= np.array(lone)[kind]
+        same = np.concatenate([[False], kind[1:] == kind[:-1]])
+        start = np.flatnonzero(met & ~(same & np.concatenate([[False], met[:-1]])))
+        end = np.flatnonzero(met & ~np.append(same[1:] & met[1:], False))
+        own = kind[start]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(c1)[own]), pa.array(np.array(c2)[own]), pa.array(offset[start]), pa.array(offset[end])], names=["c1", "c2", "a", "b"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 5, 1 << 20):
-            out = [(c1, c2, j, xxhash.xxh3_128_digest(data[j : j + depth])) for c1, c2, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 5))) for j in range(len(data) - depth + 1)]
-            c1, c2, j, digest = zip(*out)
-            w1, w2 = _longs(list(digest))
-            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(j, pa.int32())], names=["w1", "w2", "c1", "c2", "j"])
+        wait: list[tuple] = []
+        size = 0
+        for batch in slices(batches, 5, AT_ONCE):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= AT_ONCE and row[0] != wait[-1][0]:
+                    yield equal(wait)
+                    wait, size = [], 0
+                wait.append(row)
+                size += len(row[5])
+        if wait:
+            yield equal(wait)
 
     return emit
 
 
-def _group_parts(kinds: list[tuple], depth: int) -> list[tuple[int, int, int, int]]:
-    """(c1, c2, a, b) of a group's lone kinds (c1, c2, lone, data): windows a to b also occur in another kind."""
-    first: dict[bytes, int] = {}
-    shared: set[bytes] = set()
-    digests = []
-    for i, (*_, data) in enumerate(kinds):
-        own = [xxhash.xxh3_128_digest(data[j : j + depth]) for j in range(len(data) - depth + 1)]
-        shared.update(w for w in own if first.setdefault(w, i) != i)
-        digests.append(own)
-    out = []
-    for (c1, c2, lone, _), own in zip(kinds, digests):
-        if lone:
-            at = [j for j, w in enumerate(own) if w in shared]
-            out += [(c1, c2, a, b - 1) for a, b in merged([(j, j + 1) for j in at])]
-    return out
-
-
-def _matched(depth: int):
-    """Rows KIND, sorted by h, to (c1, c2, a, b)."""
+def _suffixes(depth: int):
+    """Rows KIND to a row for each suffix, with its digits."""
+    width = -(-depth // DIGITS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        now, out = None, []
-        names = ["c1", "c2", "a", "b"]
-
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([],) * 4)], names=names)
-
-        for batch in slices(batches, 5, 4 << 20):
+        for batch in slices(batches, 5, 1 << 18):
+            out = []
             for h, c1, c2, lone, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))):
-                if h != now:
-                    out += _group_parts(group, depth)
-                    group, now = [], h
-                group.append((c1, c2, lone, data))
-            if len(out) > 10_000:
-                yield made()
-                out = []
-        out += _group_parts(group, depth)
-        yield made()
+                for j in range(len(data) - depth + 1):
+                    out.append((h, c1, c2, lone, j, *(xxhash.xxh3_64_intdigest(data[j + d : j + min(depth, d + width)]) for d in range(0, DIGITS * width, width))))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
+            columns = list(zip(*out))
+            digits = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in columns[5:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(columns, kinds)), *digits], names=["h", "c1", "c2", "lone", "j", *(f"d{i}" for i in range(DIGITS))])
 
     return emit
 
 
+def _passes(kinds: DataFrame, depth: int) -> DataFrame:
+    """What `_sorted_here` gives, for groups of any size: a pass joins each suffix with the groups of several that its next digit makes."""
+    digits = [f"d{i}" for i in range(DIGITS)]
+    left = materialize(kinds.transform(map_rows, _suffixes(depth), f"h long, c1 long, c2 long, lone boolean, j int, {', '.join(f'{d} long' for d in digits)}"), "suffixes")
+    for n in range(1, DIGITS + 1):
+        key = ["h", *digits[:n]]
+        several = materialize(left.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").select(*key), "several")
+        now = materialize(left.join(several, key, "left_semi"), "suffixes")
+        discard(left, several)
+        left = now
+    js = left.where("lone").groupBy("c1", "c2").agg(F.collect_set("j").alias("js"))
+    stretch = F.transform(F.filter("js", lambda j: ~F.array_contains("js", j - 1)), lambda a: F.struct(a.cast("long").alias("a"), F.array_min(F.filter("js", lambda j: (j >= a) & ~F.array_contains("js", j + 1))).cast("long").alias("b")))
+    out = materialize(js.select("c1", "c2", F.inline(stretch)), "parts")
+    discard(left)
+    return out
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of [a, b) intervals; those that touch are one."""
     out: list[tuple[int, int]] = []
@@ -217,40 +268,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows["doc_id"], *(pa.array(rows[c], k) for c, k in zip(list(rows)[1:], kinds))], names=list(rows))
 
 
-def _light(df: DataFrame, array: str) -> DataFrame:
-    """df, for broadcast if its arrays hold few entries; df is materialized."""
-    rows, entries = df.agg(F.count("*"), F.sum(F.size(array))).first()
-    return F.broadcast(df) if rows + (entries or 0) <= BROADCAST_ENTRIES else df
-
-
-def repeated_spans(keyed: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """keyed: key, text. Gives (key, spans): the byte intervals [a, b) covered by repeated windows, not yet united,
-    for keys that have any."""
-    first = keyed.transform(map_rows, _runs(depth, gram, False), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    shared = materialize(first, "digits")
-    runs = keyed.transform(map_rows, _runs(depth, gram, True), "key long, lo long, n int, h long, c1 long, c2 long")
+def repeated_spans(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+    """texts: id (unique), text; a table in buckets by id. Gives (id, spans): the byte intervals [a, b) covered by repeated
+    windows, not yet united, for rows that have any."""
+    first = texts.select("id", "text").transform(map_rows, _runs(depth, gram, False), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    shared = materialize(first, "strings")
+    runs = texts.select("id", "text").transform(map_rows, _runs(depth, gram, True), "id long, lo long, n int, h long, c1 long, c2 long")
     runs = materialize(runs.join(shared, "h"), "runs")
-    whole = materialize(runs.groupBy("h", "c1", "c2").agg(F.count("*").alias("c"), F.min("key").alias("key")), "whole")
+    whole = materialize(runs.groupBy("h", "c1", "c2").agg(F.count("*").alias("c"), F.min(F.struct("id", "lo")).alias("one")), "whole")
     mixed = materialize(whole.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
-    open_ = whole.join(mixed, "h").select("h", "key", "c1", "c2", (F.col("c") == 1).alias("lone"), (F.col("kinds") > GROUP).alias("hot"))
-    # one run of each kind, cut anew from the texts
-    asked = runs.drop("h").join(materialize(open_, "open"), ["key", "c1", "c2"]).groupBy("key").agg(F.collect_list(F.struct("h", "lo", "n", "c1", "c2", "lone", "hot")).alias("runs"))
+    open_ = whole.join(mixed, "h").select("h", "one.id", "one.lo", "c1", "c2", (F.col("c") == 1).alias("lone"), (F.col("kinds") > GROUP).alias("hot"))
+    # the first run of each kind, cut anew from the texts
+    asked = runs.select("id", "lo", "n").join(open_, ["id", "lo"]).groupBy("id").agg(F.collect_list(F.struct("h", "lo", "n", "c1", "c2", "lone", "hot")).alias("runs"))
     asked = materialize(asked, "asked")
-    kinds = materialize(keyed.join(_light(asked, "runs"), "key").select("key", "text", "runs").transform(map_rows, _kinds(depth), KIND), "kinds")
-    parts = kinds.where("not hot").repartition("h").sortWithinPartitions("h").transform(map_rows, _matched(depth), "c1 long, c2 long, a long, b long")
+    kinds = materialize(texts.join(asked, "id").select("id", "text", "runs").transform(map_rows, _kinds(depth), KIND), "kinds")
+    parts = kinds.where("not hot").repartition("h").sortWithinPartitions("h").transform(map_rows, _sorted_here(depth), "c1 long, c2 long, a long, b long")
+    parts = [materialize(parts, "parts")]
     if kinds.where("hot").limit(1).count():
-        suffixes = materialize(kinds.where("hot").transform(map_rows, _spread(depth), "w1 long, w2 long, c1 long, c2 long, j int"), "suffixes")
-        equal = materialize(suffixes.groupBy("w1", "w2").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("w1", "w2"), "equal")
-        lone = kinds.where("hot and lone").select("c1", "c2")
-        js = suffixes.join(equal, ["w1", "w2"]).join(lone, ["c1", "c2"]).groupBy("c1", "c2").agg(F.collect_set("j").alias("js"))
-        stretch = F.transform(F.filter("js", lambda j: ~F.array_contains("js", j - 1)), lambda a: F.struct(a.cast("long").alias("a"), F.array_min(F.filter("js", lambda j: (j >= a) & ~F.array_contains("js", j + 1))).cast("long").alias("b")))
-        parts = parts.union(js.select("c1", "c2", F.inline(stretch)))
-    parts = materialize(parts, "parts")
-    repeated = runs.join(materialize(whole.where("c > 1").select("c1", "c2"), "repeated"), ["c1", "c2"]).select("key", "lo", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
-    partly = runs.join(parts, ["c1", "c2"]).select("key", "lo", "a", "b")
-    spans = repeated.union(partly).groupBy("key").agg(F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + depth).alias("b"))).alias("spans"))
+        parts.append(_passes(kinds.where("hot"), depth))
+    repeated = runs.join(whole.where("c > 1").select("c1", "c2"), ["c1", "c2"]).select("id", "lo", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
+    spans = repeated
+    for p in parts:
+        spans = spans.union(runs.join(p, ["c1", "c2"]).select("id", "lo", "a", "b"))
+    spans = spans.groupBy("id").agg(F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + depth).alias("b"))).alias("spans"))
     out = materialize(spans, "spans")
-    discard(shared, runs, whole, mixed, asked, kinds, parts)
+    discard(shared, runs, whole, mixed, asked, kinds, *parts)
     return out
 
 
@@ -258,13 +300,12 @@ def dedup_substrings(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
     """docs: doc_id, text, more columns or none. For each of its rows: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
     kept (binary: what remains may not be UTF-8).
 
-    A null text is empty; a text under `depth` bytes stays whole. Repeated rows are documents of their own, so each is a
-    copy of the other. An empty table gives an empty result.
+    A null text is empty; a text under `depth` bytes stays whole; a very long one is worked on in pieces. Repeated rows are
+    documents of their own, so each is a copy of the other. An empty table gives an empty result.
     """
-    keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    spans = repeated_spans(keyed, depth, gram)
-    rows = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key")).join(_light(spans, "spans"), "key", "left")
-    return rows.select("doc_id", "text", "spans").transform(map_rows, _cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    texts = bucketed(docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text"), "id", "texts")
+    spans = repeated_spans(texts, depth, gram)
+    return texts.join(spans, "id", "left").select("doc_id", "text", "spans").transform(map_rows, _cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

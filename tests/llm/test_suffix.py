@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tablesift.llm import suffix
@@ -48,8 +49,7 @@ def test_against_brute_force(spark, monkeypatch, depth, gram, piece):
     monkeypatch.setattr(suffix, "PIECE", piece)
     data = texts(depth)
     rows = [(i, t, "clash", "clash", "clash") for i, t in enumerate(data)]
-    for entries, group in ((suffix.BROADCAST_ENTRIES, suffix.GROUP), (0, 3)):  # both ways of joining, and of the last pass
-        monkeypatch.setattr(suffix, "BROADCAST_ENTRIES", entries)
+    for group in (suffix.GROUP, 1):  # sorted within a task, and over the cluster
         monkeypatch.setattr(suffix, "GROUP", group)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in dedup_substrings(spark.createDataFrame(rows, SCHEMA), depth, gram).collect()}
         assert [got[i] for i in range(len(data))] == brute(data, depth)
@@ -69,6 +69,17 @@ def test_runs_cover_every_window_once():
     assert covered == want and all(a <= p and p + 4 <= a + 10 and b <= p for a, b, p in zip(lo, hi, at))
 
 
+def test_sort_finds_equal_prefixes_within_groups():
+    r = random.Random(3)
+    for depth in (1, 7, 8, 9, 20, 24):
+        data = bytes(r.choice(b"ab") for _ in range(600)) + bytes(60) + b"\xff" * 60
+        at = np.array([i for i in range(len(data) - depth + 1) if r.random() < 0.7])
+        group = np.sort(np.array([r.randrange(5) for _ in at]))
+        seen = Counter((g, data[a : a + depth]) for a, g in zip(at.tolist(), group.tolist()))
+        want = [i for i, (a, g) in enumerate(zip(at.tolist(), group.tolist())) if seen[g, data[a : a + depth]] > 1]
+        assert suffix.sort_equal(data, at, group, depth).tolist() == want
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "q" * 150 + "z" * 150, "", "", "")] * 2 + [(None, "solo " * 10, "", "", "")]
     got = sorted((r.n_bytes, r.n_removed) for r in dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect())
