@@ -3,8 +3,7 @@
 For each line hash, HyperLogLog sketches of the sites are merged by aggregation. Lines whose
 estimate is clear of the threshold are decided by it; those near it get an exact distinct count.
 A line found on enough sites stays only in its home, the document with the smallest doc_id that has it, so a
-text that was copied as a whole survives once. op3, like its SQL, never cuts lines of fewer than `MIN_WORDS` words;
-the pipeline's stage counts every line that is not blank.
+text that was copied as a whole survives once. Every line counts that has a character besides ASCII white space.
 """
 
 from __future__ import annotations
@@ -12,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_key, small, table
+from .common import columns, discard, materialize, row_key, small, table, unused
 
 SITES = 10
-MIN_WORDS = 3
 LG_K = 12
 #: Estimates within this share (and one site) of the threshold are counted exactly: six standard errors of the sketch.
 MARGIN = 0.1
@@ -27,22 +25,22 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _distinct_lines(docs: DataFrame, words: int, *keys: Column | str) -> DataFrame:
+def _distinct_lines(docs: DataFrame, *keys: Column | str) -> DataFrame:
     """(keys, h, g): two hashes of each of a document's distinct lines that count. explode() would have Spark filter by the
     array's size first, and split the text once more for that."""
-    each = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: _counted(x, words)), F.trim))
+    each = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), _counted), F.trim))
     lines = docs.select(*keys, F.explode_outer(each).alias("line")).where(F.col("line").isNotNull())
     return lines.withColumns({"h": F.xxhash64("line"), "g": F.hash("line")}).drop("line")
 
 
-def _counted(line: Column, words: int) -> Column:
-    return line.rlike("[^ ]+" + " +[^ ]+" * (words - 1) if words > 1 else r"(?U)\S")
+def _counted(line: Column) -> Column:
+    return line.rlike(r"[^\x09-\x0D\x20]")
 
 
-def boilerplate(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) -> DataFrame:
+def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """(h, g, home, spread) of each line on at least so many sites: two hashes of the trimmed line, its home and its
     number of sites, estimated unless `exact`."""
-    lines = _distinct_lines(docs, words, "doc_id", F.coalesce("source", F.lit(NO_SITE)).alias("site"))
+    lines = _distinct_lines(docs, "doc_id", F.coalesce("source", F.lit(NO_SITE)).alias("site"))
     seen = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("doc_id").alias("home"))
     low, high = sites * (1 - MARGIN) - 1, sites * (1 + MARGIN) + 1
     spread = materialize(seen.select("h", "g", "home", F.hll_sketch_estimate("sketch").alias("spread")).where(F.col("spread") >= low), "spread")
@@ -54,7 +52,7 @@ def boilerplate(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) ->
     return out
 
 
-def dedup_lines(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """docs: doc_id, text, source, more columns or none. Its rows with these changes: `text` without the lines cut,
     and new columns n_lines and n_removed, which take the place of columns so named.
 
@@ -62,27 +60,32 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) ->
     long as another document has the line, and never keeps one (unless all have null). Repeated rows are
     treated alike. An empty table gives an empty result.
     """
-    cut = boilerplate(docs, sites, words)
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    here = _distinct_lines(keyed, words, "doc_id", "_key")
+    cut = boilerplate(docs, sites)
+    key, for_key, cuts, kept = unused(docs, "key", "for_key", "cuts", "kept")
+    keyed = docs.select(*columns(docs), row_key(F.col("doc_id"), F.col("text")).alias(key))
+    here = _distinct_lines(keyed.select("doc_id", "text", F.col(key).alias("key")), "doc_id", "key")
     hits = here.join(small(cut.select("h", "g", "home"), 500_000), ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("home")))
-    by_doc = materialize(hits.groupBy("_key").agg(F.collect_set("h").alias("_cut")), "cut")
-    weight = by_doc.agg(F.sum(F.size("_cut"))).first()[0] or 0
-    marked = keyed.join(F.broadcast(by_doc) if weight <= 1_000_000 else by_doc, "_key", "left")
+    by_doc = materialize(hits.groupBy("key").agg(F.collect_set(F.struct("h", "g")).alias("cuts")), "cut")
+    weight = by_doc.agg(F.sum(F.size("cuts"))).first()[0] or 0
+    by_doc = by_doc.withColumnsRenamed({"key": for_key, "cuts": cuts})
+    marked = keyed.join(F.broadcast(by_doc) if weight <= 1_000_000 else by_doc, F.col(key) == F.col(for_key), "left").drop(for_key)
     lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda x: ~(_counted(x, words) & F.array_contains(F.col("_cut"), F.xxhash64(F.trim(x)))))
-    marked = marked.withColumn("_kept", F.when(F.col("_cut").isNotNull(), kept))
-    marked = marked.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.when(F.col("_cut").isNotNull(), F.size(lines) - F.size("_kept")).otherwise(F.lit(0)).cast("long")})
-    text = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return marked.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], "n_lines", "n_removed")
+    out = F.filter(lines, lambda x: ~(_counted(x) & F.array_contains(F.col(cuts), F.struct(F.xxhash64(F.trim(x)).alias("h"), F.hash(F.trim(x)).alias("g")))))
+    marked = marked.withColumn(kept, F.when(F.col(cuts).isNotNull(), out))
+    n_removed = F.when(F.col(cuts).isNotNull(), F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("long").alias("n_removed")
+    text = F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text")
+    given = [text if c == "text" else x for c, x in zip(docs.columns, columns(docs)) if c not in ("n_lines", "n_removed")]
+    return marked.select(*given, F.size(lines).cast("long").alias("n_lines"), n_removed)
 
 
 def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with the lines cut, short ones too, and n_chars set anew; documents that had nothing else are gone."""
-    out = dedup_lines(docs, sites, 1).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s", "")) != ""))
-    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(*[length.cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """docs with the lines cut and n_chars set anew; documents that had nothing else are gone.
+    Nulls, repeated rows and empty tables as in `dedup_lines`; all other columns, whatever their names, stay as they are."""
+    n_lines, n_removed = unused(docs, "n_lines", "n_removed")
+    given = docs.withColumnsRenamed({"n_lines": n_lines, "n_removed": n_removed})
+    out = dedup_lines(given, sites).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s", "")) != ""))
+    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return out.select(*[(length if c == "n_chars" else x).alias(name) for name, c, x in zip(docs.columns, given.columns, columns(given))])
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +98,7 @@ ORACLE = {
     "op3_line_spread": rf"""
 with d as (select doc_id, coalesce(source, chr(1)) as site, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 l as (select doc_id, site, unnest(lines) as line, generate_subscripts(lines, 1) as pos from d),
-c as (select *, regexp_matches(line, '[^ ]+{' +[^ ]+' * (MIN_WORDS - 1)}') as counted, trim(line) as norm from l),
+c as (select *, regexp_matches(line, '[^\x09-\x0D\x20]') as counted, trim(line) as norm from l),
 b as (select norm, min(doc_id) as home from c where counted group by norm having count(distinct site) >= {SITES}),
 k as (select c.*, not (counted and b.norm is not null and b.home <> c.doc_id) as kept from c left join b on c.norm = b.norm)
 select doc_id, count(*) as n_lines, count(*) filter (where not kept) as n_removed,

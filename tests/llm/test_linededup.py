@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, source string, n_chars long, h string, n_lin
 
 def brute(rows, sites):
     def counted(line):
-        return len([w for w in line.split(" ") if w]) >= 3
+        return line.strip(" \t\n\v\f\r") != ""
 
     where = {}
     for doc, text, source, *_ in rows:
@@ -57,6 +57,15 @@ def test_emptied_documents_go_and_columns_stay(spark):
     assert all(r.n_chars == len(r.text) for r in kept.collect() if r.doc_id == 5)
 
 
+def test_clashing_columns_stay(spark):
+    names = ["key", "_KEY", "for_key", "cuts", "kept", "n_lines", "n_removed", "a b", "x.y"]
+    df = spark.createDataFrame([(*r[:4], *names) for r in rows()], "doc_id long, text string, source string, n_chars long, key string, _KEY string, for_key string, cuts string, kept string, n_lines string, n_removed string, `a b` string, `x.y` string")
+    kept = without_boilerplate(df)
+    plain = without_boilerplate(df.select("doc_id", "text", "source", "n_chars"))
+    assert kept.columns == df.columns and sorted(str(tuple(r)[:4]) for r in kept.collect()) == sorted(str(tuple(r)) for r in plain.collect())
+    assert {tuple(r)[4:] for r in kept.collect()} == {tuple(names)}
+
+
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
