@@ -44,4 +44,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         if state[0]:
             raise RuntimeError(f"components not settled after {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    out._tablesift_path = now._tablesift_path
+    return out

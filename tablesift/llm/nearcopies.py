@@ -1,9 +1,12 @@
 """Near copies by word shingles: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-`BANDS` bands of `ROWS` MinHash values propose candidates; each is verified on the full sets. A pair at the threshold shares
-no band with a chance of (1 - 0.8^4)^40, about 7e-10. Equal sets are one node. In each bucket all members are first
-compared with its smallest and its largest node; what these links make one component needs no more comparison, and
-all pairs of a bucket that are still in different components are compared after that.
+Candidates come from two sides. The SimHash operator's trie join links the fingerprints of the five-word shingles within its error
+budget, which finds most copies cheaply. Such a budget is far too tight for all pairs of 0.8 (they differ in about 10 of 64 bits,
+and a budget that wide prunes nothing), so `BANDS` bands of `ROWS` MinHash values propose the others: a pair at the threshold
+shares no band with a chance of (1 - 0.8^4)^40, about 7e-10. Each candidate is verified on the full sets. Equal sets are one
+node. In each bucket all members are first compared with its smallest and its largest node; what these links and the
+trie's make one component needs no more comparison, and all pairs of a bucket that are still in different components are
+compared after that.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, byte_texts, discard, map_rows, materialize, row_key, slices, small
+from .common import ASCII_LOWER, KEY, byte_texts, discard, map_rows, materialize, one_per_group, row_key, slices
 from .graph import connected_components
+from .simhash import bit_counts, majority, trie_join
 
 WORDS = 5
 BANDS, ROWS = 40, 4
@@ -56,16 +60,17 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 2, 8 << 20):
-        node, size, keys = [], [], []
+        node, size, prints, keys = [], [], [], []
         for text in byte_texts(batch.column(2)):
             h = shingles(text)
             node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
             size.append(len(h))
+            prints.append(majority(bit_counts(h), len(h)))
             keys.append(bands(h))
         ends = np.cumsum([0, *map(len, keys)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-        ids = pa.array(np.array(node, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, pa.array(size, pa.int64()), lists], names=["doc_id", "key", "node", "size", "bands"])
+        ids, fps = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, prints))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, pa.array(size, pa.int64()), fps, lists], names=["doc_id", "key", "node", "size", "fp", "bands"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +91,16 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(sides.select("u", "v", "text", "text2").transform(map_rows, _verified, "u long, v long"), "similar")
 
 
+def _trie_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes: those that share a fingerprint with its smallest node, and the smallest ones of linked fingerprints."""
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "least")
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    links = trie_join(least.select("fp"))
+    for side in "uv":
+        links = links.join(least.select(F.col("fp").alias(side), F.col("least").alias(f"{side}2")), side).drop(side).withColumnRenamed(f"{side}2", side)
+    return same.union(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
 def _near(a: str, b: str) -> F.Column:
     """Whether sets of these sizes can be similar."""
     return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
@@ -94,16 +109,19 @@ def _near(a: str, b: str) -> F.Column:
 def _components(docs: DataFrame) -> DataFrame:
     """(doc_id, key, comp) of each row; comp is the smallest node of its component."""
     keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    prints = materialize(keyed.transform(map_rows, _signatures, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, node long, size long, bands array<long>"), "signatures")
-    nodes = prints.groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    prints = materialize(keyed.transform(map_rows, _signatures, f"doc_id {dict(docs.dtypes)['doc_id']}, key {KEY}, node long, size long, fp long, bands array<long>"), "signatures")
+    nodes = prints.where("size > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes, "nodes")
     spread = nodes.select("node", "key", "size", F.explode("bands").alias("band"))
     ends = materialize(spread.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"), "buckets")
     members = materialize(spread.join(ends, "band"), "members")
-    wanted = members.select("node", "key").distinct()
-    texts = keyed.join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
+    trie = materialize(_trie_pairs(nodes), "trie")
+    wanted = members.select("node").union(trie.select("u")).union(trie.select("v")).distinct()
+    texts = keyed.join(nodes.join(wanted, "node").select("node", "key"), "key").groupBy("node").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
     star = members.select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
-    star = materialize(star.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "pairs")
+    star = star.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).union(trie)
+    star = materialize(star.distinct(), "pairs")
     first = _links(star, texts)
     comps = materialize(connected_components(first), "first")
     at = members.join(comps, "node", "left").select("band", "node", "size", F.coalesce("comp", "node").alias("comp"))
@@ -114,19 +132,13 @@ def _components(docs: DataFrame) -> DataFrame:
     rest = materialize(rest.select("u", "v").distinct().join(star, ["u", "v"], "left_anti"), "rest")
     second = _links(rest, texts)
     comps = materialize(connected_components(first.union(second)), "comps")
-    discard(ends, members, texts, star, at, rest, first, second)
+    discard(nodes, ends, members, trie, texts, star, at, rest, first, second)
     return prints.select("doc_id", "key", "node").join(comps, "node", "left").select("doc_id", "key", F.coalesce("comp", "node").alias("comp"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each component: the one with its smallest doc_id (a null one only if there is no other).
-    Wordless texts are one component; repeated rows are dropped too."""
-    rows = materialize(_components(docs), "rows")
-    several = rows.groupBy("comp").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("one")).where("n > 1")
-    members = rows.join(materialize(several.select("comp", F.col("one.key").alias("one")), "several"), "comp").select("key", "one")
-    gone = materialize(members.where("key <> one").select(F.col("key").alias("_gone")).distinct(), "gone")
-    repeated = members.where("key = one").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    kept = keyed.join(small(gone, 500_000), F.col("_key") == F.col("_gone"), "left_anti")
-    kept = kept.dropDuplicates(["_key"]) if repeated else kept
-    return kept.select(*docs.columns)
+    Texts without words, null ones too, are one component; repeated rows are dropped too; an empty table stays
+    empty; all columns, whatever their names, stay as they are."""
+    rows = materialize(_components(docs).select("doc_id", "key", F.col("comp").alias("group")), "rows")
+    return one_per_group(docs, rows)

@@ -2,8 +2,9 @@
 
 Two fingerprints within `BUDGET` bits agree on one of four 16-bit blocks, and, of the 48 bits left,
 on one of four 12-bit blocks. Each of the 16 choices rotates those 28 bits to the front of the
-fingerprint, so that every wanted pair meets below one trie node of depth 28 in one choice at least.
-Below these nodes, node pairs are traversed together, a level at a time; each pair carries the bits
+fingerprint, so that every wanted pair meets below one trie node of depth 28 in one choice at least. That is how the join is
+dealt out; a node with more than `BUCKET` fingerprints is dealt out further, as pairs of its descendants whose
+further bits differ by no more than the budget. Below these nodes, node pairs are traversed together, a level at a time; each pair carries the bits
 in which its two prefixes differ, and is pruned beyond the budget. Pairs of subtrees that are
 already one component are pruned too, so a ball of many fingerprints gives a spanning set of links,
 not all its pairs. Exact copies share a fingerprint and count as one leaf.
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, byte_texts, discard, map_rows, materialize, row_key, slices, small, table
+from .common import ASCII_LOWER, byte_texts, discard, map_rows, materialize, slices, table
 from .graph import connected_components
 
 SHINGLE = 3
@@ -28,6 +29,8 @@ SEED = 42
 #: (first bit, length) of the blocks of the first and, within the 48 bits left, of the second choice.
 BLOCKS, SUB = [(0, 16), (16, 16), (32, 16), (48, 16)], [(0, 12), (12, 12), (24, 12), (36, 12)]
 TAIL = 36
+#: A node with more fingerprints is split, by DEEPEST further bits at most.
+BUCKET, DEEPEST = 1 << 16, 12
 #: Node pairs held at once by a task.
 FRONTIER = 1 << 20
 
@@ -45,15 +48,25 @@ def simhash(text: bytes, n: int = SHINGLE) -> int:
     left = max(1, len(words) - n + 1)
     while left:
         h = np.fromiter(hashes, dtype="<u8", count=min(left, 1 << 15)) if left > 1 << 15 else np.fromiter(hashes, dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_counts(h)
         total, left = total + len(h), left - len(h)
+    return majority(ones, total)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, total: int) -> int:
+    """The fingerprint: bits set in over half the hashes."""
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 2, 8 << 20):
-        prints = np.array([simhash(t) for t in byte_texts(batch.column(2))], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "key", "fp"])
+    for batch in slices(batches, 1, 8 << 20):
+        prints = np.array([simhash(t) for t in byte_texts(batch.column(1))], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
 
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -123,24 +136,32 @@ def trie_links(bucket: np.ndarray, value: np.ndarray, bits: int = TAIL, budget:
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tail, fp) sorted by key and tail; a bucket that a batch ends in waits for the next one."""
-    wait: list[np.ndarray] = []
+    """Rows (key, tail, fp) sorted by key and tail; what a batch holds of its last bucket waits for the next one."""
+    wait: list[list[np.ndarray]] = []
 
-    def links(key: np.ndarray, tail: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        i, j = trie_links(key, tail.view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["u", "v"])
+    def links() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(*(np.concatenate(x) for x in zip(*wait)))], names=["u", "v"])
 
     for batch in batches:
         now = [np.asarray(c) for c in batch.columns]
         if not len(now[0]):
             continue
-        now = [np.concatenate(x) for x in zip(wait, now)] if wait else now
-        cut = np.searchsorted(now[0], now[0][-1])
-        if cut:
-            yield links(*(x[:cut] for x in now))
-        wait = [x[cut:] for x in now]
+        last = now[0][-1]
+        cut = np.searchsorted(now[0], last)
+        if wait and wait[-1][0][-1] != last:
+            wait.append([x[:cut] for x in now])
+            yield links()
+            wait = []
+        elif cut:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(*(x[:cut] for x in now))], names=["u", "v"])
+        wait.append([x[cut:] for x in now])
     if wait:
-        yield links(*wait)
+        yield links()
+
+
+def _linked(key: np.ndarray, tail: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    i, j = trie_links(key, tail.view(np.uint64))
+    return fp[i], fp[j]
 
 
 def _choices(fp: F.Column) -> list[F.Column]:
@@ -161,20 +182,26 @@ def _choices(fp: F.Column) -> list[F.Column]:
     return out
 
 
-def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, fp) of each row, and (fp, comp, component_id) of each fingerprint; comp is the component's smallest fingerprint."""
-    keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    prints = materialize(keyed.transform(map_rows, _fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, fp long"), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+def _split(spread: DataFrame) -> DataFrame:
+    """Rows (key, tail, fp) with those of nodes beyond BUCKET dealt out by b further bits: to each pair of descendants that the row's
+    own is part of and that differ in no more than BUDGET of these bits. key grows by 2 DEEPEST bits for the pair."""
+    large = materialize(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET), "large")
+    wide = spread.withColumn("key", F.shiftleft("key", 2 * DEEPEST))
+    if not large.limit(1).count():
+        return wide
+    bits = large.select("key", F.least(F.lit(DEEPEST), F.ceil(F.log2(F.col("n") / BUCKET)) + 1).cast("int").alias("b"))
+    small_ = spread.join(bits, "key", "left_anti").withColumn("key", F.shiftleft("key", 2 * DEEPEST)).select("key", "tail", "fp")
+    near = F.array(*[F.lit(m) for m in range(1 << DEEPEST) if m.bit_count() <= BUDGET])
+    rows = spread.join(bits, "key").withColumn("own", F.expr(f"shiftrightunsigned(tail, {TAIL} - b)").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.transform(F.filter(near, lambda m: m < F.expr("shiftleft(1, b)")), lambda m: m.bitwiseXOR(F.col("own")))))
+    pair = F.shiftleft(F.least("own", "other"), DEEPEST) + F.greatest("own", "other")
+    return small_.union(rows.select((F.shiftleft("key", 2 * DEEPEST) + pair).alias("key"), "tail", "fp"))
+
+
+def trie_join(distinct: DataFrame) -> DataFrame:
+    """distinct: fp (long, distinct). Links (u, v) that connect whatever lies within BUDGET bits."""
     spread = distinct.select("fp", F.explode(F.array(*_choices(F.col("fp")))).alias("c")).select("c.key", "c.tail", "fp")
-    edges = spread.repartition("key").sortWithinPartitions("key", "tail").transform(map_rows, _bucket_links, "u long, v long")
-    comps = connected_components(edges)
-    named = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "first")
-    named = materialize(named, "named")
-    least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    final = materialize(named.join(least, "comp").select("fp", "comp", "component_id"), "component")
-    discard(distinct, named)
-    return prints, final
+    return _split(spread).repartition("key").sortWithinPartitions("key", "tail").transform(map_rows, _bucket_links, "u long, v long")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -182,28 +209,19 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
     A null or wordless text has fingerprint zero and links like any other; repeated rows give repeated rows; a
     null doc_id never is a component's id unless its component has no other (then that is null); an empty table
-    gives an empty result.
+    gives an empty result; a text of any length is one fingerprint.
     """
-    prints, final = _components(docs)
+    prints = materialize(docs.select("doc_id", "text").transform(map_rows, _fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long"), "prints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    comps = connected_components(trie_join(distinct))
+    named = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "first")
+    named = materialize(named, "named")
+    least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    final = materialize(named.join(least, "comp").select("fp", "component_id"), "component")
+    discard(distinct, named, comps)
     return prints.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each component: the one with its smallest doc_id (a null one only if there is no other).
-    Only the rows of components of several are looked up again; repeated rows are dropped too."""
-    prints, final = _components(docs)
-    rows = prints.join(final, "fp")
-    several = rows.groupBy("comp").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("one")).where("n > 1")
-    several = materialize(several.select("comp", F.col("one.key").alias("one")), "several")
-    members = rows.join(several, "comp").select("key", "one")
-    gone = materialize(members.where("key <> one").select(F.col("key").alias("_gone")).distinct(), "gone")
-    repeated = members.where("key = one").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    kept = keyed.join(small(gone, 500_000), F.col("_key") == F.col("_gone"), "left_anti")
-    kept = kept.dropDuplicates(["_key"]) if repeated else kept
-    return kept.select(*docs.columns)
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

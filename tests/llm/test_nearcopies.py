@@ -50,3 +50,9 @@ def test_empty_and_repeated(spark):
     assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
     rows = [(None, "a b", None, None, 0), (7, "a b", None, None, 0), (7, "a b", None, None, 0), (None, "zz", None, None, 0)]
     assert sorted(str(x.doc_id) for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()) == ["7", "None"]
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(i % 7, f"w{i % 5} x y z", "k", "g", "o", i % 2) for i in range(20)], "doc_id long, text string, key string, gone string, of string, `x.y` int")
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == brute([(i % 7, f"w{i % 5} x y z") for i in range(20)]) and all(r.key == "k" and r.gone == "g" and r.of == "o" for r in kept.collect())

@@ -5,7 +5,7 @@ import pytest
 import test_decontaminate
 import test_linededup
 import test_mixing
-import test_simhash
+import test_nearcopies
 
 import corpus_pipeline
 from tablesift.llm.langid import identify
@@ -40,9 +40,6 @@ def corpus():
 
 
 def brute_lines(rows):
-    cut = {}
-    for line, text in ((x.strip(" "), x) for _, t, *_ in rows for x in t.split("\n") if len(x.split()) >= 3):
-        cut.setdefault(line, None)
     found = test_linededup.brute([(d, t, s, 0) for d, t, _, s, _ in rows], 10)
     kept = {}
     for x in found:
@@ -53,8 +50,8 @@ def brute_lines(rows):
 
 
 def brute_near(rows):
-    comp = test_simhash.brute_components([r[0] for r in rows], [test_simhash.brute_print(r[1]) for r in rows])
-    return [r for r, c in zip(rows, comp) if r[0] == c]
+    kept = set(test_nearcopies.brute([(r[0], r[1]) for r in rows]))
+    return [r for r in rows if r[0] in kept]
 
 
 def brute_clean(rows, items):

@@ -1,11 +1,10 @@
 import random
 
 import numpy as np
-import pytest
 import xxhash
-from pyspark.sql import functions as F
 
-from tablesift.llm.simhash import simhash, simhash_components, one_of_each, trie_links
+from tablesift.llm import simhash as simhash_module
+from tablesift.llm.simhash import simhash, simhash_components, trie_join, trie_links
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id string"
 
@@ -73,7 +72,19 @@ def test_edge_tables(spark):
     assert [tuple(x) for x in got] == [(7, 7), (7, 7), (None, 7), (None, None)]
 
 
-def test_one_of_each_keeps_the_smallest(spark):
-    rows = [(3, "a b c d", "en", "s", 7, "", ""), (1, "a b c d", "en", "s", 7, "", ""), (2, "q r s t u", "en", "s", 9, "", ""), (2, "q r s t u", "en", "s", 9, "", "")]
-    kept = one_of_each(spark.createDataFrame(rows, SCHEMA))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns == [x.split()[0] for x in SCHEMA.split(", ")]
+def test_large_nodes_are_split(spark, monkeypatch):
+    r = random.Random(6)
+    base = [r.getrandbits(64) for _ in range(6)]
+    prints = {b ^ sum(1 << i for i in r.sample(range(64), r.choice([0, 1, 2]))) for b in base for _ in range(120)} | {r.getrandbits(64) for _ in range(100)}
+    prints = sorted(prints)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    for bucket in (1 << 16, 7, 1):
+        monkeypatch.setattr(simhash_module, "BUCKET", bucket)
+        links = trie_join(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
+        label = {x: x for x in signed}
+        for u, v in links:
+            a, b = label[u], label[v]
+            label = {k: b if x == a else x for k, x in label.items()}
+        want = brute_components(list(range(len(prints))), prints)
+        mine = [label[x] for x in signed]
+        assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
