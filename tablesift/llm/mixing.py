@@ -3,8 +3,8 @@
 The mix is cut into equal-token blocks of one word. Blocks go to sources by the highest quotients target/(2i+1),
 then, the same way, from each source to its shards by size: integer quotas, so a source is off by about one word whatever
 the size of the mix. Within a shard the documents stand in a seeded order, end to end; the quota takes whole laps of that
-line and then its first words. Only sums per source and per shard reach the driver (one row per source, at most
-`MAX_SHARDS` per source); no task sorts more than one shard.
+line and then its first words. Only sums per source and per shard reach the driver (one row per source, and about `SHARDS`
+in all, or fewer); no task sorts more than one shard.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from .common import materialize, small, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
+#: A shard has about so many documents; in a corpus of more than SHARDS times as many, as many more as make about SHARDS shards in all.
 DOCS_PER_SHARD = 250
-MAX_SHARDS = 1024
+SHARDS = 100_000
 SEED = 20240607
 
 
@@ -61,34 +62,47 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return out
 
 
+def within(seats: list[int], most: list[int]) -> list[int]:
+    """The seats, none above its limit; what is over goes to the entries with room, in order."""
+    out = [min(n, m) for n, m in zip(seats, most)]
+    over = sum(seats) - sum(out)
+    for i, m in enumerate(most):
+        if over <= 0:
+            break
+        more = min(over, m - out[i])
+        out[i], over = out[i] + more, over - more
+    return out
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """docs: doc_id, text, source, more columns or none. A row for each of its rows: doc_id, source, size
     (words between white space), source_size, target (both of its source), taken (words, repeats counted).
 
     Null text has size 0 and takes nothing; a null source is a source of its own, the last; rows with equal or
-    null doc_id are separate documents; an empty table gives an empty result. The outcome depends on
-    the rows alone, not on their order or partitions.
+    null doc_id are separate documents (dealt to shards by id and text); an empty table gives an empty result. Texts of any length
+    count whole. Other columns are not read. The outcome depends on the rows alone, not on their order or partitions.
     """
     spark = docs.sparkSession
-    sized = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")), "sizes")
+    sized = materialize(docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("hash"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")), "sizes")
     sums = sorted(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["size"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))])
-    seats = sainte_lague(goal, sum(r["size"] for r in sums))
-    plan = [(r["source"], r["size"], t, min(MAX_SHARDS, -(-r["n"] // DOCS_PER_SHARD))) for r, t in zip(sums, goal)]
+    seats = within(sainte_lague(goal, sum(r["size"] for r in sums)), [MAX_REPEATS * r["size"] for r in sums])
+    per_shard = max(DOCS_PER_SHARD, -(-sum(r["n"] for r in sums) // SHARDS))
+    plan = [(r["source"], r["size"], t, -(-r["n"] // per_shard)) for r, t in zip(sums, goal)]
     sources = spark.createDataFrame(plan, "s string, source_size long, target double, shards int")
     at = sized.join(small(sources, 100_000), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    at = at.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "shards").cast("int"))
+    at = at.withColumn("shard", F.pmod(F.xxhash64("hash", F.lit(seed)), "shards").cast("int"))
     by_shard: dict[str | None, list[tuple[int, int]]] = {}
-    for r in at.groupBy("source", "shard").agg(F.sum("size").alias("size")).orderBy("source", "shard").collect():
+    for r in sorted(at.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect(), key=lambda r: r["shard"]):
         by_shard.setdefault(r["source"], []).append((r["shard"], r["size"]))
     quotas = []
     for r, n in zip(sums, seats):
         own = by_shard[r["source"]]
-        for (shard, size), k in zip(own, sainte_lague([s for _, s in own], n)):
-            quotas.append((r["source"], shard, size, min(k, MAX_REPEATS * size)))
+        share = within(sainte_lague([s for _, s in own], n), [MAX_REPEATS * s for _, s in own])
+        quotas += [(r["source"], shard, size, k) for (shard, size), k in zip(own, share)]
     quota = spark.createDataFrame(quotas, "s string, sh int, shard_size long, quota long")
-    at = at.join(small(quota, 100_000), F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("sh")))
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    at = at.join(small(quota, 2 * SHARDS), F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("sh")))
+    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("hash", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     at = at.withColumn("start", F.sum("size").over(line) - F.col("size"))
     laps = F.when(F.col("shard_size") > 0, F.expr("quota div shard_size")).otherwise(F.lit(0))
     part = F.when(F.col("shard_size") > 0, F.greatest(F.lit(0), F.least(F.col("size"), F.expr("quota % shard_size") - F.col("start")))).otherwise(F.lit(0))

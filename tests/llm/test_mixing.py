@@ -2,7 +2,7 @@ import random
 import re
 from fractions import Fraction
 
-from tablesift.llm.mixing import mix, sainte_lague, targets
+from tablesift.llm.mixing import mix, sainte_lague, targets, within
 
 SCHEMA = "doc_id long, text string, source string, size string, shard string, target string"
 
@@ -32,6 +32,10 @@ def test_targets_and_seats():
     assert sainte_lague(votes, 100) == [sum(i == j for _, j in quotients) for i in range(5)]
 
 
+def test_limits_are_kept_and_what_is_over_goes_on():
+    assert within([5, 1, 0], [3, 9, 9]) == [3, 3, 0] and within([2, 2], [3, 3]) == [2, 2] and within([4, 4], [3, 3]) == [3, 3]
+
+
 def rows():
     r = random.Random(2)
     out = [(i, " ".join("w" for _ in range(r.choice([0, 3, 50, 400]))), r.choice(["a", "a", "a", "é", "b", None]), "", "", "") for i in range(900)]
@@ -52,10 +56,9 @@ def test_mix_against_its_rules(spark):
     names = sorted(by, key=lambda s: (s is None, s or ""))
     sizes = [sum(r["size"] for r in by[s]) for s in names]
     goal = brute_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
-    block = max(1, sum(sizes) // (1 << 14))
     for s, n, g in zip(names, sizes, goal):
         assert all(r.source_size == n and abs(r.target - g) < 1e-6 for r in by[s])
-        assert abs(sum(r.taken for r in by[s]) - g) <= max(2 * block, 0.02 * g), (s, g)
+        assert abs(sum(r.taken for r in by[s]) - g) <= max(1, 0.02 * g), (s, g)
 
 
 def test_empty(spark):
@@ -79,3 +82,24 @@ def test_dealing_at_once_gives_the_same_seats():
         quotients = sorted(((-v / (2 * k + 1), i) for i, v in enumerate(votes) if v for k in range(seats)))[:seats]
         assert sainte_lague(votes, seats) == [sum(i == j for _, j in quotients) for i in range(len(votes))]
     assert sum(sainte_lague([5e9, 1e5, 3.0], 5_000_100_003)) == 5_000_100_003
+
+
+def test_very_uneven_sources_one_word_documents_and_null_ids(spark):
+    rows = [(None if i % 3 == 0 else i, "w", "b", "", "", "") for i in range(5000)] + [(10000 + i, "w " * 500000, "a", "", "", "") for i in range(50)] + [(20000, "w " * 9, "c", "", "", "")]
+    got = mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows)
+    for s, target in (("b", 15000), ("c", 27)):
+        own = [r for r in got if r.source == s]
+        assert all(abs(r.target - target) < 1e-6 and r.taken == 3 * r["size"] for r in own) and sum(r.taken for r in own) == target
+    own = [r for r in got if r.source == "a"]
+    assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+
+
+def test_twenty_thousand_sources(spark):
+    df = spark.range(60000).selectExpr("id as doc_id", "repeat('w ', cast(id % 7 + 1 as int)) as text", "concat('s', id % 20000) as source")
+    rows = mix(df).collect()
+    taken, goal = {}, {}
+    for r in rows:
+        taken[r.source], goal[r.source] = taken.get(r.source, 0) + r.taken, r.target
+        assert 0 <= r.taken <= 3 * r["size"]
+    assert len(rows) == 60000 and all(abs(taken[s] - goal[s]) <= 1 for s in goal)
