@@ -1,11 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
-A paragraph is a stretch of text up to a line or sentence end, of `LONGEST` characters at most. All distinct ones of a
+A paragraph is a stretch of text up to a line or sentence end. One of more than 160 characters is cut where its own letters say so (at
+blanks between a vowel and one of a to h; where there are none, after 400), so an insertion moves no other cuts. All distinct ones of a
 document are sketched, whatever their number; the cells needed depend on the difference of two texts, not on their
 length. A digest goes to one cell of each of three subtables; a cell holds the count, the XOR of digests and the XOR of their checksums. Subtracting
 two sketches cancels what both texts have; peeling cells that hold a single digest recovers the
-others, and where that stalls the sketches are made anew, three times as large. Beyond the largest size the
-digests are compared directly. Likeness is the share of common digests in all, from the digests recovered.
+others, and where that stalls the sketches are made anew, three times as large. The first try is on the returned
+fingerprints. Beyond the largest size the digests are compared directly. Likeness is the share of common digests in all, from the digests recovered.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_key, table
 
-LONGEST = 160
-PARAGRAPH = rf"[^\n.!?|]{{1,{LONGEST}}}+[\n.!?|]*+|[\n.!?|]++"
+_END, _IN = r"[\n.!?|]", r"[^\n.!?|]"
+PARAGRAPH = rf"{_IN}{{1,160}}+{_END}++|{_IN}{{1,400}}?(?<=[aeiou]) (?=[a-h])|{_IN}{{1,400}}+{_END}*+|{_END}++"
 #: Cells of a subtable at first, and at each retry.
 SIZES = (8, 24, 72)
 ROUNDS = 24
-#: Ids in a stretch of the global order that one task sorts, and the most such stretches.
+#: Ids in a stretch of the global order that one task sorts, and the most stretches by id.
 STRETCH, STRETCHES = 2000, 1000
 
 
@@ -116,16 +117,30 @@ def as_text(cells: Column) -> Column:
     return F.base64(F.unhex(one))
 
 
+def _stretches(ids: DataFrame, parts: int) -> Column:
+    """A number for each row of (doc_id, key); descending numbers follow the order (doc_id descending, nulls last, then key). Ids go by
+    quantiles; the rows of one id that fills several of these, and those without one, are split by key."""
+    nulls, total = ids.agg(F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    high = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 32)  # keys in order, from 0
+    part_of = lambda m: F.shiftrightunsigned(high * m, 32).cast("int")
+    if parts < 2:
+        return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
+    bounds = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], F.lit(100 * parts))).first()[0] or []
+    times = {x: bounds.count(x) for x in bounds}
+    base = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in sorted(times)]), lambda x: x < F.col("doc_id"))) if times else F.lit(0)
+    heavy = [F.when(F.col("doc_id") == x, F.lit(m) - part_of(m)) for x, m in times.items() if m > 1]
+    inside = F.coalesce(*heavy, F.lit(0))  # the id that is a stretch's upper bound comes before the others
+    without = -1 - part_of(max(1, parts * nulls // max(1, total)))
+    return F.when(F.col("doc_id").isNull(), without).otherwise(base * (parts + 1) + inside)
+
+
 def following(docs: DataFrame) -> DataFrame:
     """(key, key2, need, next_key, next_key2) of each document: its next one by descending doc_id (the first one's, after the last).
 
-    Only ids are put in order, in stretches of the id range; the first id of each (at most STRETCHES + 1) passes through the driver.
+    Only ids are put in order, in stretches; the first of each (at most 3 STRETCHES) passes through the driver.
     """
-    ids = materialize(docs.select("doc_id", "key", "key2", F.char_length("text").alias("n")).distinct(), "ids")
-    count = ids.count()
-    parts = max(1, min(STRETCHES, count // STRETCH))
-    bounds = (ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], F.lit(100 * parts))).first()[0] or []) if parts > 1 else []
-    stretch = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in sorted(set(bounds))]), lambda x: x < F.col("doc_id")))) if bounds else F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
+    ids = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "key", "key2", F.char_length("text").alias("n")).distinct(), "ids")
+    stretch = _stretches(ids, max(1, min(STRETCHES, ids.count() // STRETCH)))
     order = Window.partitionBy("stretch").orderBy(F.col("doc_id").desc_nulls_last(), "key", "key2")
     led = ids.withColumn("stretch", stretch.cast("int")).select("*", F.row_number().over(order).alias("at"), F.lead("key").over(order).alias("next_key"), F.lead("key2").over(order).alias("next_key2"))
     led = materialize(led, "order")
@@ -142,10 +157,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text is empty. Rows with one doc_id and one text are one document in the order, each with its results; rows
     with one doc_id and several texts follow each other in a fixed order; null doc_ids come last. A single
-    document is its own next one. Two texts without paragraphs have likeness 1. An empty table gives an empty result.
+    document is its own next one. Two texts without paragraphs have likeness 1. An empty table gives an empty result. Texts
+    of any length are read whole; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", row_key(F.col("doc_id"), text).alias("key"), F.xxhash64(F.lit(7), F.col("doc_id").isNull(), "doc_id", text).alias("key2"), text.alias("text"))
+    both = row_key(F.col("doc_id"), text)
+    base = docs.select("doc_id", both["a"].alias("key"), both["b"].alias("key2"), text.alias("text"))
     pairs = materialize(following(base), "pairs")
     repeated = docs.count() > pairs.count()
     # both joins read base by the same columns, unrenamed, so that Spark deals the texts out once and reads them twice

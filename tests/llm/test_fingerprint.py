@@ -31,7 +31,7 @@ def test_too_small_a_sketch_says_so_and_a_larger_one_is_right(spark):
 
 
 def paragraphs(text):
-    return re.findall(r"[^\n.!?|]{1,160}[\n.!?|]*|[\n.!?|]+", text)
+    return re.findall(fp.PARAGRAPH, text)
 
 
 def brute(texts):
@@ -39,11 +39,7 @@ def brute(texts):
     order = sorted(texts, key=lambda x: -x[0])
 
     def like(a, b):
-        a, b = paragraphs(a), paragraphs(b)
-        k = 1
-        while max(len(a), len(b)) > 32 * k:
-            k *= 2
-        a, b = ({tuple(x[i : i + k]) for i in range(0, len(x), k)} for x in (a, b))
+        a, b = set(paragraphs(a)), set(paragraphs(b))
         return len(a & b) / len(a | b) if a | b else 1.0
 
     out = {}
@@ -90,3 +86,36 @@ def test_long_texts_are_compared_by_single_paragraphs(spark):
     for doc, after in ((3, 2), (2, 1), (1, 3)):
         a, b = (set(paragraphs(next(t for i, t, *_ in rows if i == x))) for x in (doc, after))
         assert got[doc].next_doc_id == after and abs(got[doc].near_next - len(a & b) / len(a | b)) < 1e-9 and got[doc].near_next > 0.9
+
+
+def test_paragraphs():
+    assert paragraphs("One. Two!? Three\nfour") == ["One.", " Two!?", " Three\n", "four"] and paragraphs("..a.") == ["..", "a."] and paragraphs("") == []
+    long = " ".join(f"{'bcwt'[i * i % 4]}o{i}{'aestn'[i * 7 % 5]}" for i in range(3000))
+    for text in (long, long + ".", "a" * 128000, "x" * 399 + "." + long):
+        assert "".join(paragraphs(text)) == text and max(map(len, paragraphs(text))) <= 401
+    a, b = set(paragraphs(long)), set(paragraphs("inserted words here " + long))
+    assert len(a & b) / len(a | b) > 0.9
+
+
+def test_an_inserted_and_a_deleted_sentence(spark):
+    for n in (1000, 4000):
+        text = "".join(f"Sentence {i} of a text of some length. " for i in range(n))
+        rows = [(3, text, "", "", ""), (2, "One more. " + text, "", "", ""), (1, text.replace("Sentence 500 of a text of some length. ", ""), "", "", "")]
+        got = {r.doc_id: r.near_next for r in fp.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
+        # the sentence behind the inserted one gets a blank before it
+        assert abs(got[3] - (n - 1) / (n + 2)) < 2e-3 and abs(got[1] - (n - 1) / n) < 2e-3, got
+
+
+def test_stretches_follow_the_order(spark, monkeypatch):
+    monkeypatch.setattr(fp, "STRETCH", 10)
+    r = random.Random(3)
+    rows = [(r.choice([None, None, 7, 7, 7, 8, i]), f"text {i}.", "", "", "") for i in range(300)]
+    got = fp.fingerprints(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "next_doc_id").collect()
+    order = sorted((x[0] for x in rows), key=lambda x: (x is None, -(x or 0)))
+    want = sorted(zip(order, order[1:] + order[:1]), key=str)
+    assert sorted(map(tuple, got), key=str) == want
+
+
+def test_no_python_on_the_main_path(spark):
+    plan = fp.fingerprints(spark.createDataFrame([(1, "One. Two.", "", "", ""), (2, "x", "", "", "")], SCHEMA))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
