@@ -2,7 +2,7 @@
 
 Heuristic labellers vote good, bad or abstain on each document. The counts of vote patterns over all
 documents (at most 3 to the number of labellers) are all that expectation-maximisation needs to estimate the prior
-and each labeller's accuracies. The posterior labels of a sample of `SAMPLE` documents, in expectation, then train a
+and each labeller's accuracies. The posterior labels of a sample of `SAMPLE` distinct texts, in expectation, then train a
 logistic regression on hashed features (byte trigrams and the labellers' binned statistics), which scores every document.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, map_rows, slices, table
 
-#: Documents that the scorer is trained on, at most about; the posterior labels themselves come from all.
+#: Distinct texts that the scorer is trained on, at most about (each once, however often it occurs); the posterior labels themselves come from all rows.
 SAMPLE = 4096
 #: Hashed features.
 BUCKETS = 2048
@@ -75,7 +75,7 @@ def statistics(text: bytes) -> list[float] | None:
         1 - len(set(lines)) / max(1, len(lines)),
         sum(map(FUNCTION_WORDS.__contains__, words)) / n,
         solid / n,
-        len(set(words[:400])) / min(n, 400) if n < 400 else min(len(set(words[i : i + 400])) / 400 for i in range(0, n - 399, 400)),
+        len(set(words[:400])) / min(n, 400) if n < 400 else min(len(set(words[i : i + 400])) / 400 for i in [*range(0, n - 399, 400), n - 400]),
     ]
 
 
@@ -165,18 +165,20 @@ def classify(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFra
     (of the linear scorer), keep (score of KEEP or more), n_votes.
 
     A null text is empty; a text of fewer than LEAST_WORDS words gets no votes, so `weak` is the prior. Repeated rows are
-    scored alike, and count each in the estimates. An empty table gives an empty result.
+    scored alike, and count each in the estimates. An empty table gives an empty result. Texts of any length are read whole;
+    other columns are not read.
     """
     spark = docs.sparkSession
     counted = docs.select("text").transform(map_rows, _voted, "pattern long").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
     patterns, counts = np.array([r["pattern"] for r in counted], dtype=np.int64), np.array([r["n"] for r in counted], dtype=float)
     prior, chance = estimate(patterns, counts, len(LABELLERS)) if len(patterns) else (0.5, np.full((2, len(LABELLERS), 3), 1 / 3))
     share = min(1.0, sample / max(1.0, counts.sum()))
-    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))
-    drawn = docs.where(part).select("text").transform(map_rows, _featured, "pattern long, x binary").toArrow()
+    part = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))
+    drawn = docs.where(part).groupBy(F.xxhash64("text"), F.xxhash64(F.lit(seed), "text")).agg(F.first("text").alias("text"))
+    drawn = drawn.select("text").transform(map_rows, _featured, "pattern long, x binary").toArrow()
     x = np.frombuffer(b"".join(drawn["x"].to_pylist()), dtype=np.float16).reshape(-1, BUCKETS).astype(np.float32)
     label = posterior(np.asarray(drawn["pattern"]), prior, chance) if len(x) else np.zeros(0)
-    order = np.lexsort((label, x[:, 1], x[:, 0])) if len(x) else np.zeros(0, dtype=int)  # sums don't depend on how tasks end
+    order = np.argsort([r.tobytes() for r in x]) if len(x) else np.zeros(0, dtype=int)  # sums don't depend on how tasks end
     weights = spark.sparkContext.broadcast(logistic(x[order], label[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

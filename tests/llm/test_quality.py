@@ -1,5 +1,10 @@
+import math
+import random
+import re
+
 import numpy as np
 
+from tablesift.llm import quality
 from tablesift.llm.quality import LABELLERS, classify, estimate, posterior, statistics, votes
 
 SCHEMA = "doc_id long, text string, score string, weak string, keep string"
@@ -41,3 +46,84 @@ def test_edge_rows(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 and 0 <= r.weak <= 1 for r in got)
     assert len({r.score for r in got if r.doc_id == 3}) == 1
     assert classify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_statistics(text):
+    """The ten statistics, told from the labellers' names, character by character."""
+    space, b = " \t\n\r\v\f", text.encode()
+    words = [w for w in re.split(r"[ \t\n\r\v\f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
+    n = len(words)
+    if n < 8:
+        return None
+    solid = sum(chr(x) not in space for x in b)
+    letters = sum(65 <= x <= 90 or 97 <= x <= 122 or x >= 128 for x in b)
+    symbols = sum(33 <= x < 127 and chr(x) not in ".,;:'\"!?()-" and not chr(x).isalnum() for x in b)
+    triples = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    lines = [x for x in text.split("\n") if x]
+    windows = [words] if n < 400 else [words[i : i + 400] for i in [*range(0, n - 399, 400), n - 400]]
+    return [
+        sum(65 <= x <= 90 for x in b) / max(1, letters), symbols / solid, sum(text.count(x) for x in ("!!", "??", "$$")) / n,
+        sum(words[i] == words[i + 1] for i in range(n - 1)) / n, 1 - len(set(triples)) / len(triples), sum(w in "|-*" for w in words) / n,
+        1 - len(set(lines)) / max(1, len(lines)), sum(w.encode() in quality.FUNCTION_WORDS for w in words) / n, solid / n, min(len(set(w)) / len(w) for w in windows),
+    ]
+
+
+def brute(texts, buckets=quality.BUCKETS):
+    """(weak, score) of each text: expectation-maximisation over single documents, then gradient steps, all in doubles."""
+    stats = [plain_statistics(t or "") for t in texts]
+    votes = []
+    for s in stats:
+        row = []
+        for _, i, bad, good in quality.LABELLERS:
+            low = good < bad
+            row.append(0 if s is None else 1 if (s[i] >= bad if low else s[i] <= bad) else 2 if (s[i] <= good if low else s[i] >= good) else 0)
+        votes.append(row)
+    post = [0.5 if not any(v) else v.count(2) / (10 - v.count(0)) for v in votes]
+    old = None
+    for _ in range(200):
+        chance = [[[1 + sum(p if k else 1 - p for v, p in zip(votes, post) if v[i] == x) for x in range(3)] for i in range(10)] for k in range(2)]
+        chance = [[[c / sum(one) for c in one] for one in labeller] for labeller in chance]
+        prior = (sum(post) + 1) / (len(votes) + 2)
+        ratio = [math.log(prior / (1 - prior)) + sum(math.log(chance[1][i][x] / chance[0][i][x]) for i, x in enumerate(v)) for v in votes]
+        post = [1 / (1 + math.exp(-r)) for r in ratio]
+        if old and max(abs(a - b) for k in range(2) for i in range(10) for a, b in zip(chance[k][i], old[k][i])) < 1e-7:
+            break
+        old = chance
+    x = np.zeros((len(texts), buckets))
+    for row, (t, s) in enumerate(zip(texts, stats)):
+        b = (t or "").encode()
+        for i in range(len(b) - 2):
+            x[row, (b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32 >> 21] += 1
+        x[row] = np.sqrt(x[row] / max(1, len(b) - 2))
+        for j, value in enumerate(s or ()):
+            x[row, (j * 64 + sum(value > e for e in quality.EDGES)) * 2654435761 % 2**32 >> 21] += 1
+    train = sorted({t: i for i, t in enumerate(texts)}.values())
+    xs, ys = x[train], np.array([post[i] for i in train])
+    w, b, dw, db = np.zeros(buckets), 0.0, np.zeros(buckets), 0.0
+    for _ in range(300):
+        e = 1 / (1 + np.exp(-(xs @ w + b))) - ys
+        dw, db = 0.9 * dw - 0.5 * (xs.T @ e / len(xs) + 1e-4 * w), 0.9 * db - 0.5 * e.mean()
+        w, b = w + dw, b + db
+    return [(p, float(1 / (1 + np.exp(-(r @ w + b))))) for p, r in zip(post, x)]
+
+
+def test_the_whole_query_against_brute_force(spark, tmp_path):
+    r = random.Random(8)
+    good = "the cat and the dog of a house in which they have been for years and it was not as cold as that".split()
+    texts = []
+    for i in range(150):
+        n = r.choice([0, 5, 8, 30, 200, 450, 900])
+        texts.append(" ".join(r.choice(good) + (f"{r.randrange(50)}" if r.random() < 0.4 else "") for _ in range(n)) if i % 3 else "BUY $$ NOW!! | - * " * (n // 5) + "é" * (n % 7))
+    texts += [None, "", texts[4], texts[4], texts[4], "same line\n" * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in quality.op1_quality(spark, str(tmp_path)).collect()}
+    want = brute(texts)
+    assert len(got) == len(texts)
+    for i, (weak, score) in enumerate(want):
+        assert abs(got[i].weak - weak) < 1e-5 and abs(got[i].score - score) < 5e-3, (i, got[i], weak, score)
+        assert got[i].keep == (got[i].score >= 0.5) and got[i].n_votes == sum(x > 0 for x in quality.votes(plain_statistics(texts[i] or "")))
+
+
+def test_a_text_repeated_often_is_drawn_once(spark):
+    df = spark.range(5000).selectExpr("1L as doc_id", "'the same text of the same ten words again and again' as text")
+    assert {(x.score, x.keep) for x in quality.classify(df, sample=10**9).collect()} and quality.classify(df).count() == 5000
