@@ -21,8 +21,8 @@ from .common import WORD_BYTES, byte_texts, map_rows, slices, table
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label | keyword that every match contains | regex of the license's name. Each line gives a rule for a grant
-#: ("licensed under ..."), one for an SPDX tag and one for the bare name.
+#: label | keyword that every match contains | regex of the license's name. Each line gives a rule for the bare name, and one for a
+#: grant ("licensed under ...").
 NAMES = r"""
 apache-1.0 | apache | apache (?:software )?(?:license )?(?:version |v ?)?1 0
 apache-1.1 | apache | apache (?:software )?(?:license )?(?:version |v ?)?1 1
@@ -53,41 +53,41 @@ gpl-3.0-or-later | gpl | gpl ?(?:version )?v?3(?: 0)?(?: or later| or any later
 gpl-1.0-text | gnu general public | gnu general public license (?:version |v ?)1(?: 0)?
 gpl-2.0-text | gnu general public | gnu general public license (?:version |v ?)2(?: 0)?
 gpl-3.0-text | gnu general public | gnu general public license (?:version |v ?)3(?: 0)?
-gpl-any | gnu general public | gnu general public license
+gpl | gnu general public | gnu general public license
 lgpl-2.0 | lgpl | lgpl ?(?:version )?v?2(?: 0)?(?: only| or later)?
 lgpl-2.1 | lgpl | lgpl ?(?:version )?v?2 1(?: only| or later)?
 lgpl-3.0 | lgpl | lgpl ?(?:version )?v?3(?: 0)?(?: only| or later)?
 lgpl-2.1-text | gnu lesser general | gnu lesser general public license (?:version |v ?)2 1
 lgpl-3.0-text | gnu lesser general | gnu lesser general public license (?:version |v ?)3(?: 0)?
-lgpl-any | gnu lesser general | gnu lesser general public license
-lgpl-library | gnu library general | gnu library general public license(?: (?:version |v ?)2(?: 0)?)?
+lgpl | gnu lesser general | gnu lesser general public license
+lgpl-2.0 | gnu library general | gnu library general public license(?: (?:version |v ?)2(?: 0)?)?
 agpl-1.0 | agpl | agpl ?(?:version )?v?1(?: 0)?
 agpl-3.0 | agpl | agpl ?(?:version )?v?3(?: 0)?(?: only| or later)?
 agpl-3.0-text | affero | gnu affero general public license(?: (?:version |v ?)3(?: 0)?)?
 gfdl-1.1 | gfdl | gfdl ?(?:version )?v?1 1
 gfdl-1.2 | gfdl | gfdl ?(?:version )?v?1 2
 gfdl-1.3 | gfdl | gfdl ?(?:version )?v?1 3
-gfdl-any | gnu free documentation | gnu free documentation license(?: (?:version |v ?)1 [123])?
+gfdl | gnu free documentation | gnu free documentation license(?: (?:version |v ?)1 [123])?
 mpl-1.0 | mozilla | mozilla public license (?:version |v ?)?1 0
 mpl-1.1 | mozilla | mozilla public license (?:version |v ?)?1 1
 mpl-2.0 | mozilla | mozilla public license (?:version |v ?)?2(?: 0)?
-mpl-any | mpl | mpl ?v?(?:1 0|1 1|2 0|2)
+mpl | mpl | mpl ?v?(?:1 0|1 1|2 0|2)
 epl-1.0 | eclipse | eclipse public license (?:version |v ?)?1 0
 epl-2.0 | eclipse | eclipse public license (?:version |v ?)?2 0
-epl-any | epl | epl ?v?[12] 0
+epl | epl | epl ?v?[12] 0
 edl-1.0 | eclipse | eclipse distribution license(?: (?:version |v ?)?1 0)?
 cddl-1.0 | common development | common development and distribution license(?: (?:version |v ?)?1 0)?
 cddl-1.1 | cddl | cddl ?(?:version )?v?1 1
-cddl-any | cddl | cddl(?: 1 0)?
+cddl | cddl | cddl(?: 1 0)?
 cpl-1.0 | common public | common public license(?: (?:version |v ?)?1 0)?
 ipl-1.0 | ibm | ibm public license(?: (?:version |v ?)?1 0)?
 eupl-1.0 | eupl | eupl ?v?1 0
 eupl-1.1 | eupl | eupl ?v?1 1
 eupl-1.2 | eupl | eupl ?v?1 2
-eupl-any | european union public | european union public licence(?: v ?(?:1 [012]))?
+eupl | european union public | european union public licence(?: v ?(?:1 [012]))?
 artistic-1.0 | artistic | artistic license 1 0
 artistic-2.0 | artistic | artistic license (?:version )?2 0
-artistic-any | artistic | artistic license
+artistic | artistic | artistic license
 perl | perl | same terms as perl(?: itself)?
 python-2.0 | python software foundation | python software foundation license(?: (?:version )?2)?
 python-2.0 | psf license | psf license(?: (?:version )?2)?
@@ -98,7 +98,7 @@ openssl | openssl | openssl license
 ms-pl | microsoft | microsoft public license
 ms-rl | microsoft | microsoft reciprocal license
 ofl-1.1 | sil open font | sil open font license(?: (?:version )?1 1)?
-ofl-any | ofl | ofl ?1 [01]
+ofl | ofl | ofl ?1 [01]
 upl-1.0 | universal permissive | universal permissive license(?: (?:version |v ?)?1 0)?
 ncsa | ncsa | (?:university of illinois )?ncsa(?: open source)? license
 afl-3.0 | academic free | academic free license(?: (?:version |v ?)?[123] [012])?
@@ -203,9 +203,65 @@ fair-use | fair use | 40 | fair use(?: notice)?
 dual | dual | 50 | dual licensed(?: under)?
 see-license | license | 45 | see (?:the )?(?:accompanying )?license(?: txt| md| file)?(?: file)? for (?:more )?(?:details|information|the full)
 no-license | license | 45 | (?:no|without an?) (?:explicit )?license
+apache-2.0 | apache | 70 | apache org licenses license 2 0(?: txt)?
+mit | without restriction | 86 | deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software
+mit | opensource org licenses mit | 78 | opensource org licenses mit
+bsd | opensource org licenses bsd | 78 | opensource org licenses bsd(?: license(?: php)?|[ ]?[0-9] clause)?
+bsd | redistributions of source code | 70 | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd | redistributions in binary form | 70 | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+apache-1.1 | apache software foundation | 84 | this product includes software developed by the apache software foundation
+gpl | without even the implied warranty | 60 | without even the implied warranty of merchantability or fitness for a particular purpose
+gpl | you should have received a copy | 72 | you should have received a copy of the gnu general public license
+lgpl | you should have received a copy | 74 | you should have received a copy of the gnu (?:lesser|library) general public license
+agpl | you should have received a copy | 76 | you should have received a copy of the gnu affero general public license
+gfdl | permission is granted to copy | 86 | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+cc-by | creative commons | 84 | this work is licensed under a creative commons attribution [1-4] [05] (?:international|unported|generic) license
+cc-by-sa | creative commons | 85 | this work is licensed under a creative commons attribution share ?alike [1-4] [05] (?:international|unported|generic) license
+cc-by-nc | creative commons | 85 | this work is licensed under a creative commons attribution non ?commercial [1-4] [05] (?:international|unported|generic) license
+cc-by-nc-sa | creative commons | 86 | this work is licensed under a creative commons attribution non ?commercial share ?alike [1-4] [05] (?:international|unported|generic) license
+cc-by | text is available under | 66 | text is available under the creative commons attribution(?: share ?alike)? license
+cc0-1.0 | no rights reserved | 60 | no rights reserved
+epl | this program and the accompanying materials | 86 | this program and the accompanying materials are made available under the terms of the eclipse public license
+cddl-1.0 | common development | 86 | the contents of this file are subject to the terms of the common development and distribution license
+mpl-1.1 | mozilla | 86 | the contents of this file are subject to the mozilla public license version 1 1
+artistic | same terms as perl | 70 | you (?:can|may) redistribute it and or modify it under the same terms as perl
+bsl-1.0 | boost | 84 | distributed under the boost software license version 1 0
+php-3.01 | php | 80 | this product includes php software freely available from
+zlib | without any express or implied warranty | 72 | this software is provided as is without any express or implied warranty
+zlib | permission is granted to anyone | 74 | permission is granted to anyone to use this software for any purpose including commercial applications
+ncsa | neither the names of | 82 | neither the names of .{1,80}? nor the names of its contributors may be used to endorse or promote products derived from this software
+unlicense | anyone is free to copy | 86 | anyone is free to copy modify publish use compile sell or distribute this software
+ogl-uk-3.0 | open government | 80 | contains public sector information licensed under the open government licen[cs]e
+odbl-1.0 | openstreetmap | 78 | openstreetmap contributors
+proprietary | trade secrets | 55 | (?:contains )?trade secrets(?: and confidential information)?
+proprietary | not for redistribution | 55 | not for redistribution
+proprietary | reverse engineer | 58 | (?:may not|shall not|agree not to) (?:copy modify )?(?:decompile )?(?:disassemble )?(?:or )?reverse engineer
+proprietary | single copy | 52 | you may (?:print|download) (?:a|one) single copy
+reserved | permission of the publisher | 60 | without (?:the )?(?:prior )?(?:written )?permission of the publisher
+reserved | copyright holder | 45 | (?:permission|consent) of the copyright holders?
+non-commercial | personal use | 50 | (?:for )?personal use only
+non-commercial | educational | 50 | for educational (?:use|purposes) only
+non-commercial | not be used for commercial | 58 | (?:may|must|can|shall) not be used for commercial purposes
+public-domain | copyright has expired | 58 | (?:its |the |whose )?copyright has expired
+public-domain | dedicate | 60 | dedicates? (?:any and all copyright interest in )?(?:this|the) (?:software|work) to the public domain
+attribution | attribution is required | 50 | attribution is required
 spdx | spdx | 30 | spdx license identifier
 """
 
+# Identifiers of the SPDX license list.
+SPDX = """
+0BSD AAL AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AGPL-1.0-only AGPL-1.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1
+Apache-2.0 APL-1.0 APSL-1.0 APSL-1.1 APSL-1.2 APSL-2.0 Artistic-1.0 Artistic-1.0-Perl Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause
+BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-3-Clause-LBNL BSD-4-Clause BSL-1.0 BUSL-1.1 CAL-1.0 CATOSL-1.1 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5
+CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CECILL-B
+CECILL-C CPAL-1.0 CPL-1.0 ECL-2.0 EFL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.0 EUPL-1.1 EUPL-1.2 FTL GFDL-1.1-only GFDL-1.2-only GFDL-1.3-only
+GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later HPND ICU
+IJG IPL-1.0 ISC JSON LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0+ LGPL-3.0-only
+LGPL-3.0-or-later Libpng LPPL-1.3c MIT MIT-0 MIT-Modern-Variant MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NASA-1.3 NCSA NPL-1.1 ODbL-1.0
+ODC-By-1.0 OFL-1.0 OFL-1.1 OGL-UK-3.0 OpenSSL OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0 PDDL-1.0 PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby
+SGI-B-2.0 Sleepycat SSPL-1.0 TCL Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C Watcom-1.0 WTFPL X11 Zlib ZPL-2.1
+"""
+
 GRANT = r"(?:licensed|released|distributed|available|published|provided|redistributed|shared|covered)(?: to you)? under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:gnu )?"
 TAG = r"spdx license identifier "
 
@@ -229,8 +285,10 @@ def rules() -> list[Rule]:
     for line in NAMES.strip().splitlines():
         label, keyword, name = (x.strip() for x in line.split(" | "))
         label = label.removesuffix("-text")
-        spdx = re.sub(r"[-.]", " ", label)
-        out += [_rule(label, 80, keyword, GRANT + name), _rule(label, 100, "spdx", TAG + spdx + "(?: only| or later)?"), _rule(label, 50, keyword, name)]
+        out += [_rule(label, 80, keyword, GRANT + name), _rule(label, 50, keyword, name)]
+    # a plus sign is no word, so X+ reads like X: one rule for both
+    for words, label in {re.sub(r"[-.+]+", " ", x.lower()).strip(): x.lower().removesuffix("+") for x in SPDX.split()}.items():
+        out.append(_rule(label, 100, "spdx", TAG + words))
     for line in PASSAGES.strip().splitlines():
         label, keyword, priority, regex = (x.strip() for x in line.split(" | "))
         out.append(_rule(label, int(priority), keyword, regex))
@@ -288,7 +346,8 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 def license_scan(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, more columns or none; a row for each of its rows with what `scan` finds.
 
-    A null or empty text has no words, no labels ("") and score 0. Repeated rows give repeated rows.
+    A null or empty text has no words, no labels ("") and score 0. Repeated rows give repeated rows; texts of any length are read
+    whole; other columns are not read; an empty table gives an empty result. Detections of equal priority and length go by start, then label.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
