@@ -266,7 +266,8 @@ def with_known_language(docs: DataFrame, model: Model | None = None) -> DataFram
             names = pa.array([model.languages[i] for i in best], pa.string())
             yield pa.RecordBatch.from_arrays([names if i == lang else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.where(F.col("text").rlike(r"\p{L}") & F.lit(model is not None)).transform(map_rows, run, docs.schema)
+    lettered = docs.where(F.col("text").rlike(r"\p{L}") & F.lit(model is not None)).toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return lettered.transform(map_rows, run, lettered.schema).toDF(*docs.columns)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

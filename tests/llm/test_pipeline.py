@@ -90,3 +90,19 @@ def test_stages_and_run_against_brute_force(spark, folder, tmp_path):
     for s in names:
         taken = sum(got[r[0]].taken for r in want if r[3] == s)
         assert all(abs(got[r[0]].target - goal[s]) < 1e-6 for r in want if r[3] == s) and abs(taken - goal[s]) <= 0.05 * goal[s] + 10
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 2 + [(None, "the cat and the hat", "en", None, 19), (7, "the cat and the hat", "en", "s", 19), (7, "the cat and the hat", "en", "s", 19)]])
+def test_edge_tables_and_clashing_columns(spark, tmp_path, rows):
+    more = ["key", "for_key", "cuts", "kept", "gone", "of", "n_lines", "n_removed", "_key", "_cut", "_bad", "w", "hash", "group", "x.y"]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"'{c}' as `{c}`" for c in more])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some benchmark text of more than ten words that no document here has at all")] if rows else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        assert docs.columns == df.columns, name
+        assert all(r[c] == c for r in docs.collect() for c in more), name
+    assert [r.doc_id for r in docs.collect()] == ([7] if rows else [])
+    assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == ([7] if rows else [])
