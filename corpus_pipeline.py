@@ -1,7 +1,9 @@
 """The corpus pipeline: documents in, a source mix out.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet
-and read again as the next one's docs. All but the last return the columns of documents.
+and read again as the next one's docs. All but the last return the columns of documents: those that a stage does not change stay as
+they are, whatever their names. Null texts go in the first stage; null ids, languages and sources stay what they are; repeated rows
+are treated alike until near_dedup leaves one; an empty table stays empty; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of texts with five-word Jaccard similarity of at least 0.8."""
+    """Keeps one document of each component of texts with five-word Jaccard similarity of at least 0.8: candidates from the SimHash trie
+    join and, beyond its error budget, from MinHash bands; each verified."""
     return one_of_each(docs)
 
 
