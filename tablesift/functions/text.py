@@ -45,7 +45,8 @@ def to_ascii(c: Column) -> Column:
     small translation, and only others (ligatures, full-width forms and so on) the tables for all of Unicode."""
     one, letters, longer = _ascii_forms()
     latin = [i for i, x in enumerate(one) if x <= "\u024f"]
-    table = F.map_from_arrays(F.array(*map(F.lit, longer)), F.array(*map(F.lit, longer.values())))
+    listed = lambda x: F.split(F.lit("\x01".join(x)), "\x01")  # noqa: E731  (folded into one literal when planned)
+    table = F.map_from_arrays(listed(longer), listed(longer.values()))
     spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     hard = c.rlike("[^\\x00-\\u024F]") | c.rlike(_class(x for x in longer if x <= "\u024f"))
     form = F.when(hard, F.translate(spelled, one, letters)).otherwise(F.translate(c, "".join(one[i] for i in latin), "".join(letters[i] for i in latin)))

@@ -48,11 +48,16 @@ def load_table(df: DataFrame, headers: Mode = None, elements: Mode = None) -> Da
 
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_id, column_name, n_rows, n_nulls, n_distinct, null_ratio) of each column."""
+    """(column_id, column_name, n_rows, n_nulls, n_distinct, null_ratio) of each column. Cells are unpivoted as 128-bit hashes and made
+    distinct before they are counted: rows are not multiplied by the columns within one aggregation."""
     columns = columns or df.columns
-    one = df.agg(F.count("*").alias("n"), *[x for i, c in enumerate(columns) for x in (F.count(f"`{c}`").alias(f"c{i}"), F.count_distinct(f"`{c}`").alias(f"d{i}"))])
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("column_id"), F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"c{i}")).alias("n_nulls"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(columns)]))
-    return one.select(each.alias("x")).select("x.*").withColumn("null_ratio", F.when(F.col("n_rows") > 0, F.round(F.col("n_nulls") / F.col("n_rows"), 6)).otherwise(0.0))
+    hashed = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.xxhash64(f"`{c}`").alias("a"), F.xxhash64(F.lit(7), f"`{c}`").alias("b")))
+    cells = df.select(F.posexplode(F.array(*map(hashed, columns))).alias("column_id", "v"))
+    once = cells.groupBy("column_id", "v").agg(F.count("*").alias("c"))
+    counts = once.groupBy("column_id").agg(F.sum("c").alias("n_rows"), F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("n_nulls"), F.count("v").alias("n_distinct"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "column_id int, column_name string")
+    out = F.broadcast(names).join(counts, "column_id", "left").na.fill(0, ["n_rows", "n_nulls", "n_distinct"])
+    return out.withColumn("null_ratio", F.when(F.col("n_rows") > 0, F.round(F.col("n_nulls") / F.col("n_rows"), 6)).otherwise(0.0))
 
 
 def drop_null_columns(df: DataFrame) -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..config import Search
 
 KEYS = ["table_id", "column_id"]
+PAIR = ["r_table_id", "r_column_id", "s_table_id", "s_column_id"]
+#: Columns with one value that a task pairs with others at once.
+BLOCK = 512
+#: Sets of values are broadcast up to so many values in all (eight bytes each).
+BROADCAST_VALUES = 8_000_000
 
 
 def columns_of(cells: DataFrame) -> DataFrame:
@@ -23,13 +28,35 @@ def side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c == "value" else f"{prefix}_{c}") for c in df.columns])
 
 
-def overlaps(columns: DataFrame) -> DataFrame:
+def pairs_by_value(rows: DataFrame, df: str, probes: DataFrame | None = None) -> DataFrame:
+    """(value, r_*, s_*): pairs of rows (KEYS, value, df, more) of one value and different tables, r before s. df: how many rows have the value.
+
+    The rows of a value are dealt into blocks of about BLOCK, and pairs of blocks are the join's key, so a value that a third of all
+    columns have makes many tasks. probes (KEYS): only pairs with one of these on either side.
+    """
+    blocks = F.ceil(F.col(df) / BLOCK).cast("int")
+    dealt = rows.withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64(*KEYS), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    both = {}
+    for x, names in (("r", ["_own", "_other"]), ("s", ["_other", "_own"])):
+        own = [F.col(c).alias(c if c == "value" else f"{x}_{c}") for c in rows.columns if c != df]
+        both[x] = dealt.select(*rows.columns, "_own", every.alias("_other")).select(*own, F.col(names[0]).alias("_b"), F.col(names[1]).alias("_c"))
+    met = both["r"].join(both["s"], ["value", "_b", "_c"]).where("r_table_id < s_table_id").drop("_b", "_c")
+    if probes is None:
+        return met
+    marked = probes.select(*KEYS).distinct().withColumn("probe", F.lit(True))
+    for x in "rs":
+        met = met.join(side(marked, x), [f"{x}_{k}" for k in KEYS], "left")
+    return met.where(F.col("r_probe") | F.col("s_probe")).drop("r_probe", "s_probe")
+
+
+def overlaps(columns: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     """(r_*, s_*, k): pairs of columns of different tables, r before s, with the number of values in common. Values of one
-    column only can't match and go before the join; the pairs of a value are counted as they are made."""
-    shared = columns.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value")
-    live = columns.join(shared, "value")
-    pairs = side(live, "r").join(side(live, "s"), "value").where("r_table_id < s_table_id")
-    return pairs.groupBy("r_table_id", "r_column_id", "s_table_id", "s_column_id").agg(F.count("*").alias("k"))
+    column only can't match and go before the join, and so do, with probes (KEYS), those that no probe has; the pairs of a value are counted as they are made."""
+    shared = columns.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    if probes is not None:
+        shared = shared.join(columns.join(probes.select(*KEYS), KEYS, "left_semi").select("value").distinct(), "value", "left_semi")
+    return pairs_by_value(columns.join(shared, "value"), "df", probes).groupBy(*PAIR).agg(F.count("*").alias("k"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -46,6 +73,10 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
 def measured(pairs: DataFrame, n: DataFrame) -> DataFrame:
     """Pairs with sizes, union, jaccard and overlap, both to three places."""
     out = pairs.join(side(n, "r").withColumnRenamed("r_n", "size_r_col"), ["r_table_id", "r_column_id"]).join(side(n, "s").withColumnRenamed("s_n", "size_s_col"), ["s_table_id", "s_column_id"])
+    return _rates(out)
+
+
+def _rates(out: DataFrame) -> DataFrame:
     union = F.col("size_r_col") + F.col("size_s_col") - F.col("k")
     return out.withColumns({
         "size_union": union, "jaccard": F.round(F.col("k") / union, 3), "overlap": F.round(F.col("k") / F.least("size_r_col", "size_s_col"), 3),
@@ -67,7 +98,7 @@ def candidates(cells: DataFrame, profile: DataFrame, settings: Search = Search()
     columns = columns_of(cells).join(fit.select(*KEYS), KEYS, "left_semi")
     n = sizes(columns).where(F.col("n") >= settings.min_distinct)
     columns = columns.join(n.select(*KEYS), KEYS, "left_semi")
-    found = top_k(overlaps(columns), settings.k).join(side(probes.select(*KEYS), "r"), ["r_table_id", "r_column_id"], "left_semi").drop("rank")
+    found = top_k(overlaps(columns, probes), settings.k).join(side(probes.select(*KEYS), "r"), ["r_table_id", "r_column_id"], "left_semi").drop("rank")
     out = measured(found, n).where((F.col("jaccard") >= settings.min_jaccard) & (F.col("overlap") >= settings.min_overlap))
     extra = [c for c in fit.columns if c not in ("n_rows", "null_ratio")]
     out = out.join(side(fit.select(*extra), "r"), ["r_table_id", "r_column_id"]).join(side(fit.select(*extra), "s"), ["s_table_id", "s_column_id"])
@@ -85,22 +116,26 @@ def candidates(cells: DataFrame, profile: DataFrame, settings: Search = Search()
 def similar_columns(columns: DataFrame, jaccard: float) -> DataFrame:
     """All pairs of columns of different tables with a (rounded) jaccard of at least so much, found by prefix filtering.
 
-    In ascending order of frequency, two columns that similar share a value among their first n - ceil(t n) + 1; only
-    these rare values are joined, with the size filter. Pairs whose matches so far, and all that could be left, fall short are
-    dropped; the others are verified on all values.
+    Values go by their ids (hashes), and a column is one row with its ids in ascending order of frequency. Two columns that are similar
+    share a value among their first n - ceil(t n) + 1; only these rare values are joined, with filters by size and by place. Pairs whose
+    matches so far, and all that could be left, fall short are dropped; the others are verified on their whole sets.
     """
     t = jaccard - 0.0005  # the rounded value is compared
-    freq = columns.groupBy("value").agg(F.count("*").alias("df"))
-    n = sizes(columns)
-    ranked = columns.join(freq, "value").join(n, KEYS).withColumn("at", F.row_number().over(Window.partitionBy(*KEYS).orderBy("df", "value")))
-    ranked = ranked.withColumn("length", F.col("n") - F.ceil(F.col("n") * t) + 1)
-    prefix = ranked.where((F.col("at") <= F.col("length")) & (F.col("df") > 1)).select(*KEYS, "n", "length", "value")
-    r, s = side(prefix, "r"), side(prefix, "s")
-    pairs = r.join(s, "value").where("r_table_id < s_table_id").where(F.least("r_n", "s_n") >= F.greatest("r_n", "s_n") * t)
-    pairs = pairs.groupBy("r_table_id", "r_column_id", "s_table_id", "s_column_id", "r_n", "s_n", "r_length", "s_length").agg(F.count("*").alias("met"))
+    values = columns.select(*KEYS, F.xxhash64("value").alias("value"))
+    freq = values.groupBy("value").agg(F.count("*").alias("df"))
+    sets = values.join(freq, "value").groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("all"))
+    sets = sets.withColumn("n", F.size("all")).withColumn("length", (F.col("n") - F.ceil(F.col("n") * t) + 1).cast("int"))
+    prefix = sets.select(*KEYS, "n", F.posexplode(F.slice("all", F.lit(1), F.col("length"))).alias("at", "x")).select(*KEYS, "n", "at", "x.value", "x.df").where("df > 1")
+    need = F.lit(t / (1 + t)) * (F.col("r_n") + F.col("s_n")) - 1e-6
+    pairs = pairs_by_value(prefix, "df").where(F.least("r_n", "s_n") >= F.greatest("r_n", "s_n") * t)
+    pairs = pairs.where(F.least("r_at", "s_at") + F.least(F.col("r_n") - F.col("r_at"), F.col("s_n") - F.col("s_at")) >= need)
+    pairs = pairs.groupBy(*PAIR).agg(F.count("*").alias("met"), F.first("r_n").alias("r_n"), F.first("s_n").alias("s_n"))
     # beyond the prefix that ends first lie at most its column's other values
-    most = F.col("met") + F.greatest(F.col("r_n") - F.col("r_length"), F.col("s_n") - F.col("s_length"))
-    pairs = pairs.where(most * (1 + t) >= t * (F.col("r_n") + F.col("s_n")) - 1e-6).select("r_table_id", "r_column_id", "s_table_id", "s_column_id")
-    counted = pairs.join(side(columns, "r"), ["r_table_id", "r_column_id"]).join(side(columns, "s"), ["s_table_id", "s_column_id", "value"])
-    counted = counted.groupBy("r_table_id", "r_column_id", "s_table_id", "s_column_id").agg(F.count("*").alias("k"))
-    return measured(counted, n).where(F.col("jaccard") >= jaccard)
+    rest = F.greatest(*[F.ceil(F.col(f"{x}_n") * t) - 1 for x in "rs"])
+    pairs = pairs.where(F.col("met") + rest >= need).drop("met", "r_n", "s_n")
+    whole = sets.select(*KEYS, F.transform("all", lambda x: x["value"]).alias("ids"))
+    whole = F.broadcast(whole) if values.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES else whole
+    for x in "rs":
+        pairs = pairs.join(side(whole, x), [f"{x}_{k}" for k in KEYS])
+    counted = pairs.select(*PAIR, F.size(F.array_intersect("r_ids", "s_ids")).cast("long").alias("k"), F.size("r_ids").cast("long").alias("size_r_col"), F.size("s_ids").cast("long").alias("size_s_col"))
+    return _rates(counted).where(F.col("jaccard") >= jaccard)

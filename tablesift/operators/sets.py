@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import row_numbers
+
 
 def row_intersection(a: DataFrame, b: DataFrame, columns: int = 3) -> DataFrame:
     """Distinct rows of the first columns that both tables have; columns go by position."""
@@ -28,9 +30,16 @@ def union_common(a: DataFrame, b: DataFrame, distinct: bool = False) -> DataFram
     return out.distinct() if distinct else out
 
 
-def first_of(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """One row for each key, the first in order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def first_of(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """One row for each key, the first in order (columns, ascending, nulls first; or expressions with a direction). With plain
+    columns the rows are aggregated by a 128-bit hash of the key, so long keys are not sorted and a key that most rows have is combined
+    before the shuffle."""
+    if any(not isinstance(c, str) for c in order):
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    nulls = [F.col(k).isNull() for k in keys]
+    group = [F.xxhash64(*keys, *nulls), F.xxhash64(F.lit(7), *keys, *nulls)]
+    place = F.struct(*[x for c in order for x in (F.col(c).isNotNull(), F.col(c))])
+    return rows.groupBy(*group).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), place).alias("_first")).select("_first.*")
 
 
 def shuffled(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
@@ -38,6 +47,18 @@ def shuffled(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
 
 
-def drawn(rows: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """n rows without replacement."""
-    return shuffled(rows, keys, seed).limit(n)
+def drawn(rows: DataFrame, keys: list[str], n: int, seed: int, replace: bool = False) -> DataFrame:
+    """n rows drawn by seed; with replacement a row may come several times: each draw is the row whose number a hash of the draw gives."""
+    if not replace:
+        return shuffled(rows, keys, seed).limit(n)
+    numbered = row_numbers(rows, keys, "_at")
+    total = rows.count()
+    if not total:
+        return rows.limit(0)
+    draws = rows.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("_at"))
+    return numbered.join(draws, "_at").drop("_at")
+
+
+def slice_rows(rows: DataFrame, keys: list[str], first: int, n: int) -> DataFrame:
+    """n rows in the order of keys, from number `first` (0 is the first)."""
+    return rows.orderBy(*keys).offset(first).limit(n)

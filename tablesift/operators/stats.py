@@ -39,14 +39,20 @@ def running_rate(rows: DataFrame, order: list[str], success: str, step: int, by:
     """(by..., n_rows, rate): the success rate of the first `step`, 2 `step`, ... rows. Rows are counted in blocks first, so
     that only one row per block is summed in order."""
     keys = by or []
-    if keys:
-        numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    else:
-        numbered = row_numbers(rows, order, "i").withColumn("i", F.col("i") + 1)
-    numbered = numbered.select(*keys, F.col(success).cast("double").alias("s"), "i")
-    block = numbered.groupBy(*keys, F.ceil(F.col("i") / step).alias("b")).agg(F.count("*").alias("c"), F.sum("s").alias("s"))
-    up = Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    return block.select(*keys, F.sum("c").over(up).alias("n_rows"), F.round(F.sum("s").over(up) / F.sum("c").over(up), 6).alias("rate"))
+    numbered = row_numbers(rows, order, "i", by=by).select(*keys, F.col(success).cast("double").alias("s"), "i")
+    block = numbered.groupBy(*keys, F.floor(F.col("i") / step).alias("b")).agg(F.count("*").alias("c"), F.sum("s").alias("s"))
+    # blocks of blocks: their sums come before each block's own running sum
+    wide = block.withColumn("w", F.floor(F.col("b") / 1000))
+    sums = wide.groupBy(*keys, "w").agg(F.sum("c").alias("wc"), F.sum("s").alias("ws"))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("w").alias("_w"), *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(x) for x in ("wc", "ws")])
+    up = Window.partitionBy(*keys, "w").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("w") == F.col("_w")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    run = wide.withColumns({"c": F.sum("c").over(up), "s": F.sum("s").over(up)}).join(sums, same)
+    n = F.col("c") + F.col("wc")
+    return run.select(*keys, n.alias("n_rows"), F.round((F.col("s") + F.col("ws")) / n, 6).alias("rate"))
 
 
 def counts_with_total(rows: DataFrame, key: str, total: str = "total") -> DataFrame:
