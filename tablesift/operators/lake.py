@@ -17,14 +17,15 @@ CELL_SCHEMA = "table_id int, column_id int, row_id long, value string"
 
 @dataclass
 class Lake:
-    """Tables by name. A table's id is its place among the names in descending order."""
+    """Tables by name. A table's id is its place among the names in descending order, unless ids are given."""
 
     spark: SparkSession
     tables: dict[str, DataFrame]
+    given_ids: dict[str, int] | None = None
 
     @property
     def ids(self) -> dict[str, int]:
-        return {name: i for i, name in enumerate(sorted(self.tables, reverse=True))}
+        return self.given_ids or {name: i for i, name in enumerate(sorted(self.tables, reverse=True))}
 
     def dimension(self) -> DataFrame:
         """(table_id, table_name, resource_id)."""

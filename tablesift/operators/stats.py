@@ -66,6 +66,17 @@ def pivot_counts(rows: DataFrame, index: str, tag: str, values: list[str]) -> Da
     return rows.groupBy(index).pivot(tag, values).count().na.fill(0, values)
 
 
+def success_rates(rows: DataFrame, process: str, success: str) -> DataFrame:
+    """(n_processes, n_success, mean_rate): successes in all, and the mean of the processes' own rates, however many rows each has."""
+    each = rows.groupBy(process).agg(F.sum(F.col(success).cast("long")).alias("n"), F.avg(F.col(success).cast("double")).alias("rate"))
+    return each.agg(F.count("*").alias("n_processes"), F.sum("n").alias("n_success"), F.round(F.avg("rate"), 6).alias("mean_rate"))
+
+
+def table_shapes(shapes: DataFrame) -> DataFrame:
+    """shapes: n_rows, n_columns of each table. Their number, and mean and deviation of both."""
+    return shapes.agg(F.count("*").alias("n_tables"), *[x.alias(f"{name}_{c}") for c in ("rows", "columns") for name, x in (("mean", F.round(F.avg(f"n_{c}"), 6)), ("std", F.round(F.stddev_samp(f"n_{c}"), 6)))])
+
+
 def mean_std(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"))
 

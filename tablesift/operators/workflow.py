@@ -34,19 +34,38 @@ def lake_profile(lake: Lake) -> DataFrame:
     return out
 
 
-def find_candidates(lake: Lake, attributes: DataFrame | None = None, indexing: Indexing = Indexing(), settings: Search = Search()) -> DataFrame:
-    """attributes: resource_id, package_id. Candidate pairs in the columns that the stages exchange."""
+def index_lake(lake: Lake, folder: str, indexing: Indexing = Indexing(), batch: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(cells, profile) of a lake of any number of tables, written to folder batch by batch, so no plan holds more than a batch's tables. A
+    batch that is run again replaces its own files."""
+    names, ids = sorted(lake.tables), lake.ids
+    for i in range(0, len(names), batch):
+        part = Lake(lake.spark, {n: lake.tables[n] for n in names[i : i + batch]}, ids)
+        part.cells(indexing.cleaning.elements).write.mode("overwrite").parquet(f"{folder}/cells/batch={i // batch}")
+        lake_profile(part).write.mode("overwrite").parquet(f"{folder}/profile/batch={i // batch}")
+    return tuple(lake.spark.read.parquet(f"{folder}/{x}").drop("batch") for x in ("cells", "profile"))
+
+
+def usable(pairs: DataFrame) -> DataFrame:
+    """Pairs without members of zips of several tables: their ids have a number behind an underscore."""
+    return pairs.where(~F.contains("r_rsc_id", F.lit("_")) & ~F.contains("s_rsc_id", F.lit("_")))
+
+
+def find_candidates(lake: Lake, attributes: DataFrame | None = None, indexing: Indexing = Indexing(), settings: Search = Search(), index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """index: what `index_lake` gives; without it cells and profiles are worked out in one plan. attributes: resource_id, package_id, and resource_name if known. Candidate pairs in the columns that the stages exchange, and the resources' names."""
     packages = None
     if attributes is not None:
         packages = lake.dimension().join(attributes.select("resource_id", "package_id"), "resource_id").select("table_id", "package_id")
-    found = search.candidates(lake.cells(indexing.cleaning.elements), lake_profile(lake), settings, packages)
+    cells, profiled = index or (lake.cells(indexing.cleaning.elements), lake_profile(lake))
+    found = search.candidates(cells, profiled, settings, packages)
     names = lake.dimension().select("table_id", "resource_id")
+    called = attributes is not None and "resource_name" in attributes.columns
+    names = names.join(attributes.select("resource_id", "resource_name"), "resource_id", "left") if called else names.withColumn("resource_name", F.lit(None).cast("string"))
     for side in "rs":
-        found = found.join(F.broadcast(names.select(F.col("table_id").alias(f"{side}_table_id"), F.col("resource_id").alias(f"{side}_rsc_id"))), f"{side}_table_id")
+        found = found.join(names.select(F.col("table_id").alias(f"{side}_table_id"), F.col("resource_id").alias(f"{side}_rsc_id"), F.col("resource_name").alias(f"{side}_rsc_name")), f"{side}_table_id")
     package = lambda side: F.col(f"{side}_package_id") if packages is not None else F.lit(None).cast("string")
     return found.select(
         "r_rsc_id", "s_rsc_id", F.col("r_column_id").alias("r_col_id"), F.col("s_column_id").alias("s_col_id"), F.col("r_column_name").alias("r_col_name"), F.col("s_column_name").alias("s_col_name"),
-        "size_r_col", "size_s_col", package("r").alias("r_pkg_id"), package("s").alias("s_pkg_id"), "size_intersection", "size_union", "jaccard", "overlap",
+        "size_r_col", "size_s_col", package("r").alias("r_pkg_id"), package("s").alias("s_pkg_id"), "size_intersection", "size_union", "jaccard", "overlap", "r_rsc_name", "s_rsc_name",
     )
 
 
@@ -66,16 +85,35 @@ def chosen_pairs(evaluated: DataFrame, settings: Generation = Generation(), seed
 
 
 Asker = Callable[[str, str | None], tuple[str, int, int]]
-
-
-def generate_records(pairs: DataFrame, tables: dict[str, DataFrame], settings: Generation = Generation(), ask: Asker | None = None, reviewer: sqlgen.Reviewer = lambda sql, verdict: (True, "approve")) -> Iterator[tuple]:
+#: (question, SQL) to (approved, review, tokens in, tokens out)
+Judge = Callable[[str, str], tuple[bool, str, int, int]]
+
+
+def question(sql: str, columns: tuple[str, ...], names: tuple[str, ...], ask: Asker | None, judge: Judge, reviews: int) -> tuple[str, int, str, int, int]:
+    """(question, revisions, review, tokens in, tokens out) for a query: asked for, reviewed and revised at most so often. One that gives
+    column or table names away is sent back before the reviewer sees it; what still isn't approved at the end reads `FAILURE: ...`."""
+    tokens, review, nl, n = [0, 0], None, "", 0
+    for n in range(reviews + 1):
+        nl, more_in, more_out = ask(sql, review) if ask else (prompts.question_of(sql, columns), 0, 0)
+        tokens = [tokens[0] + more_in, tokens[1] + more_out]
+        if prompts.leaks(nl, columns, names):
+            approved, review = False, "The question names the schema."
+        else:
+            approved, review, more_in, more_out = judge(nl, sql)
+            tokens = [tokens[0] + more_in, tokens[1] + more_out]
+        if approved:
+            return nl, n, review, *tokens
+    return f"FAILURE: {nl}", n, review or "", *tokens
+
+
+def generate_records(pairs: DataFrame, tables: dict[str, DataFrame], settings: Generation = Generation(), ask: Asker | None = None, reviewer: sqlgen.Reviewer = lambda sql, verdict: (True, "approve"), judge: Judge = lambda nl, sql: (True, "approve", 0, 0)) -> Iterator[tuple]:
     """Rows of RECORD: for each pair and level a query on the first table (each table once), and one on both. SQL comes from the
-    templates, the question from ask(sql, review), or from the SQL itself; a question that gives the schema away fails."""
+    templates, the question from ask(sql, review), or from the SQL itself, and is reviewed by judge; one that gives the schema away fails."""
     seen: set[str] = set()
     number = 0
-    for pair in pairs.toLocalIterator():
+    for pair in usable(pairs).toLocalIterator():
         p = pair.asDict()
-        if any("_" in p[k] for k in ("r_rsc_id", "s_rsc_id")) or not {p["r_rsc_id"], p["s_rsc_id"]} <= set(tables):
+        if not {p["r_rsc_id"], p["s_rsc_id"]} <= set(tables):
             continue
         r, s = (profile.load_table(tables[p[k]], "complex") for k in ("r_rsc_id", "s_rsc_id"))
         on = tuple(clean_names([p["r_col_name"], p["s_col_name"]])) if p["r_col_name"] != p["s_col_name"] else tuple(clean_names([p["r_col_name"]])) * 2
@@ -88,17 +126,11 @@ def generate_records(pairs: DataFrame, tables: dict[str, DataFrame], settings: G
                 views = {"R": left} if right is None else {"R": left, "S": right}
                 made = sqlgen.generate(lambda review, q=sql: (q, 0, 0), reviewer, views, settings.max_reviews)
                 columns = tuple(c for t in views.values() for c in t.columns)
-                names = tuple(views) if right is not None else ()
-                nl, nl_in, nl_out, nl_began, revisions, review = "", 0, 0, time.monotonic(), 0, None
+                names = tuple(p[k] for k in ("r_rsc_name", "s_rsc_name")[: len(views)] if p.get(k))
+                nl_began, asked = time.monotonic(), ("", 0, None, 0, 0)
                 if made.success:
-                    for revisions in range(settings.max_reviews + 1):
-                        nl, more_in, more_out = ask(made.sql, review) if ask else (prompts.question_of(made.sql, columns), 0, 0)
-                        nl_in, nl_out = nl_in + more_in, nl_out + more_out
-                        review = "The question names the schema." if prompts.leaks(nl, columns, names) else "approve"
-                        if review == "approve":
-                            break
-                    else:
-                        nl = f"FAILURE: {nl}"
+                    asked = question(made.sql, columns, names, ask, judge, settings.max_reviews)
+                nl, revisions, review, nl_in, nl_out = asked
                 now = time.monotonic()
                 yield (
                     number, kind, level, made.success and not nl.startswith(("ERROR", "FAILURE")), p["r_rsc_id"], p["s_rsc_id"] if right is not None else None, p.get("r_pkg_id"), p.get("s_pkg_id") if right is not None else None,

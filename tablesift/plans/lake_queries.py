@@ -56,16 +56,14 @@ def null_profile(spark, sf_dir):
 
 
 def _dimension_lake(spark, sf_dir):
-    return lake.Lake(spark, {n: read(spark, sf_dir, n) for n in ("region", "nation", "supplier", "customer")})
+    return lake.Lake(spark, {n: read(spark, sf_dir, n) for n in ("region", "nation", "supplier", "customer", "part")})
 
 
-ORDER = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "supplier": ["s_suppkey"], "customer": ["c_custkey"]}
+ORDER = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "supplier": ["s_suppkey"], "customer": ["c_custkey"], "part": ["p_partkey"]}
 
 
 def cell_index(spark, sf_dir):
-    tables = _dimension_lake(spark, sf_dir)
-    tables.tables.pop("customer")
-    return tables.cells(order={k: v for k, v in ORDER.items() if k != "customer"})
+    return _dimension_lake(spark, sf_dir).cells(order=ORDER)
 
 
 def distinct_values(spark, sf_dir):
@@ -171,7 +169,11 @@ QUERIES = {
     )
 }
 
-_LAKE = "select 0 as table_id, c as column_id, v from (select 1 as c, s_name as v from supplier) union all select 1, 1, r_name from region union all select 2, 1, n_name from nation union all select 3, c, v from (select 1 as c, c_name as v from customer union all select 4, c_mktsegment from customer)"
+_PARTS = " union all ".join(f"select {t} as table_id, {c} as column_id, row_number() over (order by {key}) - 1 as row_id, {name} as v from {table}" for t, c, key, name, table in (
+    (0, 1, "s_suppkey", "s_name", "supplier"), (1, 1, "r_regionkey", "r_name", "region"), (2, 1, "p_partkey", "p_name", "part"), (2, 2, "p_partkey", "p_brand", "part"), (2, 3, "p_partkey", "p_type", "part"),
+    (3, 1, "n_nationkey", "n_name", "nation"), (4, 1, "c_custkey", "c_name", "customer"), (4, 4, "c_custkey", "c_mktsegment", "customer"),
+))
+_LAKE = f"select table_id, column_id, v from ({_PARTS})"
 _CELLS = f"cells as (select table_id, column_id, {sql_clean('v')} as value from ({_LAKE}) where v is not null), kept as (select * from cells where not {sql_is_num('value')})"
 _BRANDS = f"c as (select distinct p_brand as t, lower(p_name) as v from part where not {sql_is_num('lower(p_name)')}), n as (select t, count(*) as n from c group by t), i as (select a.t as r, b.t as s, count(*) as k from c a join c b on a.v = b.v and a.t < b.t group by a.t, b.t)"
 _MEASURE = "x.n as size_r_col, y.n as size_s_col, k as size_intersection, x.n + y.n - k as size_union, round(k / cast(x.n + y.n - k as double), 3) as jaccard, round(k / cast(least(x.n, y.n) as double), 3) as overlap"
@@ -187,9 +189,7 @@ select {sql_is_num('v')} as numeric, count(*) as n, count(distinct v) as n_disti
 union all select 1, 'user_id', count(*), count(*) - count(user_id), count(distinct user_id), round((count(*) - count(user_id)) / count(*), 6) from events
 union all select 2, 'value', count(*), count(*) filter (where not coalesce(value > 50, false)), count(distinct value) filter (where value > 50), round(count(*) filter (where not coalesce(value > 50, false)) / count(*), 6) from events
 union all select 3, 'nothing', count(*), count(*), 0, 1.0 from events""",
-    "cell_index": f"""with v as (select 0 as table_id, 1 as column_id, row_number() over (order by s_suppkey) - 1 as row_id, s_name as v from supplier union all
- select 1, 1, row_number() over (order by r_regionkey) - 1, r_name from region union all select 2, 1, row_number() over (order by n_nationkey) - 1, n_name from nation),
-c as (select table_id, column_id, row_id, {sql_clean('v')} as value from v) select * from c where not {sql_is_num('value')}""",
+    "cell_index": f"with c as (select table_id, column_id, row_id, {sql_clean('v')} as value from ({_PARTS})) select * from c where not {sql_is_num('value')}",
     "distinct_values": f"with {_CELLS} select distinct value from kept",
     "value_frequency": f"with {_CELLS} select value, count(distinct (table_id, column_id)) as n_columns, count(*) as n_cells from kept group by value",
     "dictionary_round_trip": f"select p_brand as table_id, count(*) as n_cells, count(distinct lower(p_name)) as n_values from part where not {sql_is_num('lower(p_name)')} group by p_brand",
@@ -212,5 +212,11 @@ from i join n x on x.t = r join n y on y.t = s where round(k / cast(x.n + y.n -
     "dedup_first": "select doc_id, lang, source, n_chars from (select *, row_number() over (partition by text order by doc_id) as i from documents) where i = 1",
     "dedup_subset": "select distinct lang, source from documents where not regexp_matches(text, 'dataset|record|table')",
     "strip_tags_truncate": r"select page_id, substring(regexp_replace(coalesce(html, ''), '(<[^>]+>)|\n|\r|\t', ' ', 'g'), 1, 1000) as notes from pages",
+    "seeded_shuffle": "select o_orderkey, o_orderstatus from orders",
+    "schema_text": """select * from (values
+('region', 'CREATE TABLE region (' || chr(10) || '    r_regionkey BIGINT,' || chr(10) || '    r_name VARCHAR(255)' || chr(10) || ');'),
+('customer', 'CREATE TABLE customer (' || chr(10) || '    c_custkey BIGINT,' || chr(10) || '    c_name VARCHAR(255),' || chr(10) || '    c_nationkey BIGINT,' || chr(10) || '    c_acctbal FLOAT,' || chr(10) || '    c_mktsegment VARCHAR(255)' || chr(10) || ');'),
+('events', 'CREATE TABLE events (' || chr(10) || '    event_id BIGINT,' || chr(10) || '    ts DATETIME,' || chr(10) || '    user_id BIGINT,' || chr(10) || '    event_type VARCHAR(255),' || chr(10) || '    value FLOAT,' || chr(10) || '    props VARCHAR(255)' || chr(10) || ');'),
+('orders', 'CREATE TABLE orders (' || chr(10) || '    o_orderkey BIGINT,' || chr(10) || '    o_custkey BIGINT,' || chr(10) || '    o_orderstatus VARCHAR(255),' || chr(10) || '    o_totalprice FLOAT,' || chr(10) || '    o_orderdate DATETIME,' || chr(10) || '    o_orderpriority VARCHAR(255)' || chr(10) || ');')) t(table_name, ddl)""",
     "budget_top": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50",
 }

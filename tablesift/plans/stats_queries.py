@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..functions.scoring import leaks, parse_review, parse_score, succeeded
 from ..operators import debate, metadata, sqlgen, stats
 from .lake_queries import read
@@ -78,15 +81,37 @@ def describe_numeric(spark, sf_dir):
 
 
 def table_shapes(spark, sf_dir):
-    """Mean and deviation of the rows of a lake's tables."""
-    rows = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    return rows.agg(F.count("*").alias("n_tables"), F.sum("n").alias("n_rows"), F.round(F.avg("n"), 6).alias("mean_rows"), F.round(F.stddev_samp("n"), 6).alias("std_rows"))
+    """Rows and columns of a lake's tables."""
+    names = ["region", "nation", "supplier", "customer", "part"]
+    shapes = [df.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns))) for df in (read(spark, sf_dir, n) for n in names)]
+    return stats.table_shapes(reduce(lambda a, b: a.union(b), shapes))
 
 
 def t_statistic(spark, sf_dir):
-    one = read(spark, sf_dir, "lineitem").agg(F.avg("l_discount"), F.stddev_samp("l_discount"), F.count("*")).first()
-    t, p = stats.t_test(one[0], one[1], one[2], 0.05)
-    return spark.createDataFrame([(round(t, 6), p)], "t double, p double").select("t", (F.col("p") <= 1).alias("p_valid"))
+    """Over all rows, and over three, where the p-value has a closed form: 1 - |t| / sqrt(2 + t^2)."""
+    rows = []
+    for name, df in (("all", read(spark, sf_dir, "lineitem").select("l_discount")), ("three", read(spark, sf_dir, "supplier").where("s_suppkey < 3").select(F.col("s_acctbal") / 1e5))):
+        mean, sd, n = df.agg(F.avg(df.columns[0].join("``")), F.stddev_samp(df.columns[0].join("``")), F.count("*")).first()
+        t, p = stats.t_test(mean, sd, n, 0.05)
+        rows.append((name, round(t, 6), round(p, 6) if name == "three" else None))
+    return spark.createDataFrame(rows, "rows string, t double, p double")
+
+
+def success_rates(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("process"), (F.col("value") > 50).alias("success"))
+    return stats.success_rates(events, "process", "success")
+
+
+def stage_seconds(spark, sf_dir):
+    """Text stamps to times, and the seconds between a user's first and last."""
+    stamps = read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    a, b = (dates.parse_time(F.date_format(x, "yyyy-MM-dd HH:mm:ss")) for x in ("a", "b"))
+    return stamps.select("user_id", dates.seconds_between(a, b).alias("seconds"), dates.parse_time(F.lit("no time")).isNull().alias("unreadable"))
+
+
+def cast_dates(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", dates.to_day(F.col("o_orderdate")).alias("day"), dates.to_day(F.date_format("o_orderdate", "dd/MM/yyyy"), "%d/%m/%Y").alias("read"), dates.to_day(F.col("o_orderpriority")).alias("none"))
 
 
 def regex_conditional_sum(spark, sf_dir):
@@ -125,7 +150,7 @@ def revision_totals(spark, sf_dir):
 
 
 def error_class_extract(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    orders = read(spark, sf_dir, "orders")
     message = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "ERROR").otherwise("FAILURE"), F.lit(", "), "o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, " Parser Error: at 1").otherwise(": no table"))
     return stats.error_classes(orders.select(message.alias("message")))
 
@@ -167,7 +192,10 @@ def sql_templates(spark, sf_dir):
 def sql_verdicts(spark, sf_dir):
     """Queries that must fail, and how."""
     t = {"R": read(spark, sf_dir, "region")}
-    cases = ["SELECT \"r_name\" FROM R", "SELECT * FROM R WHERE r_regionkey > 99", "SELEC 1", "SELECT nothing FROM R", "DROP TABLE R", "SELECT 1; SELECT 2", "SELECT count(*) FROM R WHERE regexp_matches(r_name, 'A')"]
+    cases = ["SELECT \"r_name\" FROM R", "SELECT * FROM R WHERE r_regionkey > 99", "SELEC 1", "SELECT nothing FROM R", "DROP TABLE R", "SELECT 1; SELECT 2", "SELECT count(*) FROM R WHERE regexp_matches(r_name, 'A')",
+             "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.lang.System', 'getenv', 'HOME') FROM R", "SELECT value FROM text.`/etc/passwd`", "SELECT * FROM range(5)",
+             "WITH x AS (SELECT r_name FROM R) SELECT (SELECT max(r_name) FROM x) FROM R WHERE EXISTS (SELECT 1 FROM x)", "SELECT (SELECT count(*) FROM csv.`/etc/passwd`) FROM R", "SELECT transform(r_name) USING 'cat' AS (x) FROM R",
+             "SELECT identifier('reflect')('a', 'b') FROM R"]
     found = [sqlgen.verify_sql(sql, t) for sql in cases]
     return spark.createDataFrame([(i, v.status, v.error_description == "Empty result set") for i, v in enumerate(found)], "case int, status string, empty boolean")
 
@@ -211,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         score_parse, majority_vote, debate_rounds, threshold_counts, threshold_join, running_success_rate, running_success_by_group, group_count_total, pivot_counts, pivot_rescaled,
-        group_mean_std, describe_numeric, table_shapes, t_statistic, regex_conditional_sum, replace_cast_sum, success_flag, leak_check, review_parse, revision_totals, error_class_extract,
+        group_mean_std, describe_numeric, table_shapes, t_statistic, success_rates, stage_seconds, cast_dates, regex_conditional_sum, replace_cast_sum, success_flag, leak_check, review_parse, revision_totals, error_class_extract,
         metadata_project, sql_templates, sql_verdicts, *(_sql(n, s[0], *s[1:]) for n, s in SHARED_SQL.items()),
     )
 }
@@ -245,8 +273,13 @@ v as (select pair_id, score, row_number() over (partition by pair_id order by co
     "pivot_rescaled": "select o_orderpriority, round(count(*) filter (where o_orderstatus = 'F') / 1000, 3) as single_k, round(count(*) filter (where o_orderstatus <> 'F') / 1000, 3) as multi_k from orders group by o_orderpriority",
     "group_mean_std": "select l_returnflag, l_linestatus, count(l_extendedprice) as n, round(avg(l_extendedprice), 6) as mean, round(stddev_samp(l_extendedprice), 6) as std from lineitem group by l_returnflag, l_linestatus",
     "describe_numeric": " union all ".join(f"select '{c}' as column_name, count({c}) as n, count(*) - count({c}) as n_nulls, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, round(min({c}), 6) as min, round(quantile_cont({c}, 0.25), 6) as q25, round(quantile_cont({c}, 0.5), 6) as q50, round(quantile_cont({c}, 0.75), 6) as q75, round(max({c}), 6) as max from lineitem" for c in ("l_quantity", "l_discount", "l_tax")),
-    "table_shapes": "with n as (select count(*) as n from part group by p_brand) select count(*) as n_tables, cast(sum(n) as bigint) as n_rows, round(avg(n), 6) as mean_rows, round(stddev_samp(n), 6) as std_rows from n",
-    "t_statistic": "select round((avg(l_discount) - 0.05) / (stddev_samp(l_discount) / sqrt(count(*))), 6) as t, true as p_valid from lineitem",
+    "table_shapes": """with t as (select count(*) as r, 2 as c from region union all select count(*), 3 from nation union all select count(*), 4 from supplier union all select count(*), 5 from customer union all select count(*), 6 from part)
+select count(*) as n_tables, round(avg(r), 6) as mean_rows, round(stddev_samp(r), 6) as std_rows, round(avg(c), 6) as mean_columns, round(stddev_samp(c), 6) as std_columns from t""",
+    "t_statistic": """with a as (select (avg(l_discount) - 0.05) / (stddev_samp(l_discount) / sqrt(count(*))) as t from lineitem), b as (select (avg(s_acctbal / 1e5) - 0.05) / (stddev_samp(s_acctbal / 1e5) / sqrt(count(*))) as t from supplier where s_suppkey < 3)
+select 'all' as rows, round(t, 6) as t, cast(null as double) as p from a union all select 'three', round(t, 6), round(1 - abs(t) / sqrt(2 + t * t), 6) from b""",
+    "success_rates": "with r as (select count(*) filter (where value > 50) as n, avg(case when value > 50 then 1.0 else 0.0 end) as rate from events group by user_id % 10) select count(*) as n_processes, cast(sum(n) as bigint) as n_success, round(avg(rate), 6) as mean_rate from r",
+    "stage_seconds": "select user_id, date_diff('second', date_trunc('second', min(ts)), date_trunc('second', max(ts))) as seconds, true as unreadable from events group by user_id",
+    "cast_dates": "select o_orderkey, cast(o_orderdate as date) as day, cast(strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') as date) as read, cast(null as date) as none from orders",
     "regex_conditional_sum": "select event_type, user_id % 3 as bucket, cast(sum(case when regexp_matches(props, '\"k\": \\d*[02468]\\}') then try_cast(regexp_extract(props, '(\\d+)', 1) as bigint) else 0 end) as bigint) as even_sum from events group by event_type, user_id % 3",
     "replace_cast_sum": "select p_brand, cast(sum(cast(replace(cast(p_size as varchar) || ',000', ',', '') as bigint)) as bigint) as total, count(*) as n from part group by p_brand",
     "success_flag": "select not (o_orderkey % 7 = 0 or o_orderkey % 11 = 0) as success, count(*) as n from orders group by 1",
@@ -254,11 +287,11 @@ v as (select pair_id, score, row_number() over (partition by pair_id order by co
 select conv_id, turn, contains(q, '''the''') or contains(q, '"the"') or contains(q, '`the`') or contains(q, '''in''') or contains(q, '"in"') or contains(q, '`in`') or contains(q, 'data_set') as leak from t""",
     "review_parse": "select doc_id, doc_id % 4 <> 0 and quality = 1 as approved from labels",
     "revision_totals": "select conv_id, count(*) as n_rev, cast(sum(length(text)) as bigint) as tokens, arg_max(sha256(text), turn) as last_review from conversations group by conv_id",
-    "error_class_extract": "select regexp_extract(case when o_orderkey % 2 = 0 then 'ERROR' else 'FAILURE' end || ', ' || o_orderstatus || case when o_orderkey % 5 = 0 then ' Parser Error: at 1' else ': no table' end, '(\\w+ Error|[\\w ,]+)', 1) as error_class, count(*) as n from orders where o_orderkey % 3 = 0 group by 1",
+    "error_class_extract": "select regexp_extract(case when o_orderkey % 2 = 0 then 'ERROR' else 'FAILURE' end || ', ' || o_orderstatus || case when o_orderkey % 5 = 0 then ' Parser Error: at 1' else ': no table' end, '(\\w+ Error|[\\w ,]+)', 1) as error_class, count(*) as n from orders group by 1",
     "metadata_project": """with x as (select *, 'r' || cast(n_nationkey % 20 as varchar) as rid, row_number() over (partition by n_nationkey % 20 order by r_regionkey desc, n_nationkey desc) as i from nation join region on n_regionkey = r_regionkey where n_nationkey % 4 <> 3)
 select rid as resource_id, n_name as resource_name, 'p' || cast(r_regionkey as varchar) as package_id, r_name as package_name, case when r_regionkey = 2 then '' else substring(' Notes  on ' || r_name, 1, 14) end as notes,
  case when r_regionkey % 2 = 0 then 'a,b' else 'c' end as keywords, cast(0 as integer) as tags, case when r_regionkey <> 1 then r_name end as organization_name, case when r_regionkey <> 1 then 't' end as organization_title, cast(null as varchar) as organization_description, cast(null as varchar) as jurisdiction from x where i = 1""",
     "sql_templates": "select t as type, l as level, 'success' as status from (values ('single-table'), ('multi-table-join'), ('multi-table-union')) a(t), (values ('simple'), ('moderate'), ('challenging')) b(l)",
-    "sql_verdicts": "select * from (values (0, 'success', false), (1, 'error', true), (2, 'error', false), (3, 'error', false), (4, 'error', false), (5, 'error', false), (6, 'success', false)) t(\"case\", status, empty)",
+    "sql_verdicts": "select * from (values (0, 'success', false), (1, 'error', true), (2, 'error', false), (3, 'error', false), (4, 'error', false), (5, 'error', false), (6, 'success', false), (7, 'error', false), (8, 'error', false), (9, 'error', false), (10, 'error', false), (11, 'success', false), (12, 'error', false), (13, 'error', false), (14, 'error', false)) t(\"case\", status, empty)",
     **{n: s[0] for n, s in SHARED_SQL.items()},
 }

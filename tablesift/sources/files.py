@@ -99,7 +99,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def write_index(cells: DataFrame, name: str, buckets: int = 64) -> None:
+def lookup(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
+    """Cells of the index table that hold one of the values: only their buckets are read."""
+    return spark.table(name).where(F.col("value").isin(values))
+
+
+def write_index(cells: DataFrame, name: str, buckets: int = 64, path: str | None = None) -> None:
     """The cell index as a table bucketed and sorted by value: later joins on the value need no shuffle, and a lookup reads
     one bucket, in it only row groups whose range and Bloom filter admit the value."""
-    cells.write.mode("overwrite").bucketBy(buckets, "value").sortBy("value").option("parquet.bloom.filter.enabled#value", "true").saveAsTable(name)
+    out = cells.write.mode("overwrite").bucketBy(buckets, "value").sortBy("value").option("parquet.bloom.filter.enabled#value", "true")
+    (out.option("path", path) if path else out).saveAsTable(name)

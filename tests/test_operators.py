@@ -149,3 +149,34 @@ def test_verify_sql_and_the_loop(spark):
     assert out.success and out.revisions == 2 and (out.tokens_in, out.tokens_out) == (30, 15) and seen[0] is None and seen[2] == "Empty result set"
     out = sqlgen.generate(lambda review: ("SELEC", 1, 1), lambda *_: (True, ""), t, 1)
     assert not out.success and out.sql.startswith("FAILURE: ") and out.tokens_in == 2
+
+
+def test_row_numbers_by_text_and_within_groups(spark):
+    import random
+
+    from tablesift.operators.order import row_numbers
+
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, "x", *(f"k{i:03}" for i in range(300))]), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, k string, i int")
+    got = sorted((x.n, x.k, x.i) for x in row_numbers(df, ["k", "i"], "n", 8).collect())
+    want = sorted(((k, i) for _, k, i in rows), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    assert got == [(n, *x) for n, x in enumerate(want)]
+    within = {}
+    for g, k, i in sorted(rows, key=lambda x: (x[1] is not None, x[1] or "", x[2])):
+        within[i] = sum(x == g for x in (y[0] for y in sorted(rows, key=lambda x: (x[1] is not None, x[1] or "", x[2]))[: sorted(rows, key=lambda x: (x[1] is not None, x[1] or "", x[2])).index((g, k, i))]))
+    assert {x.i: x.n for x in row_numbers(df, ["k", "i"], "n", 8, by=["g"]).collect()} == within
+
+
+def test_one_value_in_all_columns_is_split(spark, monkeypatch):
+    from tablesift.operators import search
+
+    monkeypatch.setattr(search, "BLOCK", 7)
+    columns = spark.range(60).selectExpr("id as table_id", "0 as column_id", "explode(array('hot', concat('own', id), concat('pair', id div 2))) as value")
+    got = {(x.r_table_id, x.s_table_id): x.k for x in search.overlaps(columns).collect()}
+    assert got == {(a, b): 2 if a // 2 == b // 2 else 1 for a in range(60) for b in range(a + 1, 60)}
+    probes = spark.createDataFrame([(5, 0)], "table_id long, column_id int")
+    some = {(x.r_table_id, x.s_table_id): x.k for x in search.overlaps(columns, probes).collect()}
+    assert some == {k: v for k, v in got.items() if 5 in k}
+    near = {(x.r_table_id, x.s_table_id) for x in search.similar_columns(columns, 0.5).collect()}
+    assert near == {(2 * a, 2 * a + 1) for a in range(30)}
