@@ -9,7 +9,8 @@ are exactly the repeated windows of DEPTH bytes. Not every suffix travels as a r
   other run has holds no repeated window and is dropped before the sort.
 * Equal runs are one kind, sorted once. All windows of a kind that occurs twice are repeated.
 * The suffixes of the kinds that share a string are sorted: up to GROUP kinds within a task, by digits of eight bytes
-  (`sort_equal`); larger groups over the cluster, suffix by suffix, by digits of a quarter of DEPTH (`_passes`).
+  (`sort_equal`); larger groups over the cluster: cut into pieces of BLOCK suffixes, of which equal ones are again one, and then
+  suffix by suffix, by digits of a quarter of DEPTH (`_passes`).
 
 Documents are dealt out once, into buckets by row id; all joins with texts read those.
 """
@@ -35,8 +36,8 @@ PIECE = 1 << 20
 GROUP = 64
 #: Bytes of kinds that are sorted at once there.
 AT_ONCE = 1 << 20
-#: Digits of the passes over the cluster.
-DIGITS = 4
+#: Windows of a piece, and digits of the passes over the cluster.
+BLOCK, DIGITS = 16, 4
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -227,10 +228,46 @@ def _suffixes(depth: int):
     return emit
 
 
-def _passes(kinds: DataFrame, depth: int) -> DataFrame:
-    """What `_sorted_here` gives, for groups of any size: a pass joins each suffix with the groups of several that its next digit makes."""
+PIECES = "h long, block int, core long, p1 long, p2 long, c1 long, c2 long, lone boolean, j int, n int, data binary"
+
+
+def _blocks(depth: int, gram: int):
+    """Rows KIND to pieces: the windows whose string starts within the same BLOCK bytes of them (so equal windows are in the same block), the
+    hash of what all such windows cover, the digest of what the piece's own cover, and the kind's number of its first window."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+        for batch in slices(batches, 5, 1 << 18):
+            out = []
+            for h, c1, c2, lone, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))):
+                at, last = int(runs_of(data, [len(data)], depth, gram)[2][0]), len(data) - depth
+                for block in range((at - last) // BLOCK, at // BLOCK + 1):
+                    first, end = max(0, at - BLOCK * block - BLOCK + 1), min(last, at - BLOCK * block)
+                    piece = data[first : end + depth]
+                    latest = at - BLOCK * block
+                    core = xxhash.xxh3_64_intdigest(data[latest : max(latest, latest - BLOCK + 1 + depth)])
+                    p1, p2 = np.frombuffer(xxhash.xxh3_128_digest(piece), dtype="<i8").tolist()
+                    out.append((h, block, core - (1 << 64) if core >> 63 else core, p1, p2, c1, c2, lone, first, end - first, piece))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
+
+    return emit
+
+
+def _passes(kinds: DataFrame, depth: int, gram: int) -> DataFrame:
+    """What `_sorted_here` gives, for groups of any size. Kinds are cut into pieces of BLOCK windows; those of which all windows' common bytes
+    occur once are dropped, equal ones are one. What is left in groups of several is sorted suffix by suffix: a pass joins each
+    with the groups of several that its next digit makes."""
+    pieces = materialize(kinds.transform(map_rows, _blocks(depth, gram), PIECES), "pieces")
+    group, piece = ["h", "block", "core"], ["p1", "p2"]
+    whole = pieces.groupBy(*group, *piece).agg(F.count("*").alias("c"), F.min(F.struct("c1", "c2", "j")).alias("one"))
+    whole = materialize(whole, "whole")
+    mixed = whole.groupBy(*group).agg(F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    open_ = whole.join(mixed, group, "left_semi").select("h", "one.*", (F.col("c") == 1).alias("alone"))
     digits = [f"d{i}" for i in range(DIGITS)]
-    left = materialize(kinds.transform(map_rows, _suffixes(depth), f"h long, c1 long, c2 long, lone boolean, j int, {', '.join(f'{d} long' for d in digits)}"), "suffixes")
+    rows = pieces.join(open_, ["h", "c1", "c2", "j"]).select("h", F.col("p1").alias("c1"), F.col("p2").alias("c2"), F.col("alone").alias("lone"), F.lit(True).alias("hot"), "data")
+    left = materialize(rows.transform(map_rows, _suffixes(depth), f"h long, c1 long, c2 long, lone boolean, j int, {', '.join(f'{d} long' for d in digits)}"), "suffixes")
     for n in range(1, DIGITS + 1):
         key = ["h", *digits[:n]]
         several = materialize(left.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").select(*key), "several")
@@ -238,9 +275,12 @@ def _passes(kinds: DataFrame, depth: int) -> DataFrame:
         discard(left, several)
         left = now
     js = left.where("lone").groupBy("c1", "c2").agg(F.collect_set("j").alias("js"))
-    stretch = F.transform(F.filter("js", lambda j: ~F.array_contains("js", j - 1)), lambda a: F.struct(a.cast("long").alias("a"), F.array_min(F.filter("js", lambda j: (j >= a) & ~F.array_contains("js", j + 1))).cast("long").alias("b")))
-    out = materialize(js.select("c1", "c2", F.inline(stretch)), "parts")
-    discard(left)
+    stretch = F.transform(F.filter("js", lambda j: ~F.array_contains("js", j - 1)), lambda a: F.struct(a.alias("a"), F.array_min(F.filter("js", lambda j: (j >= a) & ~F.array_contains("js", j + 1))).alias("b")))
+    some = js.select(F.col("c1").alias("p1"), F.col("c2").alias("p2"), F.inline(stretch))
+    lone = pieces.where("lone").select(*piece, "c1", "c2", "j", "n")
+    every = lone.join(whole.where("c > 1").select(*piece), piece, "left_semi").select("c1", "c2", F.col("j").cast("long").alias("a"), (F.col("j") + F.col("n")).cast("long").alias("b"))
+    out = materialize(every.union(lone.join(some, piece).select("c1", "c2", (F.col("j") + F.col("a")).cast("long"), (F.col("j") + F.col("b")).cast("long"))), "parts")
+    discard(pieces, whole, left)
     return out
 
 
@@ -285,7 +325,7 @@ def repeated_spans(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Da
     parts = kinds.where("not hot").repartition("h").sortWithinPartitions("h").transform(map_rows, _sorted_here(depth), "c1 long, c2 long, a long, b long")
     parts = [materialize(parts, "parts")]
     if kinds.where("hot").limit(1).count():
-        parts.append(_passes(kinds.where("hot"), depth))
+        parts.append(_passes(kinds.where("hot"), depth, gram))
     repeated = runs.join(whole.where("c > 1").select("c1", "c2"), ["c1", "c2"]).select("id", "lo", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
     spans = repeated
     for p in parts:
