@@ -5,8 +5,9 @@ budget, which finds most copies cheaply. Such a budget is far too tight for all
 and a budget that wide prunes nothing), so `BANDS` bands of `ROWS` MinHash values propose the others: a pair at the threshold
 shares no band with a chance of (1 - 0.8^4)^40, about 7e-10. Each candidate is verified on the full sets. Equal sets are one
 node. In each bucket all members are first compared with its smallest and its largest node; what these links and the
-trie's make one component needs no more comparison, and all pairs of a bucket that are still in different components are
-compared after that.
+trie's make one component needs no more comparison. Nodes of buckets that still hold several components are gathered into clusters
+(whatever such buckets connect), and a cluster's sets are compared in pairs of blocks of about `BLOCK`: a task counts the common
+shingles of two blocks through their postings and emits only links that join components; no pairs are written out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .simhash import bit_counts, majority, trie_join
 
 WORDS = 5
 BANDS, ROWS = 40, 4
+BLOCK = 256
 SEED = 42
 _MULTIPLY, _ADD = (np.random.default_rng(SEED + i).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for i in range(2))
 _MULTIPLY |= np.uint64(1)
@@ -101,9 +103,52 @@ def _trie_pairs(nodes: DataFrame) -> DataFrame:
     return same.union(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
 
 
-def _near(a: str, b: str) -> F.Column:
-    """Whether sets of these sizes can be similar."""
-    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
+def block_links(node: list[int], comp: list[int], block: list[int], sets: list[np.ndarray], i: int, j: int) -> list[tuple[int, int]]:
+    """Links (u, v) between sets of block i and of block j that are similar and not yet in one component; each joins two."""
+    left, right = ([k for k, x in enumerate(block) if x == y] for y in (i, j))
+    parent = {c: c for c in comp}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    if not left or not right:
+        return []
+    size = np.array([len(sets[k]) for k in right])
+    values = np.concatenate([sets[k] for k in right])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(right)), size)[order]
+    out = []
+    for k in left:
+        lo, hi = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+        hits = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(hits.sum())
+        common = np.bincount(owner[at], minlength=len(right))
+        for m in np.flatnonzero(5 * common >= 4 * (len(sets[k]) + size - common)):
+            a, b = root(comp[k]), root(comp[right[m]])
+            if a != b:
+                parent[a] = b
+                out.append((node[k], node[right[m]]))
+    return out
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, i, j, block, node, comp, text), those of one (cluster, i, j) together, to links."""
+    now, group = None, []
+
+    def links() -> pa.RecordBatch:
+        found = block_links([g[1] for g in group], [g[2] for g in group], [g[0] for g in group], [g[3] for g in group], *now[1:]) if group else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for batch in slices(batches, 6, 8 << 20):
+        keys = zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)))
+        for key, block, node, comp, text in zip(keys, *(batch.column(k).to_pylist() for k in (3, 4, 5)), byte_texts(batch.column(6))):
+            if key != now:
+                yield links()
+                now, group = key, []
+            group.append((block, node, comp, shingles(text)))
+    yield links()
 
 
 def _components(docs: DataFrame) -> DataFrame:
@@ -127,12 +172,18 @@ def _components(docs: DataFrame) -> DataFrame:
     at = members.join(comps, "node", "left").select("band", "node", "size", F.coalesce("comp", "node").alias("comp"))
     mixed = at.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band")
     at = materialize(at.join(mixed, "band"), "mixed")
-    other = at.select("band", F.col("node").alias("v"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
-    rest = at.withColumnRenamed("node", "u").join(other, "band").where((F.col("u") < F.col("v")) & (F.col("comp") != F.col("comp2")) & _near("size", "size2"))
-    rest = materialize(rest.select("u", "v").distinct().join(star, ["u", "v"], "left_anti"), "rest")
-    second = _links(rest, texts)
+    hubs = at.groupBy("band").agg(F.min("node").alias("hub"))
+    clusters = materialize(connected_components(at.join(hubs, "band").select(F.col("node").alias("u"), F.col("hub").alias("v"))), "clusters")
+    own = at.select("node", "comp").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    own = materialize(own, "own")
+    sizes = own.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = own.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
+    dealt = dealt.join(texts, "node").select("cluster", "i", "j", "block", "node", "comp", "text")
+    second = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").transform(map_rows, _block_links, "u long, v long")
+    second = materialize(second, "second")
     comps = materialize(connected_components(first.union(second)), "comps")
-    discard(nodes, ends, members, trie, texts, star, at, rest, first, second)
+    discard(nodes, ends, members, trie, texts, star, at, clusters, own, first, second)
     return prints.select("doc_id", "key", "node").join(comps, "node", "left").select("doc_id", "key", F.coalesce("comp", "node").alias("comp"))
 
 

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from tablesift.llm import nearcopies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,6 +47,22 @@ def test_near_dedup_against_brute_force_jaccard(spark):
     assert sorted(x.doc_id for x in kept.collect()) == brute(rows)
 
 
+def test_a_large_cluster_just_below_and_above_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 20)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(160):  # copies of one text with three to five edits: many pairs lie around 0.8
+        c = list(base)
+        for k in r.sample(range(200), r.choice([3, 4, 5])):
+            c[k] = f"n{i}_{k}"
+        texts.append(" ".join(c))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == brute(rows) and 1 < len(kept) < 160
+
+
 def test_empty_and_repeated(spark):
     assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
     rows = [(None, "a b", None, None, 0), (7, "a b", None, None, 0), (7, "a b", None, None, 0), (None, "zz", None, None, 0)]
