@@ -5,7 +5,7 @@ blanks between a vowel and one of a to h; where there are none, after 400), so a
 document are sketched, whatever their number; the cells needed depend on the difference of two texts, not on their
 length. A digest goes to one cell of each of three subtables; a cell holds the count, the XOR of digests and the XOR of their checksums. Subtracting
 two sketches cancels what both texts have; peeling cells that hold a single digest recovers the
-others, and where that stalls the sketches are made anew, three times as large. The first try is on the returned
+others, and where that stalls larger sketches are tried. The first try is on the returned
 fingerprints. Beyond the largest size the digests are compared directly. Likeness is the share of common digests in all, from the digests recovered.
 """
 
@@ -20,8 +20,8 @@ from .common import materialize, row_key, table
 
 _END, _IN = r"[\n.!?|]", r"[^\n.!?|]"
 PARAGRAPH = rf"{_IN}{{1,160}}+{_END}++|{_IN}{{1,400}}?(?<=[aeiou]) (?=[a-h])|{_IN}{{1,400}}+{_END}*+|{_END}++"
-#: Cells of a subtable at first, and at each retry.
-SIZES = (8, 24, 72)
+#: Cells of a subtable at first, and at the retry.
+SIZES = (8, 48)
 ROUNDS = 24
 #: Ids in a stretch of the global order that one task sorts, and the most stretches by id.
 STRETCH, STRETCHES = 2000, 1000
@@ -96,13 +96,18 @@ def peel(cells: Column, size: int) -> Column:
     )
 
 
+def sketched(df: DataFrame, *names: str) -> DataFrame:
+    """Adds the sketches of digest arrays, `_<name>_<size>`, each worked out once however often it is used."""
+    return df.withColumns({f"_{x}_{size}": sketch(F.col(x), size) for x in names for size in SIZES})
+
+
 def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Adds `out`: the likeness of the digest arrays a and b (each distinct)."""
+    """Adds `out`: the likeness of the digest arrays a and b (each distinct), from their sketches in df."""
     last = None
     steps = []
     for i, size in enumerate(SIZES):
         name = f"_{out}{i}"
-        tried = peel(subtract(sketch(F.col(a), size), sketch(F.col(b), size)), size)
+        tried = peel(subtract(F.col(f"_{a}_{size}"), F.col(f"_{b}_{size}")), size)
         df = df.withColumn(name, F.when(F.col(f"{last}.ok"), F.col(last)).otherwise(tried) if last else tried)
         last, steps = name, [*steps, name]
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
@@ -173,7 +178,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     df = base.join(given, (F.col("key") == F.col("for_key")) & (F.col("key2") == F.col("for_key2")))
     df = df.select("doc_id", "next_doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", "next_all", F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - F.col("need")), "tail").alias("edited"))
     df = df.select("doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("all"), digests(F.col("edited")).alias("edited_all"), "next_all")
-    df = df.select("doc_id", "n_chars", "edited_sha256", "next_doc_id", as_text(sketch(F.col("all"))).alias("fingerprint"), as_text(sketch(F.col("edited_all"))).alias("edited_fingerprint"), "all", "edited_all", "next_all")
+    df = sketched(df, "all", "edited_all", "next_all")
+    df = df.withColumns({"fingerprint": as_text(F.col(f"_all_{SIZES[0]}")), "edited_fingerprint": as_text(F.col(f"_edited_all_{SIZES[0]}"))})
     df = likeness(likeness(df, "all", "edited_all", "near_edited"), "all", "next_all", "near_next")
     return df.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_doc_id")
 

@@ -27,7 +27,7 @@ def test_too_small_a_sketch_says_so_and_a_larger_one_is_right(spark):
     sets = [[r.randrange(-(2**63), 2**63) for _ in range(32)] for _ in range(2)]
     df = spark.createDataFrame([(sets[0], sets[1] + sets[0][:4]), (sets[0], sets[0]), ([], []), ([], sets[0][:5])], "a array<long>, b array<long>")
     assert not df.select(fp.peel(fp.subtract(fp.sketch(F.col("a"), 8), fp.sketch(F.col("b"), 8)), 8)["ok"].alias("ok")).first().ok
-    assert [round(x.l, 6) for x in fp.likeness(df, "a", "b", "l").collect()] == [round(4 / 64, 6), 1, 1, 0]
+    assert [round(x.l, 6) for x in fp.likeness(fp.sketched(df, "a", "b"), "a", "b", "l").collect()] == [round(4 / 64, 6), 1, 1, 0]
 
 
 def paragraphs(text):
