@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality", "license", "linededup", "suffix", "langid", "mixing", "fingerprint", "warc", "decontaminate", "simhash", "infill"]
+MODULES = ["quality", "license", "linededup", "suffix", "langid", "mixing", "fingerprint", "warc", "decontaminate", "simhash", "divergence", "pieces", "infill"]
 
 
 def queries() -> dict:
