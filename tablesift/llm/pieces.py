@@ -3,11 +3,13 @@
 A chunk is a run of whitespace markers and what stands up to the next one. Where no piece has a marker after another character,
 no merge reaches over a chunk's beginning, so chunks are segmented apart, and each distinct one of the corpus once:
 
-* `chunk_table` counts the chunks (combined within tasks first) and segments each of them;
-* the FREQUENT most frequent chunks of at most CHUNK_BYTES go to all tasks, a size bounded by the two;
-* any other chunk makes up at most 1/FREQUENT of all (or is long), so no key of the join that looks the others up is hot.
-  Each document's own distinct ones are sent to the table and their ids back to the document;
+* `chunk_table` counts the chunks (combined within tasks first), takes the FREQUENT most frequent of at most CHUNK_BYTES, segments
+  each of them once and sends them to all tasks, a size bounded by the two;
+* the tail is segmented where it occurs, each distinct chunk once in a task, which keeps up to HELD of them at a time;
 * the ids of a document are those of its chunks, joined by position.
+
+A join of the tail with a table of the whole corpus gives the same ids, but in word-rich texts it moves several times the corpus
+(README.md has the figures); segmenting a rare chunk again in another task costs less than sending it there and back.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, row_key, slices, table, unused
+from .common import map_rows, slices, table, unused
 
 MARK = "▁"
 FREQUENT = 100_000
 CHUNK_BYTES = 256
-#: A task's counts are handed on when it has met so many distinct chunks.
+#: A task's counts are handed on, and its own table begins anew, when it has met so many distinct chunks.
 HELD = 200_000
 #: Texts are cut, ids decoded, in stretches of so many chunks.
 STRETCH = 1 << 16
@@ -96,70 +98,60 @@ def _counts(seen: Counter[str]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["chunk", "n"])
 
 
-def chunk_table(docs: DataFrame, model: bytes) -> DataFrame:
-    """The distinct chunks of docs.text: chunk, n (how often), ids (32-bit little-endian)."""
+def segments(library, chunk: list[str]) -> list[bytes]:
+    """`segment` for many, as 32-bit little-endian ids."""
+    found = library.encode([c.replace(MARK, " ") for c in chunk], num_threads=1)
+    return [np.array(ids if c else segment(library, c), dtype="<i4").tobytes() for c, ids in zip(chunk, found)]
+
+
+def chunk_table(docs: DataFrame, model: bytes, frequent: int = FREQUENT) -> DataFrame:
+    """The most frequent chunks of docs.text: chunk, n (how often), ids (32-bit little-endian)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = processor(shared.value)
         for batch in batches:
-            ids = [np.array(segment(library, c), dtype="<i4").tobytes() for c in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["chunk", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segments(library, batch.column(0).to_pylist()), pa.binary())], names=["chunk", "n", "ids"])
 
     counted = docs.select("text").transform(map_rows, _counted, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return materialize(counted.transform(map_rows, run, "chunk string, n long, ids binary"), "chunks")
+    most = counted.where(F.octet_length("chunk") <= CHUNK_BYTES).orderBy(F.desc("n"), "chunk").limit(frequent)
+    return most.transform(map_rows, run, "chunk string, n long, ids binary")
 
 
-def encode(docs: DataFrame, model: bytes | None = None, frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, model: bytes | None = None, frequent: int = FREQUENT, held: int = HELD) -> DataFrame:
     """docs: doc_id, text, more columns or none. A row for each of its rows: doc_id, ids (array of int), exactly those of the library's
-    encode() without begin or end ids.
+    encode() without begin or end ids. frequent, held: entries of the corpus's and of a task's table; they don't change the result.
 
     A null text is empty and has no ids. Repeated rows are encoded alike; null ids are allowed; an empty table gives an empty
     result; texts of any length are encoded whole, in stretches. Other columns are not read. A chunk is segmented by one
     call of the library, as a whole text is without this module, so a text without white space needs what it needs there.
     """
-    spark = docs.sparkSession
     model = model or default_model()
     processor(model)  # faults of the model show here
-    known = chunk_table(docs, model)
-    common = F.octet_length("chunk") <= CHUNK_BYTES
-    top = known.where(common).orderBy(F.desc("n"), "chunk").limit(frequent).select("chunk", "ids").toArrow()
-    shared = spark.sparkContext.broadcast(dict(zip(top["chunk"].to_pylist(), top["ids"].to_pylist())))
-    kind = dict(docs.dtypes)["doc_id"]
-    if known.count() == top.num_rows:  # nothing is left to be looked up
-        rows = docs.select("doc_id", "text", F.lit(None).cast("array<struct<chunk:string,ids:binary>>").alias("own"))
-    else:
-        keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
-
-        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            for batch in slices(batches, 1, 8 << 20):
-                at, out = [], []
-                for i, text in enumerate(batch.column(1)):
-                    for part in chunks(text.as_py()):
-                        new = set(part).difference(table)
-                        out += new
-                        at += [i] * len(new)
-                if out:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(out, pa.string())], names=["key", "chunk"])
-
-        asked = keyed.select("key", "text").transform(map_rows, rare, "key struct<a:bigint,b:bigint>, chunk string")
-        lists = asked.join(known, "chunk").groupBy("key").agg(F.collect_set(F.struct("chunk", "ids")).alias("own"))
-        rows = keyed.join(lists.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "own")
+    top = chunk_table(docs, model, frequent).toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((model, dict(zip(top["chunk"].to_pylist(), top["ids"].to_pylist()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        proto, table = shared.value
+        library, known = processor(proto), dict(table)
         for batch in slices(batches, 1, 2 << 20):
             flat, ends = [], [0]
-            for text, own in zip(batch.column(1), batch.column(2).to_pylist()):
-                mine = {x["chunk"]: x["ids"] for x in own or ()}
-                ids = b"".join([b"".join([table.get(c) or mine[c] for c in part] if mine else map(table.__getitem__, part)) for part in chunks(text.as_py())])
-                flat.append(ids)
-                ends.append(ends[-1] + len(ids) // 4)
+            for text in batch.column(1):
+                ids = []
+                for part in chunks(text.as_py()):
+                    new = list(set(part).difference(known))
+                    if len(known) + len(new) > len(table) + held:
+                        known = dict(table)
+                        new = list(set(part).difference(known))
+                    if new:
+                        known.update(zip(new, segments(library, new)))
+                    ids.append(b"".join(map(known.__getitem__, part)))
+                flat += ids
+                ends.append(ends[-1] + sum(map(len, ids)) // 4)
             ids = pa.ListArray.from_arrays(pa.array(np.array(ends), pa.int32()), pa.array(np.frombuffer(b"".join(flat), dtype="<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
-    return rows.transform(map_rows, run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").transform(map_rows, run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:

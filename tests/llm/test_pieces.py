@@ -19,11 +19,11 @@ def texts():
     return [*out, None, "", " ", "  ", " a", "a ", "\n", MARK, MARK + "a", " " * 60, "same words again " * 400, "b" * 3000, " ".join(f"w{i}" for i in range(3000))]
 
 
-@pytest.mark.parametrize("frequent", [0, 7, 100_000])
-def test_ids_and_texts_are_the_librarys(spark, frequent):
+@pytest.mark.parametrize(("frequent", "held"), [(0, 0), (7, 20), (0, 10**6), (100_000, 200_000)])
+def test_ids_and_texts_are_the_librarys(spark, frequent, held):
     library = processor(default_model())
     data = [(i, t, "", "", "", "") for i, t in enumerate(texts())] + [(None, "a null id", "", "", "", "")] * 3 + [(4, "an id twice", "", "", "", ""), (4, "an id  twice", "", "", "", "")]
-    got = decode(encode(spark.createDataFrame(data, SCHEMA).repartition(5), frequent=frequent)).collect()
+    got = decode(encode(spark.createDataFrame(data, SCHEMA).repartition(5), frequent=frequent, held=held)).collect()
     want = [(d, ids := library.encode(t or ""), library.decode(ids)) for d, t, *_ in data]
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
 
@@ -39,9 +39,10 @@ def test_stretches(spark, monkeypatch):
         assert pieces._decoded(library, marked, np.array(ids, dtype=int)) == library.decode(ids)
 
 
-def test_each_distinct_chunk_is_segmented_once(spark, monkeypatch):
+def test_each_frequent_chunk_is_counted_and_segmented_once(spark, monkeypatch):
     df = spark.createDataFrame([(i, "to be or not to be " + "q" * (i % 3)) for i in range(500)], "doc_id long, text string")
     got = {r.chunk: r.n for r in pieces.chunk_table(df.repartition(6), default_model()).collect()}
+    assert [r.chunk for r in pieces.chunk_table(df, default_model(), 2).collect()] == ["be", "to"]
     assert got == {"to": 1000, "be": 1000, "or": 500, "not": 500, "": 167, "q": 167, "qq": 166}
     monkeypatch.setattr(pieces, "HELD", 2)  # counts of a task come in several parts, and add up
     batches = [pa.RecordBatch.from_arrays([pa.array(["a a b c a", None, "b d"])], names=["text"])] * 2
