@@ -213,17 +213,6 @@ def train(docs: DataFrame, seed: int = SEED) -> Model | None:
     return fit(np.array(counted["lang"].to_pylist(), dtype=object), np.asarray(counted["gram"]), np.asarray(counted["n"]))
 
 
-def train(docs: DataFrame, seed: int = SEED) -> Model | None:
-    """The model from docs (doc_id, text, lang): rows with text and lang, outside the held-out third."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    sums = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumn("share", SAMPLE_BYTES / F.greatest("bytes", F.lit(1)))
-    rate = docs.sparkSession.createDataFrame([(r["lang"], float(r["share"])) for r in sums.collect()], "lang string, share double")
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(small(rate, 100_000), "lang").where(part < F.col("share")).select("lang", "text")
-    counted = sample.transform(map_rows, _grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    return fit(np.array(counted["lang"].to_pylist(), dtype=object), np.asarray(counted["gram"]), np.asarray(counted["n"]))
-
-
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs: doc_id, text, lang (for learning only), more columns or none. A row for each of its rows: doc_id,
     held_out, lang_pred, score (the winner's posterior probability under equal priors), bits (its code length).

@@ -113,3 +113,29 @@ def test_edge_rows(spark):
     assert [pred[i] for i in (2, 3, 4)] == ["und"] * 3 and set(pred) <= {"en", "de", "und"} and len(pred) == 9 and pred[5] == "en"
     assert identify(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r.lang_pred for r in identify(spark.createDataFrame([(1, "abc", None, None, "", "")], SCHEMA)).collect()] == ["und"]
+
+
+def test_few_long_texts_of_a_language_are_learned_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 64 << 10)
+    ids = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[k], (" ".join(TEXTS[lang]) + " ") * 60_000, lang, "", "", "") for k, lang in enumerate(TEXTS)]  # one text of some 4 MB each
+    assert min(len(r[1]) for r in rows) > 2_000_000
+    model = train(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(model.languages) == sorted(TEXTS)
+
+
+def test_the_sample_of_many_languages_stays_within_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TOTAL_BYTES", 1 << 20)
+    taken = {}
+    whole = langid.fit
+
+    def counting(lang, gram, n):
+        taken["bytes"], taken["languages"] = int(n.sum()), len(set(lang))
+        return whole(lang, gram, n)
+
+    monkeypatch.setattr(langid, "fit", counting)
+    ids = [i for i in range(6100) if zlib.crc32(str(i).encode()) % 3 != 1][:4000]
+    rows = [(i, f"l{k % 100:02} " * 2500, f"l{k % 100:02}", "", "", "") for k, i in enumerate(ids)]
+    model = train(spark.createDataFrame(rows, SCHEMA))
+    assert taken["languages"] == len(model.languages) >= 95  # pieces are drawn by hash: of 40 documents a language sends about two
+    assert 0.5 * (1 << 20) < taken["bytes"] < 1.5 * (1 << 20)
