@@ -172,8 +172,9 @@ def classify(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFra
     counted = docs.select("text").transform(map_rows, _voted, "pattern long").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
     patterns, counts = np.array([r["pattern"] for r in counted], dtype=np.int64), np.array([r["n"] for r in counted], dtype=float)
     prior, chance = estimate(patterns, counts, len(LABELLERS)) if len(patterns) else (0.5, np.full((2, len(LABELLERS), 3), 1 / 3))
-    share = min(1.0, sample / max(1.0, counts.sum()))
-    part = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))
+    order = F.xxhash64("text", F.lit(seed))  # the texts with the least hashes, each once, however often they come
+    last = docs.select(order.alias("hash")).distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    part = F.lit(False) if last is None else order <= F.lit(last)
     drawn = docs.where(part).groupBy(F.xxhash64("text"), F.xxhash64(F.lit(seed), "text")).agg(F.first("text").alias("text"))
     drawn = drawn.select("text").transform(map_rows, _featured, "pattern long, x binary").toArrow()
     x = np.frombuffer(b"".join(drawn["x"].to_pylist()), dtype=np.float16).reshape(-1, BUCKETS).astype(np.float32)

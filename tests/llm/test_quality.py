@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tablesift.llm import quality
 from tablesift.llm.quality import LABELLERS, classify, estimate, posterior, statistics, votes
@@ -124,6 +125,22 @@ def test_the_whole_query_against_brute_force(spark, tmp_path):
         assert got[i].keep == (got[i].score >= 0.5) and got[i].n_votes == sum(x > 0 for x in quality.votes(plain_statistics(texts[i] or "")))
 
 
-def test_a_text_repeated_often_is_drawn_once(spark):
-    df = spark.range(5000).selectExpr("1L as doc_id", "'the same text of the same ten words again and again' as text")
-    assert {(x.score, x.keep) for x in quality.classify(df, sample=10**9).collect()} and quality.classify(df).count() == 5000
+def test_texts_repeated_often_train_the_scorer_too(spark):
+    good = "the cat and the dog of a house in which they have been for years and it was not as cold as that. ".split()
+    r = random.Random(9)
+    texts = [" ".join(r.choice(good) for _ in range(60)) if i % 2 else f"BUY {i} $$ NOW!! | - * " * 12 for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {x.doc_id: x.score for x in quality.classify(df).collect()}
+    many = df.join(spark.range(20_000).select(F.lit(1).alias("one"))).drop("one").repartition(8)
+    got = quality.classify(many).groupBy("doc_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("n")).collect()
+    assert len(got) == 40 and all(x.n == 20_000 and x.lo == x.hi for x in got)
+    assert len({x.lo for x in got}) > 20 and {x.lo >= 0.5 for x in got} == {True, False}
+    assert max(abs(x.lo - want[x.doc_id]) for x in got) < 0.02  # as if each text were there once
+
+
+def test_the_scorer_is_fit_on_no_more_than_the_sample(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('the text number ', id % 500, ' of all that is said here and there') as text")
+    order = F.xxhash64("text", F.lit(quality.SEED))
+    least = df.select(order.alias("h")).distinct().orderBy("h").limit(64).agg(F.max("h")).first()[0]
+    assert df.where(order <= least).select("text").distinct().count() == 64
+    assert quality.classify(df, sample=64).count() == 3000 and quality.classify(df.limit(0)).count() == 0
