@@ -63,3 +63,14 @@ class Generation:
     max_notes: int = 1000
     max_columns: int = 20
     sample_rows: int = 5
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a generated query may use."""
+
+    seconds: float = 60
+    #: Pairs of rows (estimated) that a join without equal keys may compare. It also bounds what a cancelled task still does.
+    pairs: float = 1e10
+    at_once: int = 8
+    pool: str = "verification"

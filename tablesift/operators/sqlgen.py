@@ -6,11 +6,14 @@ import re
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..config import Limits
 from .sets import common_attributes, same_schema
 
 
@@ -85,26 +88,105 @@ def to_spark(sql: str) -> str:
     return "".join(parts)
 
 
-def verify_sql(sql: str, tables: dict[str, DataFrame]) -> Verdict:
+def _rows(plan) -> float:
+    """About how many rows a physical plan's node gives; products of products are multiplied out."""
+    name, children = plan.nodeName(), _each(plan.children())
+    if not children:
+        link = plan.logicalLink()
+        if link.isEmpty():
+            return 1.0
+        stats = link.get().stats()
+        known = stats.rowCount()
+        return float(str(known.get())) if known.isDefined() else float(str(stats.sizeInBytes())) / (8 + link.get().schema().defaultSize())
+    below = [_rows(c) for c in children]
+    if name in _PRODUCTS:
+        return below[0] * below[1]
+    if "Aggregate" in name and plan.groupingExpressions().isEmpty():
+        return 1.0
+    if name in ("LocalLimit", "GlobalLimit", "CollectLimit", "TakeOrderedAndProject"):
+        return min(below[0], float(plan.limit()))
+    return sum(below) if name == "Union" else max(below)
+
+
+_PRODUCTS = frozenset(("CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def largest_product(df: DataFrame) -> float:
+    """How many pairs of rows the largest join without equal keys compares, by the sizes that the optimizer knows; 0 if there is none."""
+
+    def walk(plan) -> float:
+        return max([_rows(plan) if plan.nodeName() in _PRODUCTS else 0.0, *map(walk, _each(plan.children()))])
+
+    execution = df._jdf.queryExecution()
+    planner = execution.sparkSession().sessionState().planner()
+    inner = [planner.plan(x).next() for x in _each(execution.optimizedPlan().subqueriesAll())]  # scalar subqueries are planned apart
+    return max(map(walk, [execution.sparkPlan(), *inner]))
+
+
+def _verify(session, query: str, sql: str, tables: dict[str, DataFrame], names: dict[str, str], limits: Limits) -> Verdict:
+    check_plan(session._jsparkSession.sessionState().sqlParser().parsePlan(query), frozenset(n.lower() for n in tables))
+    for name, df in tables.items():
+        df.createGlobalTempView(names[name])
+        session.table(f"global_temp.{names[name]}").createOrReplaceTempView(name)
+    found = session.sql(query).limit(1)
+    pairs = largest_product(found)
+    if pairs > limits.pairs:
+        raise Refused(f"a product of about {pairs:.1e} pairs of rows")
+    if pairs:  # a task looks whether it was cancelled at each row of an exchange, but not within a row's own product
+        for name in tables:
+            session.table(f"global_temp.{names[name]}").repartition(4 * session.sparkContext.defaultParallelism).createOrReplaceTempView(name)
+        found = session.sql(query).limit(1)
+    rows = found.collect()
+    return Verdict("success", "", sql, str(rows[0].asDict())) if rows else Verdict("error", "Empty result set", sql, "")
+
+
+def verify_sql(sql: str, tables: dict[str, DataFrame], limits: Limits = Limits()) -> Verdict:
     """Runs one query over the given tables in a session of its own and fetches one row. An exception, an empty result, and a statement
-    that is no query or reaches beyond the tables (see `check_plan`) are errors. The views last as long as the call, so a retry finds them anew."""
+    that is no query or reaches beyond the tables (see `check_plan`) are errors. So is a query whose plan has too large a product, or
+    that isn't done in time: its jobs, known by a tag, are cancelled then. The views last as long as the call, so a retry finds them anew."""
     query = to_spark(sql)
     spark = next(iter(tables.values())).sparkSession
-    session, names = spark.newSession(), {name: f"tablesift_{uuid.uuid4().hex}" for name in tables}
+    session, tag = spark.newSession(), f"tablesift-{uuid.uuid4().hex}"
+    names = {name: f"tablesift_{uuid.uuid4().hex}" for name in tables}
+    out: list[Verdict] = []
+
+    def work() -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", limits.pool)
+        spark.sparkContext.setInterruptOnCancel(True)
+        spark.sparkContext.addJobTag(tag)
+        try:
+            out.append(_verify(session, query, sql, tables, names, limits))
+        except Exception as error:
+            out.append(Verdict("error", str(error).split("\n")[0][:500], sql, ""))
+
+    runner = InheritableThread(target=work, daemon=True)
     try:
-        check_plan(session._jsparkSession.sessionState().sqlParser().parsePlan(query), frozenset(n.lower() for n in tables))
-        for name, df in tables.items():
-            df.createGlobalTempView(names[name])
-            session.table(f"global_temp.{names[name]}").createOrReplaceTempView(name)
-        rows = session.sql(query).limit(1).collect()
-    except Exception as error:
-        return Verdict("error", str(error).split("\n")[0][:500], sql, "")
+        runner.start()
+        runner.join(limits.seconds)
+        if runner.is_alive():
+            spark.sparkContext.cancelJobsWithTag(tag)
+            runner.join(10)  # until its jobs have ended; one that still plans can't be cancelled
+            return Verdict("error", TIMED_OUT, sql, "")
     finally:
         for name in names.values():
             spark.catalog.dropGlobalTempView(name)
-    if not rows:
-        return Verdict("error", "Empty result set", sql, "")
-    return Verdict("success", "", sql, str(rows[0].asDict()))
+    return out[0]
+
+
+TIMED_OUT = "timed out"
+
+
+def verify_all(work: list[tuple[str, dict[str, DataFrame]]], limits: Limits = Limits()) -> list[Verdict]:
+    """Verdicts on several queries, `at_once` at a time, in a scheduler pool of their own. Where the application schedules jobs first in, first
+    out, a query may wait for another that takes all cores: there those that ran out of time are tried once more, one by one."""
+    if not work:
+        return []
+    context = next(iter(work[0][1].values())).sparkSession.sparkContext
+    with ThreadPoolExecutor(limits.at_once) as pool:
+        out = list(pool.map(lambda x: verify_sql(*x, limits), work))
+    if context.getConf().get("spark.scheduler.mode", "FIFO").upper() != "FAIR" and limits.at_once > 1:
+        out = [verify_sql(*x, limits) if v.error_description == TIMED_OUT else v for x, v in zip(work, out)]
+    return out
 
 
 @dataclass(frozen=True)
@@ -195,14 +277,14 @@ Generator = Callable[[str | None], tuple[str, int, int]]
 Reviewer = Callable[[str, Verdict], tuple[bool, str]]
 
 
-def generate(generator: Generator, reviewer: Reviewer, tables: dict[str, DataFrame], max_reviews: int = 3) -> Generated:
+def generate(generator: Generator, reviewer: Reviewer, tables: dict[str, DataFrame], max_reviews: int = 3, limits: Limits = Limits()) -> Generated:
     """Proposes SQL, runs it, has it reviewed, and revises at most so often. generator(review) gives (sql, tokens in, tokens
     out); what still fails at the end reads `FAILURE: ...`."""
     began, review, tokens, verdict, sql, n = time.monotonic(), None, [0, 0], None, "", 0
     for n in range(max_reviews + 1):
         sql, more_in, more_out = generator(review)
         tokens = [tokens[0] + more_in, tokens[1] + more_out]
-        verdict = verify_sql(sql, tables)
+        verdict = verify_sql(sql, tables, limits)
         approved, review = reviewer(sql, verdict) if verdict.status == "success" else (False, verdict.error_description)
         if approved:
             return Generated(sql, True, n, review, time.monotonic() - began, *tokens)
