@@ -3,8 +3,8 @@
 A chunk is a run of whitespace markers and what stands up to the next one. Where no piece has a marker after another character,
 no merge reaches over a chunk's beginning, so chunks are segmented apart, and each distinct one of the corpus once:
 
-* `chunk_table` counts the chunks (combined within tasks first), takes the FREQUENT most frequent of at most CHUNK_BYTES, segments
-  each of them once and sends them to all tasks, a size bounded by the two;
+* `chunk_table` counts the chunks (combined within tasks first), takes the most frequent, at most FREQUENT and of at most CHUNK_BYTES,
+  segments each of them once and sends them to all tasks, a size bounded by the two;
 * the tail is segmented where it occurs, each distinct chunk once in a task, which keeps up to HELD of them at a time;
 * the ids of a document are those of its chunks, joined by position.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, table, unused
+from .common import map_rows, materialize, slices, table, unused
 
 MARK = "▁"
 FREQUENT = 100_000
@@ -105,7 +105,7 @@ def segments(library, chunk: list[str]) -> list[bytes]:
 
 
 def chunk_table(docs: DataFrame, model: bytes, frequent: int = FREQUENT) -> DataFrame:
-    """The most frequent chunks of docs.text: chunk, n (how often), ids (32-bit little-endian)."""
+    """The most frequent chunks of docs.text, at most `frequent`: chunk, n (how often), ids (32-bit little-endian)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,16 @@ def chunk_table(docs: DataFrame, model: bytes, frequent: int = FREQUENT) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segments(library, batch.column(0).to_pylist()), pa.binary())], names=["chunk", "n", "ids"])
 
     counted = docs.select("text").transform(map_rows, _counted, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    most = counted.where(F.octet_length("chunk") <= CHUNK_BYTES).orderBy(F.desc("n"), "chunk").limit(frequent)
+    counted = materialize(counted, "chunks")
+    # how many chunks there are by eighths of powers of two of n says from which n on at most `frequent` are left; none are sorted
+    level = F.floor(F.log2("n") * 8)
+    least, left = None, frequent
+    for r in counted.where(F.octet_length("chunk") <= CHUNK_BYTES).groupBy(level.alias("level")).agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():
+        left -= r["c"]
+        if left < 0:
+            break
+        least = r["n"]
+    most = counted.where((F.octet_length("chunk") <= CHUNK_BYTES) & (F.lit(False) if least is None else F.col("n") >= least))
     return most.transform(map_rows, run, "chunk string, n long, ids binary")
 
 
