@@ -3,6 +3,7 @@ chosen for generation, bounded by its budget, pass through the driver, as each n
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Evaluation, Generation, Indexing, Search
 from ..functions.text import clean_names
+from ..sources import files
 from . import debate, profile, prompts, search, sets, sqlgen
 from .lake import Lake
 
@@ -35,14 +37,16 @@ def lake_profile(lake: Lake) -> DataFrame:
 
 
 def index_lake(lake: Lake, folder: str, indexing: Indexing = Indexing(), batch: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(cells, profile) of a lake of any number of tables, written to folder batch by batch, so no plan holds more than a batch's tables. A
-    batch that is run again replaces its own files."""
+    """(cells, profile) of a lake of any number of tables, written to folder batch by batch, so no plan holds more than a batch's tables. The
+    cells are a table bucketed by value, on which `find_candidates` searches. A batch that is run again replaces its own files."""
     names, ids = sorted(lake.tables), lake.ids
+    table = "cells_" + hashlib.sha1(folder.encode()).hexdigest()[:16]
+    files.index_table(lake.spark, table, f"{folder}/cells", indexing.buckets)
     for i in range(0, len(names), batch):
         part = Lake(lake.spark, {n: lake.tables[n] for n in names[i : i + batch]}, ids)
-        part.cells(indexing.cleaning.elements).write.mode("overwrite").parquet(f"{folder}/cells/batch={i // batch}")
+        files.write_batch(part.cells(indexing.cleaning.elements), table, i // batch, indexing.buckets)
         lake_profile(part).write.mode("overwrite").parquet(f"{folder}/profile/batch={i // batch}")
-    return tuple(lake.spark.read.parquet(f"{folder}/{x}").drop("batch") for x in ("cells", "profile"))
+    return lake.spark.table(table).drop("batch"), lake.spark.read.parquet(f"{folder}/profile").drop("batch")
 
 
 def usable(pairs: DataFrame) -> DataFrame:
@@ -56,7 +60,7 @@ def find_candidates(lake: Lake, attributes: DataFrame | None = None, indexing: I
     if attributes is not None:
         packages = lake.dimension().join(attributes.select("resource_id", "package_id"), "resource_id").select("table_id", "package_id")
     cells, profiled = index or (lake.cells(indexing.cleaning.elements), lake_profile(lake))
-    found = search.candidates(cells, profiled, settings, packages)
+    found = search.candidates(cells, profiled, settings, packages, indexed=index is not None)
     names = lake.dimension().select("table_id", "resource_id")
     called = attributes is not None and "resource_name" in attributes.columns
     names = names.join(attributes.select("resource_id", "resource_name"), "resource_id", "left") if called else names.withColumn("resource_name", F.lit(None).cast("string"))

@@ -96,17 +96,20 @@ def overlap_candidates(spark, sf_dir):
     return out.select(F.col("r_table_id").alias("r_table"), F.col("s_table_id").alias("s_table"), "size_r_col", "size_s_col", "size_intersection", "size_union", "jaccard", "overlap")
 
 
-def full_candidates(spark, sf_dir):
-    """The whole search with packages, budget and filters."""
+def candidates_of_brands(spark, sf_dir, cells, indexed):
     part = read(spark, sf_dir, "part")
-    cells = lake.long_cells(part, "p_brand", "p_name", "base")
     stats = part.groupBy(F.col("p_brand").alias("table_id")).agg(F.count("*").alias("n_rows"))
     stats = stats.select("table_id", F.lit(0).alias("column_id"), F.lit("p_name").alias("column_name"), "n_rows", F.lit(0.0).alias("null_ratio"))
     packages = part.groupBy(F.col("p_brand").alias("table_id")).agg(F.min_by("p_type", "p_partkey").alias("package_id"))
-    out = search.candidates(cells, stats, Search(budget=10, k=8, min_height=30, min_distinct=10, min_jaccard=0.4, min_overlap=0.4), packages)
+    out = search.candidates(cells, stats, Search(budget=10, k=8, min_height=30, min_distinct=10, min_jaccard=0.4, min_overlap=0.4), packages, indexed)
     return out.select("r_table_id", "s_table_id", "r_column_name", "s_column_name", "size_r_col", "size_s_col", "r_package_id", "s_package_id", "size_intersection", "size_union", "jaccard", "overlap")
 
 
+def full_candidates(spark, sf_dir):
+    """The whole search with packages, budget and filters."""
+    return candidates_of_brands(spark, sf_dir, lake.long_cells(read(spark, sf_dir, "part"), "p_brand", "p_name", "base"), False)
+
+
 def doc_token_overlap(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     cells = docs.select(F.col("doc_id").alias("table_id"), F.lit(0).alias("column_id"), F.explode_outer(F.split(F.lower("text"), r"[ \t\n\r\f]+")).alias("value")).where("value <> ''")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..config import Limits
-from ..operators import sqlgen
-from .lake_queries import read
+from ..operators import lake, search, sqlgen
+from ..sources import files
+from ..sources.exchange import scratch
+from .lake_queries import ORACLE as LAKE_ORACLE
+from .lake_queries import candidates_of_brands, read
 
 #: Compares rows of three slices by a hash, so nothing can be pushed down; far from done within a few seconds.
 PRODUCT = (
@@ -34,8 +38,43 @@ def bounded_verdicts(spark, sf_dir):
     return spark.createDataFrame(rows, "case int, status string, why string, n long")
 
 
-QUERIES = {f.__name__: f for f in (bounded_verdicts,)}
+def _indexed(spark, sf_dir):
+    """The brands' cells as a table bucketed by value. The catalog's entry goes at once; the files stay."""
+    name = f"cells_{uuid.uuid4().hex}"
+    files.write_index(lake.long_cells(read(spark, sf_dir, "part"), "p_brand", "p_name", "base"), name, 16, f"{scratch(spark)}/{name}")
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return table
+
+
+def indexed_candidates(spark, sf_dir):
+    """The whole search, on the persisted index."""
+    return candidates_of_brands(spark, sf_dir, _indexed(spark, sf_dir), True)
+
+
+def topk_early_stop(spark, sf_dir):
+    """The most joinable columns of each, without the posting lists of values that can't change them."""
+    columns = search.columns_of(_indexed(spark, sf_dir))
+    found, _ = search.top_k_early(columns, columns.select(*search.KEYS).distinct(), 5)
+    return found.select(F.col("r_table_id").alias("r_table"), F.col("s_table_id").alias("s_table"), F.col("k").alias("size_intersection"), "rank")
+
+
+def topk_documents(spark, sf_dir):
+    """For every document whose id is divisible by 50 the ten others with most words in common."""
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[ \t\n\r\f]+")))
+    columns = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("table_id"), F.lit(0).alias("column_id"), words.alias("value")).where("value <> ''")
+    columns = search.columns_of(columns)
+    found, _ = search.top_k_early(columns, columns.select(*search.KEYS).where("table_id % 50 = 0").distinct(), 10)
+    return found.select(F.col("r_table_id").alias("r_doc"), F.col("s_table_id").alias("s_doc"), F.col("k").alias("size_intersection"), "rank")
+
+
+QUERIES = {f.__name__: f for f in (bounded_verdicts, indexed_candidates, topk_early_stop, topk_documents)}
 ORACLE = {
+    "indexed_candidates": LAKE_ORACLE["full_candidates"],
+    "topk_early_stop": LAKE_ORACLE["topk_joinable_columns"],
+    "topk_documents": """with c as (select distinct doc_id as t, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+')) as v from documents), d as (select t, v from c where v <> ''),
+i as (select a.t as r, b.t as s, count(*) as k from d a join d b on a.v = b.v and a.t <> b.t where a.t % 50 = 0 group by a.t, b.t)
+select r as r_doc, s as s_doc, k as size_intersection, rank from (select *, cast(row_number() over (partition by r order by k desc, s) as integer) as rank from i) where rank <= 10""",
     "bounded_verdicts": "select 0 as case, 'success' as status, '' as why, n from ({}) union all select 1, 'success', '', n from ({}) union all select 2, 'success', '', n from ({})".format(*_COUNTS).replace(" as case", ' as "case"')
     + " union all select 3, 'error', 'timed out', -1 union all select 4, 'error', 'product', -1",
 }

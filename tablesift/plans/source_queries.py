@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,20 +11,11 @@ from ..config import Evaluation, Generation, Search
 from ..functions.text import resource_id
 from ..operators import lake, metadata, profile, prompts, search, sets, workflow
 from ..sources import files, portal
+from ..sources.exchange import scratch
 from ..streaming.index import append_cells
 from .lake_queries import _BRANDS, read, sql_clean, sql_is_num
 
 
-def scratch(spark) -> str:
-    """A new folder for a query's files, in the folder that all hosts share; a local one only for local masters."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/') if '://' in base else 'file://' + os.path.abspath(base)}/tablesift/files-{uuid.uuid4().hex}"
-
-
 def csv_to_parquet(spark, sf_dir):
     """A lenient Latin-1 CSV, read with a sniffed delimiter, and the gzipped Parquet table made of it."""
     folder = scratch(spark)
@@ -87,6 +76,7 @@ def index_lookup(spark, sf_dir):
     path = f"{scratch(spark)}/{name}"
     files.write_index(cells, name, 4, path)
     found = files.lookup(spark, name, ["asia", "nation_3", "nation_7", "nothing"])
+    spark.sql(f"drop table {name}")  # the catalog's entry; the files stay
     return found.select("table_id", "column_id", "value")
 
 

@@ -109,3 +109,23 @@ def write_index(cells: DataFrame, name: str, buckets: int = 64, path: str | None
     one bucket, in it only row groups whose range and Bloom filter admit the value."""
     out = cells.write.mode("overwrite").bucketBy(buckets, "value").sortBy("value").option("parquet.bloom.filter.enabled#value", "true")
     (out.option("path", path) if path else out).saveAsTable(name)
+
+
+def index_table(spark: SparkSession, name: str, path: str, buckets: int = 64) -> None:
+    """The catalog's entry of an index that grows batch by batch at path; its files may be there already."""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} (table_id INT, column_id INT, row_id BIGINT, value STRING, batch INT) USING parquet OPTIONS ('parquet.bloom.filter.enabled#value' 'true')"
+        f" PARTITIONED BY (batch) CLUSTERED BY (value) SORTED BY (value) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+
+
+def write_batch(cells: DataFrame, name: str, batch: int, buckets: int = 64) -> None:
+    """One batch of an `index_table`, a file for each bucket. A batch that is written again takes the place of its first copy."""
+    spark = cells.sparkSession
+    rows = cells.select("table_id", "column_id", F.col("row_id").cast("long").alias("row_id"), "value", F.lit(batch).alias("batch"))
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        rows.repartition(buckets, "value").write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
