@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
@@ -157,7 +158,7 @@ def verify_sql(sql: str, tables: dict[str, DataFrame], limits: Limits = Limits()
         try:
             out.append(_verify(session, query, sql, tables, names, limits))
         except Exception as error:
-            out.append(Verdict("error", str(error).split("\n")[0][:500], sql, ""))
+            out.append(Verdict("error", next((x for x in str(error).split("\n") if x.strip()), type(error).__name__)[:500], sql, ""))
 
     runner = InheritableThread(target=work, daemon=True)
     try:
@@ -289,3 +290,65 @@ def generate(generator: Generator, reviewer: Reviewer, tables: dict[str, DataFra
         if approved:
             return Generated(sql, True, n, review, time.monotonic() - began, *tokens)
     return Generated(f"FAILURE: {sql}", False, n, review or "", time.monotonic() - began, *tokens)
+
+
+@dataclass
+class Work:
+    """A query to be generated: what the model is told, and the tables."""
+
+    prompt: str
+    tables: dict[str, DataFrame]
+
+
+def sql_of(reply: str | None) -> str:
+    """The SQL in a reply: what stands in its first fenced block, or all of it."""
+    text = reply or ""
+    fenced = re.search(r"```(?:\w+\n)?(.*?)```", text, re.S)
+    return (fenced[1] if fenced else text).strip()
+
+
+def revised(prompt: str, sql: str | None, review: str | None) -> str:
+    return prompt if sql is None else f"{prompt}\n\nYour last query:\n{sql}\n\nIt was sent back:\n{review}\n\nGive a better one."
+
+
+def review_prompt(prompt: str, sql: str, result: str) -> str:
+    return f"Review this query for the task below. Reply in JSON with correctness, approval (approve or reject) and suggested_changes.\n\nTask:\n{prompt}\n\nQuery:\n{sql}\n\nFirst row:\n{result}"
+
+
+def read_review(reply: str | None) -> tuple[bool, str]:
+    """The driver-side twin of `functions.scoring.parse_review`: (approved, what to change)."""
+    try:
+        fields = json.loads(reply or "")
+        return str(fields.get("approval")).strip().lower() == "approve", str(fields.get("suggested_changes") or "")
+    except (ValueError, AttributeError):
+        return False, "The review was not JSON."
+
+
+#: Prompts to replies (see `sources.models.ask_all`)
+AskAll = Callable[[list[str]], list]
+
+
+def generate_all(work: list[Work], ask: AskAll, max_reviews: int = 3, limits: Limits = Limits()) -> list[Generated]:
+    """`generate` for many at once, by rounds: all open queries are asked for together, verified together, those that ran reviewed
+    together, and what was sent back is asked for again with the reason, at most so often."""
+    out: list[Generated | None] = [None] * len(work)
+    began, tokens = time.monotonic(), [[0, 0] for _ in work]
+    last: list[tuple[str | None, str | None]] = [(None, None)] * len(work)
+    for n in range(max_reviews + 1):
+        open_ = [i for i, x in enumerate(out) if x is None]
+        if not open_:
+            break
+        replies = ask([revised(work[i].prompt, *last[i]) for i in open_])
+        sql = {i: sql_of(r.text) for i, r in zip(open_, replies)}
+        verdicts = dict(zip(open_, verify_all([(sql[i], work[i].tables) for i in open_], limits)))
+        good = [i for i in open_ if verdicts[i].status == "success"]
+        reviews = ask([review_prompt(work[i].prompt, sql[i], verdicts[i].result) for i in good])
+        for i, r in [*zip(open_, replies), *zip(good, reviews)]:
+            tokens[i] = [tokens[i][0] + r.tokens_in, tokens[i][1] + r.tokens_out]
+        said = {i: read_review(r.text) for i, r in zip(good, reviews)}
+        for i in open_:
+            approved, review = said.get(i, (False, verdicts[i].error_description))
+            last[i] = (sql[i], review)
+            if approved or n == max_reviews:
+                out[i] = Generated(sql[i] if approved else f"FAILURE: {sql[i]}", approved, n, review, time.monotonic() - began, *tokens[i])
+    return out

@@ -73,11 +73,13 @@ def find_candidates(lake: Lake, attributes: DataFrame | None = None, indexing: I
     )
 
 
-def evaluate(candidates: DataFrame, prompt: F.Column, model: debate.Model, settings: Evaluation = Evaluation()) -> DataFrame:
-    """Candidates (the first of the budget) with the debate's score. prompt is a column over them."""
+def evaluate(candidates: DataFrame, prompt: F.Column, model: debate.Model | None = None, settings: Evaluation = Evaluation(), ask: debate.Ask | None = None) -> DataFrame:
+    """Candidates (the first of the budget) with the debate's score. prompt is a column over them. The model is a function called within
+    tasks, or asked round by round through `ask`."""
     keys = ["r_rsc_id", "s_rsc_id", "r_col_id", "s_col_id"]
     chosen = candidates.orderBy(*keys).limit(settings.budget).withColumn("pair_id", F.xxhash64(*keys))
-    scores = debate.debate_scores(debate.replies(chosen.select("pair_id", prompt.alias("prompt")), model, settings), settings)
+    asked = chosen.select("pair_id", prompt.alias("prompt"))
+    scores = debate.debate_scores(debate.replies_by_rounds(asked, ask, settings) if ask else debate.replies(asked, model, settings), settings)
     return chosen.join(scores, "pair_id").drop("pair_id")
 
 
