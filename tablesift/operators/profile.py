@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,16 +50,47 @@ def load_table(df: DataFrame, headers: Mode = None, elements: Mode = None) -> Da
 
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_id, column_name, n_rows, n_nulls, n_distinct, null_ratio) of each column. Cells are unpivoted as 128-bit hashes and made
-    distinct before they are counted: rows are not multiplied by the columns within one aggregation."""
+    """(column_id, column_name, n_rows, n_nulls, n_distinct, null_ratio) of each column. Each is counted by value by itself: a columnar
+    source is read once in all, rows are not multiplied, and a value that most rows have is combined before the shuffle."""
     columns = columns or df.columns
-    hashed = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.xxhash64(f"`{c}`").alias("a"), F.xxhash64(F.lit(7), f"`{c}`").alias("b")))
-    cells = df.select(F.posexplode(F.array(*map(hashed, columns))).alias("column_id", "v"))
-    once = cells.groupBy("column_id", "v").agg(F.count("*").alias("c"))
-    counts = once.groupBy("column_id").agg(F.sum("c").alias("n_rows"), F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("n_nulls"), F.count("v").alias("n_distinct"))
-    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "column_id int, column_name string")
-    out = F.broadcast(names).join(counts, "column_id", "left").na.fill(0, ["n_rows", "n_nulls", "n_distinct"])
-    return out.withColumn("null_ratio", F.when(F.col("n_rows") > 0, F.round(F.col("n_nulls") / F.col("n_rows"), 6)).otherwise(0.0))
+    each = []
+    for i, c in enumerate(columns):
+        once = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count("*").alias("c"))
+        each.append(once.agg(F.lit(i).alias("column_id"), F.lit(c).alias("column_name"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("n_nulls"), F.count("v").alias("n_distinct")))
+    return reduce(DataFrame.union, each).withColumn("null_ratio", _null_ratio())
+
+
+def _null_ratio() -> Column:
+    return F.when(F.col("n_rows") > 0, F.round(F.col("n_nulls") / F.col("n_rows"), 6)).otherwise(0.0)
+
+
+def text_cells(df: DataFrame, table: Column | None = None) -> DataFrame:
+    """(table_name, column_id, column_name, value) of all cells as text, nulls too: what `profile_cells` works on."""
+    each = F.array(*[F.struct(F.lit(i).alias("column_id"), F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(df.columns)])
+    return df.select((table if table is not None else F.lit("")).alias("table_name"), F.explode(each).alias("x")).select("table_name", "x.*")
+
+
+def profile_cells(cells: DataFrame) -> DataFrame:
+    """(table_name, column_id, column_name, n_rows, n_nulls, n_distinct, null_ratio, kind) of every column of a lake, of any number of tables,
+    in one job. cells: table_name, column_id, column_name, value.
+
+    Cells are counted by (table, column, value) first; what a value says of its column's type is then merged by column: the
+    same ladder as `infer_types`, whose exactly two boolean values are here the exact count of distinct ones.
+    """
+    column = ["table_name", "column_id", "column_name"]
+    v = F.col("value")
+    once = cells.groupBy(*column, "value").agg(F.count("*").alias("c"))
+    every = lambda x: F.bool_and(x | v.isNull())
+    merged = once.groupBy(*column).agg(
+        F.sum("c").alias("n_rows"), F.coalesce(F.sum(F.when(v.isNull(), F.col("c"))), F.lit(0)).alias("n_nulls"), F.count(v).alias("n_distinct"),
+        every(v.try_cast("boolean").isNotNull()).alias("_b"), F.bool_or(F.contains(v, F.lit(",")) | F.contains(v, F.lit("."))).alias("_p"),
+        every(v.try_cast("float").isNotNull()).alias("_f"), every(v.try_cast("int").isNotNull()).alias("_i"),
+    )
+    kind = (
+        F.when(F.col("n_distinct") == 0, "void").when(F.col("_b") & (F.col("n_distinct") == 2), "boolean")
+        .when(F.col("_p"), F.when(F.col("_f"), "float").otherwise("string")).when(F.col("_i"), "int").otherwise("string")
+    )
+    return merged.select(*column, "n_rows", "n_nulls", "n_distinct", _null_ratio().alias("null_ratio"), kind.alias("kind"))
 
 
 def drop_null_columns(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,16 +25,11 @@ RECORD = (
 
 
 def lake_profile(lake: Lake) -> DataFrame:
-    """What `search.candidates` needs of every column, a pass over each table."""
-    parts = []
-    for name, df in lake.tables.items():
-        headers = sorted(clean_names(df.columns))
-        one = profile.null_profile(df).select(F.lit(lake.ids[name]).alias("table_id"), "column_id", "column_name", "n_rows", "null_ratio", F.array(*map(F.lit, headers)).alias("headers"))
-        parts.append(one)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """What `search.candidates` needs of every column, by one aggregation over the cells of all tables."""
+    cells = reduce(DataFrame.unionByName, [profile.text_cells(df, F.lit(name)) for name, df in lake.tables.items()])
+    known = [(name, lake.ids[name], sorted(clean_names(df.columns))) for name, df in lake.tables.items()]
+    tables = lake.spark.createDataFrame(known, "table_name string, table_id int, headers array<string>")
+    return profile.profile_cells(cells).join(tables, "table_name").select("table_id", "column_id", "column_name", "n_rows", "null_ratio", "headers")
 
 
 def index_lake(lake: Lake, folder: str, indexing: Indexing = Indexing(), batch: int = 100) -> tuple[DataFrame, DataFrame]:

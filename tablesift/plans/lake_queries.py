@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..config import Search
 from ..functions.text import clean, is_num, strip_tags
 from ..operators import lake, profile, search, sets
+from ..sources import files
+from ..sources.exchange import scratch
 
 
 def read(spark, sf_dir, name):
@@ -50,6 +52,16 @@ def type_inference(spark, sf_dir):
     return spark.createDataFrame(sorted(kinds.items()), "column_name string, kind string")
 
 
+def lake_types(spark, sf_dir):
+    """Profile and inferred type of every column of a lake, written as files and read in one scan."""
+    folder = scratch(spark)
+    for name in ("region", "nation", "supplier", "customer", "part", "orders"):
+        df = read(spark, sf_dir, name)
+        text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns], F.when(F.col(df.columns[0]) % 2 == 0, "true").otherwise("no").alias("even"), F.lit(None).cast("string").alias("nothing"))
+        text.coalesce(2).write.parquet(f"{folder}/{name}")
+    return profile.profile_cells(files.table_cells(spark, folder, level=-2)).drop("column_id")
+
+
 def null_profile(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("event_type", "user_id", F.when(F.col("value") > 50, F.col("value")).alias("value"), F.lit(None).cast("string").alias("nothing"))
     return profile.null_profile(events)
@@ -166,7 +178,7 @@ def schema_text(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_cells, clean_headers, is_num_filter, type_inference, null_profile, cell_index, distinct_values, value_frequency, dictionary_round_trip, topk_joinable_columns,
+        clean_cells, clean_headers, is_num_filter, type_inference, lake_types, null_profile, cell_index, distinct_values, value_frequency, dictionary_round_trip, topk_joinable_columns,
         overlap_candidates, full_candidates, doc_token_overlap, row_intersection, common_attributes_union, schema_routing, dedup_first, dedup_subset, strip_tags_truncate,
         budget_top, seeded_shuffle, schema_text,
     )
@@ -181,6 +193,12 @@ _CELLS = f"cells as (select table_id, column_id, {sql_clean('v')} as value from
 _BRANDS = f"c as (select distinct p_brand as t, lower(p_name) as v from part where not {sql_is_num('lower(p_name)')}), n as (select t, count(*) as n from c group by t), i as (select a.t as r, b.t as s, count(*) as k from c a join c b on a.v = b.v and a.t < b.t group by a.t, b.t)"
 _MEASURE = "x.n as size_r_col, y.n as size_s_col, k as size_intersection, x.n + y.n - k as size_union, round(k / cast(x.n + y.n - k as double), 3) as jaccard, round(k / cast(least(x.n, y.n) as double), 3) as overlap"
 
+_COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "supplier": "s_suppkey s_name s_nationkey s_acctbal", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+}
+_ALL = " union all ".join(f"select '{t}' as t, '{c}' as c, {x} as v from {t}" for t, names in _COLUMNS.items() for c, x in [*((c, f"cast({c} as varchar)") for c in names.split()), ("even", f"case when {names.split()[0]} % 2 = 0 then 'true' else 'no' end"), ("nothing", "null")])
+
 ORACLE = {
     "clean_cells": f"select doc_id, {sql_clean('text')} as cleaned from documents",
     "clean_headers": "select * from (values ('HTMLParser id', 'html_parser_id'), ('Été (fr)', 'ete__fr_'), ('unit-price', 'unit_price'), ('A' || chr(10) || 'B', 'a_b'), ('totalSum', 'total_sum'), ('ﬁn', 'fin'), ('total_sum', 'total_sum_1')) t(header, cleaned)",
@@ -188,6 +206,11 @@ ORACLE = {
  union all select cast(o_custkey as varchar) || '%' from orders union all select '_' || cast(o_custkey as varchar) from orders)
 select {sql_is_num('v')} as numeric, count(*) as n, count(distinct v) as n_distinct from v group by 1""",
     "type_inference": "select * from (values ('c_acctbal', 'float'), ('c_custkey', 'int'), ('c_mktsegment', 'string'), ('c_name', 'string'), ('c_nationkey', 'int'), ('in_credit', 'boolean'), ('nothing', 'void')) t(column_name, kind)",
+    "lake_types": f"""with v as ({_ALL}), c as (select t, c, v, count(*) as n from v group by t, c, v),
+p as (select t, c, cast(sum(n) as bigint) as n_rows, cast(coalesce(sum(n) filter (where v is null), 0) as bigint) as n_nulls, count(v) as n_distinct,
+ bool_and(lower(v) in ('true', 'false', 't', 'f', 'y', 'n', 'yes', 'no', '1', '0')) as b, bool_or(contains(v, ',') or contains(v, '.')) as dot, bool_and(try_cast(v as float) is not null) as f, bool_and(try_cast(v as integer) is not null) as i from c group by t, c)
+select t as table_name, c as column_name, n_rows, n_nulls, n_distinct, round(n_nulls / n_rows, 6) as null_ratio,
+ case when n_distinct = 0 then 'void' when b and n_distinct = 2 then 'boolean' when dot then case when f then 'float' else 'string' end when i then 'int' else 'string' end as kind from p""",
     "null_profile": """select cast(0 as integer) as column_id, 'event_type' as column_name, count(*) as n_rows, count(*) - count(event_type) as n_nulls, count(distinct event_type) as n_distinct, round((count(*) - count(event_type)) / count(*), 6) as null_ratio from events
 union all select 1, 'user_id', count(*), count(*) - count(user_id), count(distinct user_id), round((count(*) - count(user_id)) / count(*), 6) from events
 union all select 2, 'value', count(*), count(*) filter (where not coalesce(value > 50, false)), count(distinct value) filter (where value > 50), round(count(*) filter (where not coalesce(value > 50, false)) / count(*), 6) from events

@@ -193,7 +193,7 @@ def leaky_questions(spark, sf_dir):
 
 def evaluated_pairs(spark, sf_dir):
     """Pairs scored by a debate with a stand-in model, within the budget."""
-    pairs = _scored(spark, sf_dir).drop("score").where(F.col("r_col_id") == 0).distinct()
+    pairs = _scored(spark, sf_dir).drop("score").distinct()
     out = workflow.evaluate(pairs, F.concat("r_rsc_id", "s_rsc_id"), lambda prompt, solver, number, others: f"Answer: {len(prompt)}", Evaluation(budget=50))
     return out.select("r_rsc_id", "s_rsc_id", "r_col_id", "s_col_id", "score")
 
@@ -256,5 +256,5 @@ select rt as r_table_id, rc as r_column_id, st as s_table_id, sc as s_column_id,
     "generated_records": """with k(type, r, s, rn, sn) as (values ('single-table', 'nations', null, 'Nations', null), ('multi-table-join', 'nations', 'customers', 'Nations', 'Customers'), ('single-table', 'suppliers', null, null, null), ('multi-table-union', 'suppliers', 'buyers', null, null))
 select type, level as difficulty, true as success, r as r_rsc_id, s as s_rsc_id, rn as r_rsc_name, sn as s_rsc_name, 1 as nl_n_rev, 'approve' as nl_review, 2 as nl_intok, 4 as nl_outok, 0 as sql_n_rev from k, (values ('simple'), ('moderate'), ('challenging')) l(level)""",
     "leaky_questions": """select c as "case", t as type, c in (0, 3) as success, case when c in (0, 3) then 0 else 1 end as revisions from (values (0), (1), (2), (3)) a(c), (values ('single-table'), ('multi-table-join')) b(t)""",
-    "evaluated_pairs": f"with {_SCORED}, d as (select distinct r_rsc_id, s_rsc_id, r_col_id, s_col_id from p where r_col_id = 0 order by 1, 2, 3, 4 limit 50) select *, cast(length(r_rsc_id || s_rsc_id) as integer) as score from d",
+    "evaluated_pairs": f"with {_SCORED}, d as (select distinct r_rsc_id, s_rsc_id, r_col_id, s_col_id from p order by 1, 2, 3, 4 limit 50) select *, cast(length(r_rsc_id || s_rsc_id) as integer) as score from d",
 }

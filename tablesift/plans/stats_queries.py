@@ -77,7 +77,7 @@ def group_mean_std(spark, sf_dir):
 
 
 def describe_numeric(spark, sf_dir):
-    return stats.describe(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return stats.describe(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"])
 
 
 def table_shapes(spark, sf_dir):
@@ -88,12 +88,12 @@ def table_shapes(spark, sf_dir):
 
 
 def t_statistic(spark, sf_dir):
-    """Over all rows, and over three, where the p-value has a closed form: 1 - |t| / sqrt(2 + t^2)."""
+    """Whether mean discount and balance differ from given values: statistic and two-tailed p-value over all rows."""
     rows = []
-    for name, df in (("all", read(spark, sf_dir, "lineitem").select("l_discount")), ("three", read(spark, sf_dir, "supplier").where("s_suppkey < 3").select(F.col("s_acctbal") / 1e5))):
-        mean, sd, n = df.agg(F.avg(df.columns[0].join("``")), F.stddev_samp(df.columns[0].join("``")), F.count("*")).first()
-        t, p = stats.t_test(mean, sd, n, 0.05)
-        rows.append((name, round(t, 6), round(p, 6) if name == "three" else None))
+    for name, df, null in (("discount", read(spark, sf_dir, "lineitem").select("l_discount"), 0.05), ("balance", read(spark, sf_dir, "customer").select("c_acctbal"), 4500.0)):
+        mean, sd, n = df.agg(F.avg(df.columns[0]), F.stddev_samp(df.columns[0]), F.count("*")).first()
+        t, p = stats.t_test(mean, sd, n, null)
+        rows.append((name, round(t, 6), round(p, 6)))
     return spark.createDataFrame(rows, "rows string, t double, p double")
 
 
@@ -272,11 +272,14 @@ v as (select pair_id, score, row_number() over (partition by pair_id order by co
     "pivot_counts": 'select o_orderpriority, count(*) filter (where o_orderstatus = \'F\') as "F", count(*) filter (where o_orderstatus = \'O\') as "O", count(*) filter (where o_orderstatus = \'P\') as "P" from orders group by o_orderpriority',
     "pivot_rescaled": "select o_orderpriority, round(count(*) filter (where o_orderstatus = 'F') / 1000, 3) as single_k, round(count(*) filter (where o_orderstatus <> 'F') / 1000, 3) as multi_k from orders group by o_orderpriority",
     "group_mean_std": "select l_returnflag, l_linestatus, count(l_extendedprice) as n, round(avg(l_extendedprice), 6) as mean, round(stddev_samp(l_extendedprice), 6) as std from lineitem group by l_returnflag, l_linestatus",
-    "describe_numeric": " union all ".join(f"select '{c}' as column_name, count({c}) as n, count(*) - count({c}) as n_nulls, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, round(min({c}), 6) as min, round(quantile_cont({c}, 0.25), 6) as q25, round(quantile_cont({c}, 0.5), 6) as q50, round(quantile_cont({c}, 0.75), 6) as q75, round(max({c}), 6) as max from lineitem" for c in ("l_quantity", "l_discount", "l_tax")),
+    "describe_numeric": " union all ".join(f"select '{c}' as column_name, count({c}) as n, count(*) - count({c}) as n_nulls, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, round(min({c}), 6) as min, round(quantile_cont({c}, 0.25), 6) as q25, round(quantile_cont({c}, 0.5), 6) as q50, round(quantile_cont({c}, 0.75), 6) as q75, round(max({c}), 6) as max from lineitem" for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")),
     "table_shapes": """with t as (select count(*) as r, 2 as c from region union all select count(*), 3 from nation union all select count(*), 4 from supplier union all select count(*), 5 from customer union all select count(*), 6 from part)
 select count(*) as n_tables, round(avg(r), 6) as mean_rows, round(stddev_samp(r), 6) as std_rows, round(avg(c), 6) as mean_columns, round(stddev_samp(c), 6) as std_columns from t""",
-    "t_statistic": """with a as (select (avg(l_discount) - 0.05) / (stddev_samp(l_discount) / sqrt(count(*))) as t from lineitem), b as (select (avg(s_acctbal / 1e5) - 0.05) / (stddev_samp(s_acctbal / 1e5) / sqrt(count(*))) as t from supplier where s_suppkey < 3)
-select 'all' as rows, round(t, 6) as t, cast(null as double) as p from a union all select 'three', round(t, 6), round(1 - abs(t) / sqrt(2 + t * t), 6) from b""",
+    "t_statistic": """with s as (select 'discount' as rows, (avg(l_discount) - 0.05) / (stddev_samp(l_discount) / sqrt(count(*))) as t, count(*) - 1.0 as v from lineitem
+ union all select 'balance', (avg(c_acctbal) - 4500) / (stddev_samp(c_acctbal) / sqrt(count(*))), count(*) - 1.0 from customer),
+p as (select rows, t, abs(t) / 6000 * sum((case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * exp(lgamma((v + 1) / 2) - lgamma(v / 2) - 0.5 * ln(v * pi()) - (v + 1) / 2 * ln(1 + (t * i / 2000) * (t * i / 2000) / v))) as area
+ from s, range(0, 2001) r(i) group by rows, t)
+select rows, round(t, 6) as t, round(1 - 2 * area, 6) as p from p""",
     "success_rates": "with r as (select count(*) filter (where value > 50) as n, avg(case when value > 50 then 1.0 else 0.0 end) as rate from events group by user_id % 10) select count(*) as n_processes, cast(sum(n) as bigint) as n_success, round(avg(rate), 6) as mean_rate from r",
     "stage_seconds": "select user_id, date_diff('second', date_trunc('second', min(ts)), date_trunc('second', max(ts))) as seconds, true as unreadable from events group by user_id",
     "cast_dates": "select o_orderkey, cast(o_orderdate as date) as day, cast(strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') as date) as read, cast(null as date) as none from orders",

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,42 @@ def parse_csv_text(spark: SparkSession, content: str) -> DataFrame:
     return spark.createDataFrame([[x or None for x in r] for r in kept], ", ".join(f"`{c.strip() or f'unnamed_{i}'}` string" for i, c in enumerate(rows[0])))
 
 
+def table_cells(spark: SparkSession, path: str, most_bytes: int = 1 << 29, level: int = -1) -> DataFrame:
+    """(table_name, column_id, column_name, value) of all cells of all Parquet and CSV files under path, as text: a lake of any number of
+    tables, each with columns of its own, in one scan. A file is read within a task, row group by row group; larger ones than most_bytes
+    are left out, and so are files that can't be read as tables. A table is called by its file, or, with level -2, by the folder its files are in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                table = name.split("/")[level]
+                for rows in _read_rows(name, content.as_buffer()):
+                    for i, (column, values) in enumerate(zip(rows.schema.names, rows.columns)):
+                        n = len(values)
+                        yield pa.RecordBatch.from_arrays([pa.array([table] * n, pa.string()), pa.array([i] * n, pa.int32()), pa.array([column] * n, pa.string()), values.cast(pa.string())], names=["table_name", "column_id", "column_name", "value"])
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{parquet,csv}").load(path)
+    return found.where(F.col("length") <= most_bytes).select("path", "content").mapInArrow(run, "table_name string, column_id int, column_name string, value string")
+
+
+def _read_rows(name: str, content: pa.Buffer) -> Iterator[pa.RecordBatch]:
+    from pyarrow import csv as arrow_csv
+    from pyarrow import parquet
+
+    try:
+        if name.endswith(".parquet"):
+            yield from parquet.ParquetFile(pa.BufferReader(content)).iter_batches(8192)
+            return
+        text = content.to_pybytes().decode("latin-1")
+        head = text.split("\n", 1)[0]
+        names = next(csv.reader([head], delimiter=(sep := sniff("\n".join(text.split("\n")[:20])))))
+        kinds = arrow_csv.ConvertOptions(column_types={c: pa.string() for c in names}, strings_can_be_null=True, null_values=[""], quoted_strings_can_be_null=True)
+        parse = arrow_csv.ParseOptions(delimiter=sep, newlines_in_values=True, invalid_row_handler=lambda row: "skip")
+        yield from arrow_csv.open_csv(pa.BufferReader(text.encode()), parse_options=parse, convert_options=kinds)
+    except (pa.ArrowInvalid, StopIteration):
+        return
+
+
 def write_table(df: DataFrame, path: str, compression: str = "gzip") -> None:
     df.write.mode("overwrite").option("compression", compression).parquet(path)
 
