@@ -233,15 +233,15 @@ def _indexer(folder: str):
     return read
 
 
-def _pass(folder: str, groups: list[list[str]]):
-    """Row i: the runs of group i become one."""
+def _pass(folder: str):
+    """Row: the names of some runs, which become one."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for i in batch.column(0).to_pylist():
+            for names in batch.column(0).to_pylist():
                 run = _RunWriter(store, root, f"merged-{uuid.uuid4().hex}-{TaskContext.get().taskAttemptId()}.run")
-                for row in loser_tree_merge([_run_rows(store, f"{root}/{name}") for name in groups[i]], _order):
+                for row in loser_tree_merge([_run_rows(store, f"{root}/{name}") for name in names], _order):
                     run.add(row)
                 yield run.close()
 
@@ -300,16 +300,17 @@ def capture_histories(pages: DataFrame, least: int = LEAST, folder: str | None =
     rows = rows.select("page_id", "url", "url_key", "html", "captured", "digest", "refers", revisit.alias("revisit"))
     archives = materialize(rows.sortWithinPartitions("url_key", "captured", "page_id").transform(map_rows, _writer(folder, ARCHIVE_BYTES), "archive string"), "archives")
     count = archives.count()
-    runs = materialize(archives.repartition(max(1, count)).transform(map_rows, _indexer(folder), RUN), "runs").collect()  # a row per archive
+    made = materialize(archives.repartition(max(1, count)).transform(map_rows, _indexer(folder), RUN), "runs")
+    runs = sorted(tuple(r) for r in made.select("run", "n").collect())  # a name per archive; each task gets its own ones
     task_each = lambda n: spark.range(0, n, 1, n)
     while len(runs) > FAN:
-        names = sorted(r["run"] for r in runs)
-        groups = [names[i : i + FAN] for i in range(0, len(names), FAN)]
-        runs = materialize(task_each(len(groups)).transform(map_rows, _pass(folder, groups), RUN), "runs").collect()
-    keys = sorted({tuple(x) for r in runs for x in r["samples"]})
-    ranges = max(1, min(len(keys), max(-(-sum(r["n"] for r in runs) // MERGE_ROWS), spark.sparkContext.defaultParallelism)))
+        groups = [([name for name, _ in runs[i : i + FAN]],) for i in range(0, len(runs), FAN)]
+        made = materialize(spark.createDataFrame(groups, "runs array<string>").repartition(len(groups)).transform(map_rows, _pass(folder), RUN), "runs")
+        runs = sorted(tuple(r) for r in made.select("run", "n").collect())
+    keys = sorted({tuple(x) for r in made.select("samples").collect() for x in r["samples"]})  # of the last runs alone, at most FAN
+    ranges = max(1, min(len(keys), max(-(-sum(n for _, n in runs) // MERGE_ROWS), spark.sparkContext.defaultParallelism)))
     bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)]
-    merged = task_each(ranges).transform(map_rows, _last_pass(folder, sorted(r["run"] for r in runs), bounds), f"part long, i long, {ROW}")
+    merged = task_each(ranges).transform(map_rows, _last_pass(folder, [name for name, _ in runs], bounds), f"part long, i long, {ROW}")
     merged = materialize(merged, "histories")
     starts, at = [], 0
     for part, n in sorted(tuple(r) for r in merged.groupBy("part").agg(F.count("*")).collect()):
