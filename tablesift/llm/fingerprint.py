@@ -5,24 +5,24 @@ blanks between a vowel and one of a to h; where there are none, after 400), so a
 document are sketched, whatever their number; the cells needed depend on the difference of two texts, not on their
 length. A digest goes to one cell of each of three subtables; a cell holds the count, the XOR of digests and the XOR of their checksums. Subtracting
 two sketches cancels what both texts have; peeling cells that hold a single digest recovers the
-others, and where that stalls larger sketches are tried. The first try is on the returned
-fingerprints. Beyond the largest size the digests are compared directly. Likeness is the share of common digests in all, from the digests recovered.
+others. The first try is on the returned fingerprints. Pairs where it stalls are tried again with sketches GROWTH times as large, and so on
+until all are peeled: a round of jobs for each size, over what is left. Likeness is the share of common digests in all, from the digests recovered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, table
+from .common import discard, materialize, row_key, table
 
 _END, _IN = r"[\n.!?|]", r"[^\n.!?|]"
 PARAGRAPH = rf"{_IN}{{1,160}}+{_END}++|{_IN}{{1,400}}?(?<=[aeiou]) (?=[a-h])|{_IN}{{1,400}}+{_END}*+|{_END}++"
-#: Cells of a subtable at first, and at the retry.
-SIZES = (8, 48)
-ROUNDS = 24
+#: Cells of a subtable in a fingerprint, and how much larger sketches are at each retry.
+SIZE, GROWTH = 8, 3
 #: Ids in a stretch of the global order that one task sorts, and the most stretches by id.
 STRETCH, STRETCHES = 2000, 1000
 
@@ -62,7 +62,7 @@ def _summed(placed: Column, size: int, start: Callable[[Column], Column], sign:
     return F.concat(*[subtable(j) for j in range(3)])
 
 
-def sketch(d: Column, size: int = SIZES[0]) -> Column:
+def sketch(d: Column, size: int = SIZE) -> Column:
     """The cells of distinct digests d."""
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0))
     return _let(_placed(d, lambda x: F.lit(1), lambda x: x, size), lambda placed: _summed(placed, size, lambda c: empty, 1))
@@ -72,6 +72,12 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["sum"].bitwiseXOR(y["sum"])))
 
 
+def _rounds(size: int) -> int:
+    """Rounds of peeling: below the load at which sketches peel at all, some more than twice the logarithm are enough; one that isn't done
+    then counts as stalled."""
+    return 16 + 2 * size.bit_length()
+
+
 def peel(cells: Column, size: int) -> Column:
     """(ok, found): whether all was recovered, and the digests with n 1 for the first text's and -1 for the second's."""
     none = F.array().cast("array<struct<key:bigint,n:int>>")
@@ -91,29 +97,33 @@ def peel(cells: Column, size: int) -> Column:
 
     start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(False).alias("stop"))
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), start, step,
+        F.sequence(F.lit(1), F.lit(_rounds(size))), start, step,
         lambda s: F.struct(F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["key"] == 0) & (x["sum"] == 0)).alias("ok"), s["found"].alias("found")),
     )
 
 
-def sketched(df: DataFrame, *names: str) -> DataFrame:
-    """Adds the sketches of digest arrays, `_<name>_<size>`, each worked out once however often it is used."""
-    return df.withColumns({f"_{x}_{size}": sketch(F.col(x), size) for x in names for size in SIZES})
+def recovered(a: Column, b: Column, size: int) -> Column:
+    """How many digests of either array the other lacks, from sketches of this size; null if peeling stalls."""
+    return _let(peel(subtract(a, b), size), lambda x: F.when(x["ok"], F.size(x["found"])))
+
+
+def differences(pairs: DataFrame, size: int = GROWTH * SIZE) -> DataFrame:
+    """pairs: columns of their own, a, b (arrays of distinct digests; materialized). The same columns without a and b, and `differ`: how
+    many digests the arrays don't share, by sketches that grow until each pair is peeled. A pair of equal digests and checksums apart, a
+    sketch of more than a few times as many cells as digests always peels, so the rounds end."""
+    names = [c for c in pairs.columns if c not in ("a", "b")]
+    done, left = [], pairs
+    while left.limit(1).count():
+        tried = left.withColumn("differ", recovered(sketch(F.col("a"), size), sketch(F.col("b"), size), size))
+        tried = materialize(tried.select(*names, "differ", *[F.when(F.col("differ").isNull(), F.col(x)).alias(x) for x in "ab"]), "peeled")
+        done.append(tried.where("differ is not null").select(*names, "differ"))
+        left, size = tried.where("differ is null").drop("differ"), GROWTH * size
+    return reduce(DataFrame.union, done) if done else pairs.select(*names, F.lit(0).alias("differ")).limit(0)
 
 
-def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Adds `out`: the likeness of the digest arrays a and b (each distinct), from their sketches in df."""
-    last = None
-    steps = []
-    for i, size in enumerate(SIZES):
-        name = f"_{out}{i}"
-        tried = peel(subtract(F.col(f"_{a}_{size}"), F.col(f"_{b}_{size}")), size)
-        df = df.withColumn(name, F.when(F.col(f"{last}.ok"), F.col(last)).otherwise(tried) if last else tried)
-        last, steps = name, [*steps, name]
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    differ = F.when(F.col(f"{last}.ok"), F.size(f"{last}.found")).otherwise(exact)
-    both = F.size(a) + F.size(b)
-    return df.withColumn(f"_{out}d", differ).withColumn(out, F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(f"_{out}d")) / (both + F.col(f"_{out}d")))).drop(*steps, f"_{out}d")
+def alike(n: Column, m: Column, differ: Column) -> Column:
+    """Likeness of arrays of n and m digests that differ in so many."""
+    return F.when(n + m == 0, F.lit(1.0)).otherwise((n + m - differ) / (n + m + differ))
 
 
 def as_text(cells: Column) -> Column:
@@ -176,12 +186,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     given = given.join(pairs, (F.col("key") == F.col("next_key")) & (F.col("key2") == F.col("next_key2")))
     given = given.select("for_key", "for_key2", "need", F.col("doc_id").alias("next_doc_id"), F.col("text").substr(F.lit(1), F.col("need")).alias("tail"), digests(F.col("text")).alias("next_all"))
     df = base.join(given, (F.col("key") == F.col("for_key")) & (F.col("key2") == F.col("for_key2")))
-    df = df.select("doc_id", "next_doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", "next_all", F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - F.col("need")), "tail").alias("edited"))
-    df = df.select("doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("all"), digests(F.col("edited")).alias("edited_all"), "next_all")
-    df = sketched(df, "all", "edited_all", "next_all")
-    df = df.withColumns({"fingerprint": as_text(F.col(f"_all_{SIZES[0]}")), "edited_fingerprint": as_text(F.col(f"_edited_all_{SIZES[0]}"))})
-    df = likeness(likeness(df, "all", "edited_all", "near_edited"), "all", "next_all", "near_next")
-    return df.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_doc_id")
+    df = df.select("key", "key2", "doc_id", "next_doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", "next_all", F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - F.col("need")), "tail").alias("edited"))
+    df = df.select("key", "key2", "doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("all"), digests(F.col("edited")).alias("edited_all"), "next_all")
+    df = df.withColumns({f"_{x}": sketch(F.col(x)) for x in ("all", "edited_all", "next_all")})
+    df = df.withColumns({"d_edited": recovered(F.col("_all"), F.col("_edited_all"), SIZE), "d_next": recovered(F.col("_all"), F.col("_next_all"), SIZE)})
+    stalled = lambda d, which, other: F.when(F.col(d).isNull(), F.struct(F.lit(which).alias("which"), F.col("all").alias("a"), F.col(other).alias("b")))
+    rest = F.filter(F.array(stalled("d_edited", "edited", "edited_all"), stalled("d_next", "next", "next_all")), lambda x: x.isNotNull())
+    sizes = [F.size(x).alias(f"n_{x}") for x in ("all", "edited_all", "next_all")]
+    first = df.select("key", "key2", "doc_id", "n_chars", "edited_sha256", as_text(F.col("_all")).alias("fingerprint"), as_text(F.col("_edited_all")).alias("edited_fingerprint"), *sizes, "d_edited", "d_next", "next_doc_id", rest.alias("rest"))
+    first = materialize(first, "first")
+    again = first.where(F.size("rest") > 0)
+    asked = again.dropDuplicates(["key", "key2"]) if repeated else again
+    asked = materialize(asked.select("key", "key2", F.explode("rest").alias("x")).select("key", "key2", "x.*"), "stalled")
+    found = differences(asked).groupBy("key", "key2").agg(*[F.max(F.when(F.col("which") == w, F.col("differ"))).alias(f"m_{w}") for w in ("edited", "next")])
+    again = again.join(found, ["key", "key2"]).withColumns({f"d_{w}": F.coalesce(f"d_{w}", f"m_{w}") for w in ("edited", "next")}).select(*first.columns)
+    out = first.where(F.size("rest") == 0).union(again)
+    near = [alike(F.col("n_all"), F.col(f"n_{w}_all"), F.col(f"d_{w}")).alias(f"near_{w}") for w in ("edited", "next")]
+    discard(pairs)
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near, "next_doc_id")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
