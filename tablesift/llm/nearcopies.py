@@ -6,8 +6,11 @@ and a budget that wide prunes nothing), so `BANDS` bands of `ROWS` MinHash value
 shares no band with a chance of (1 - 0.8^4)^40, about 7e-10. Each candidate is verified on the full sets. Equal sets are one
 node. In each bucket all members are first compared with its smallest and its largest node; what these links and the
 trie's make one component needs no more comparison. Nodes of buckets that still hold several components are gathered into clusters
-(whatever such buckets connect), and a cluster's sets are compared in pairs of blocks of about `BLOCK`: a task counts the common
-shingles of two blocks through their postings and emits only links that join components; no pairs are written out.
+(whatever such buckets connect). A node of n shingles of which m are met in another component of its cluster can only be similar to one of at
+most 9m/4 - n shingles, which says the same of it: nodes without such a partner go, by counts alone. So a cluster of texts
+made from one template, each with too much of its own, costs a pass over its shingles. What is left of a cluster is
+compared in pairs of blocks of about `BLOCK`: a task counts the common shingles of two blocks through their
+postings and emits only links that join components; no pairs are written out.
 """
 
 from __future__ import annotations
@@ -151,6 +154,36 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links()
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, comp, node, text) to (cluster, comp, node, shingle)."""
+    for batch in slices(batches, 3, 2 << 20):
+        sets = [shingles(t) for t in byte_texts(batch.column(3))]
+        at = pa.array(np.repeat(np.arange(len(sets)), [len(h) for h in sets]))
+        flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(flat)], names=["cluster", "comp", "node", "shingle"])
+
+
+def with_partners(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """own (node, comp, cluster; materialized) without nodes that can't be similar to any node of another component of their cluster.
+
+    With o common shingles, 5 o >= 4 (n + n' - o), so 9 o >= 4 (n + n'), and o is at most m, how many of a node's shingles are met in another
+    component: n' <= 9 m / 4 - n. Both must hold, for some pair of sizes in the cluster. Each shingle is moved twice, whatever
+    the cluster's size; of a cluster only one row for each size is gathered.
+    """
+    spread = own.join(texts, "node").select("cluster", "comp", "node", "text").transform(map_rows, _shingled, "cluster long, comp long, node long, shingle long")
+    spread = materialize(spread, "shingles")
+    shared = spread.groupBy("cluster", "shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("cluster", "shingle")
+    met = spread.join(shared, ["cluster", "shingle"]).groupBy("cluster", "node").agg(F.count("*").alias("m"))
+    sizes = spread.groupBy("cluster", "node").agg(F.count("*").alias("n"))
+    each = sizes.join(met, ["cluster", "node"]).withColumn("most", F.floor(F.col("m") * 9 / 4 - F.col("n"))).where("most > 0")
+    each = materialize(each, "matched")
+    known = each.groupBy("cluster", "n").agg(F.max("most").alias("most")).groupBy("cluster").agg(F.collect_list(F.struct("n", "most")).alias("sizes"))
+    fit = each.join(known, "cluster").where(F.exists("sizes", lambda x: (x["n"] <= F.col("most")) & (x["most"] >= F.col("n")))).select("node")
+    out = materialize(own.join(fit, "node", "left_semi"), "partners")
+    discard(spread, each)
+    return out
+
+
 def _components(docs: DataFrame) -> DataFrame:
     """(doc_id, key, comp) of each row; comp is the smallest node of its component."""
     keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
@@ -176,6 +209,7 @@ def _components(docs: DataFrame) -> DataFrame:
     clusters = materialize(connected_components(at.join(hubs, "band").select(F.col("node").alias("u"), F.col("hub").alias("v"))), "clusters")
     own = at.select("node", "comp").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     own = materialize(own, "own")
+    whole, own = own, with_partners(own, texts)
     sizes = own.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = own.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
@@ -183,7 +217,7 @@ def _components(docs: DataFrame) -> DataFrame:
     second = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").transform(map_rows, _block_links, "u long, v long")
     second = materialize(second, "second")
     comps = materialize(connected_components(first.union(second)), "comps")
-    discard(nodes, ends, members, trie, texts, star, at, clusters, own, first, second)
+    discard(nodes, ends, members, trie, texts, star, at, clusters, whole, own, first, second)
     return prints.select("doc_id", "key", "node").join(comps, "node", "left").select("doc_id", "key", F.coalesce("comp", "node").alias("comp"))
 
 

@@ -63,6 +63,31 @@ def test_a_large_cluster_just_below_and_above_the_threshold(spark, monkeypatch):
     assert kept == brute(rows) and 1 < len(kept) < 160
 
 
+def test_a_template_with_too_much_of_their_own_needs_no_pairs(spark):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):  # eight edits in blocks of their own: Jaccard of two about 0.7
+        c = list(base)
+        for k in r.sample(range(2, 196, 6), 7):
+            c[k] = f"n{i}_{k}"
+        rows.append((i, i, 7, " ".join(c)))
+    near = [(1000, 1000, 7, " ".join(base)), (1001, 1001, 7, " ".join([*base, "more"])), (2000, 5, 8, "a b c d e f"), (2001, 5, 8, "a b c d e f g")]
+    df = nearcopies.materialize(spark.createDataFrame(rows + near, "node long, comp long, cluster long, text string"), "own")
+    kept = sorted(x.node for x in nearcopies.with_partners(df.select("node", "comp", "cluster"), df.select("node", "text")).collect())
+    assert kept == [1000, 1001]  # two that are similar; the last two are in one component already
+
+
+def test_no_pair_is_lost_by_the_bound(spark):
+    r = random.Random(13)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[: r.randrange(20, 60)]) for _ in range(40)] + [" ".join(r.sample(words, 30)) for _ in range(20)]
+    sets = [nearcopies.shingles(t.encode()) for t in texts]
+    df = nearcopies.materialize(spark.createDataFrame([(i, i, 0, t) for i, t in enumerate(texts)], "node long, comp long, cluster long, text string"), "own")
+    kept = {x.node for x in nearcopies.with_partners(df.select("node", "comp", "cluster"), df.select("node", "text")).collect()}
+    assert kept >= {i for a, b in combinations(range(60), 2) if nearcopies.similar(sets[a], sets[b]) for i in (a, b)}
+
+
 def test_empty_and_repeated(spark):
     assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
     rows = [(None, "a b", None, None, 0), (7, "a b", None, None, 0), (7, "a b", None, None, 0), (None, "zz", None, None, 0)]
