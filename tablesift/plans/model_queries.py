@@ -7,7 +7,6 @@ import json
 import re
 import threading
 from collections.abc import Callable, Iterator
-from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from ..operators import debate, sqlgen
 from ..sources import models
 from ..sources.exchange import scratch
 from .lake_queries import read
+from .services import serve
 from .stats_queries import ORACLE as STATS_ORACLE
 
 
@@ -24,33 +24,18 @@ def stand_in(spark, reply: Callable[[str, int], str], fail_every: int = 3) -> It
     asked: list[str] = []
     lock, calls = threading.Lock(), [0]
 
-    class Handler(BaseHTTPRequestHandler):
-        def do_POST(self) -> None:
-            sent = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-            prompt = sent["messages"][0]["content"]
-            with lock:
-                calls[0] += 1
-                fails = fail_every and calls[0] % fail_every == 0
-                if not fails:
-                    asked.append(prompt)
-            text = reply(prompt, sent["seed"])
-            body = b"" if fails else json.dumps({"choices": [{"message": {"content": text}}], "usage": {"prompt_tokens": len(prompt.split()), "completion_tokens": len(text.split())}}).encode()
-            self.send_response(503 if fails else 200)
-            self.send_header("Content-Length", str(len(body)))
-            self.end_headers()
-            self.wfile.write(body)
-
-        def log_message(self, *args) -> None:
-            pass
-
-    host = spark.conf.get("spark.driver.host", "127.0.0.1")
-    server = ThreadingHTTPServer(("", 0), Handler)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    try:
-        yield models.Endpoint(f"http://{host}:{server.server_port}/v1/chat/completions", "stand-in", wait=0.01, longest=0.1, tries=12), asked
-    finally:
-        server.shutdown()
-        server.server_close()
+    def answer(_, sent: dict) -> tuple[int, dict | None]:
+        prompt = sent["messages"][0]["content"]
+        with lock:
+            calls[0] += 1
+            if fail_every and calls[0] % fail_every == 0:
+                return 503, None
+            asked.append(prompt)
+        text = reply(prompt, sent["seed"])
+        return 200, {"choices": [{"message": {"content": text}}], "usage": {"prompt_tokens": len(prompt.split()), "completion_tokens": len(text.split())}}
+
+    with serve(spark, answer) as url:
+        yield models.Endpoint(f"{url}/v1/chat/completions", "stand-in", wait=0.01, longest=0.1, tries=12), asked
 
 
 def _debater(prompt: str, seed: int) -> str:

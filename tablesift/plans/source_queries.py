@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import Evaluation, Generation, Search
 from ..functions.text import resource_id
-from ..operators import lake, metadata, profile, prompts, search, sets, workflow
+from ..operators import dictionary, lake, metadata, profile, prompts, search, sets, workflow
 from ..sources import files, portal
-from ..sources.exchange import scratch
+from ..sources.exchange import materialize, scratch
 from ..streaming.index import append_cells
+from . import services
 from .lake_queries import _BRANDS, read, sql_clean, sql_is_num
 
 
@@ -28,11 +29,26 @@ def stage_append(spark, sf_dir):
     """Two batches appended to a stage's CSV; rows with nulls are dropped when it is read."""
     folder = scratch(spark)
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("priority"))
-    for i in range(2):
-        files.write_stage(orders.where(F.col("o_orderkey") % 2 == i), f"{folder}/stage")
+    for i in (0, 1, 0):  # the first batch is written again
+        files.write_stage(orders.where(F.col("o_orderkey") % 2 == i), f"{folder}/stage", f"part {i}")
+    orders.limit(3).write.option("header", True).csv(f"{folder}/stage/data/half-way")  # and one died before it was committed
     return files.read_stage(spark, f"{folder}/stage", "o_orderkey long, priority string")
 
 
+def dictionary_batches(spark, sf_dir):
+    """A dictionary that grows by two batches, the second given twice: ids are dense, the first batch's stay, and cells can be read back."""
+    folder = f"{scratch(spark)}/words"
+    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("value"))
+    first = dictionary.grow(part.where("p_partkey % 2 = 0"), folder, "even").withColumnRenamed("id", "first_id")
+    for _ in range(2):
+        words = dictionary.grow(part.select("p_partkey", F.explode(F.array("value", F.concat("value", F.lit(" 2")))).alias("value")), folder, "all")
+    back = lake.decode(dictionary.encode(part, words), words).join(part.withColumnRenamed("value", "was"), "p_partkey").where("value = was")
+    kept = words.join(first, "value").where("id = first_id")
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    ids = words.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.min("id").alias("least"), F.max("id").alias("most"))
+    return ids.join(count(first, "n_first")).join(count(kept, "kept")).join(count(back, "read_back"))
+
+
 def package_lines(spark, sf_dir):
     """Package records appended as JSON lines and read back; the accepted resources of those in English or without a language."""
     folder = scratch(spark)
@@ -90,10 +106,33 @@ def streamed_index(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").groupBy("table_id").agg(F.count("*").alias("n_cells"), F.count_distinct("value").alias("n_values"))
 
 
+def _portal(spark, sf_dir):
+    """Packages made of suppliers; twenty share a time of change."""
+    rows = read(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_name").collect()
+    return [{"id": f"p{k:06}", "title": name, "metadata_modified": f"2024-01-01T{i // 20 // 3600:02}:{i // 20 // 60 % 60:02}:{i // 20 % 60:02}"} for i, (k, name) in enumerate(rows)]
+
+
 def portal_pages(spark, sf_dir):
-    """The pages of a range that ends at the portal's count."""
-    count = read(spark, sf_dir, "customer").count()
-    return spark.createDataFrame(portal.pages(5, 1 << 30, 10, count), "start int, rows int")
+    """The packages of a range of a portal, fetched page by page within tasks; the range ends at the portal's count."""
+    packages = _portal(spark, sf_dir)
+    spark.dataSource.register(portal.PortalSource)
+    with services.portal_service(spark, packages) as url:
+        found = materialize(spark.read.format("portal").options(url=url, **{"from": "5", "to": "1000000", "page": "30"}).load())
+    return found.select("id", F.get_json_object("package", "$.title").alias("title"))
+
+
+def portal_stream(spark, sf_dir):
+    """Polls of a portal that grows: half of the packages, then all and one of the first again, then nothing new. How often each came."""
+    packages, folder = _portal(spark, sf_dir), scratch(spark)
+    spark.dataSource.register(portal.PortalSource)
+    grown = packages[: len(packages) // 2 + 7]  # so that some that share a time are still to come
+    with services.portal_service(spark, grown) as url:
+        for later in (packages[len(grown) :] + [{**packages[0], "metadata_modified": "2024-02-01T00:00:00"}], [], []):
+            stream = spark.readStream.format("portal").options(url=url, page="25").load()
+            query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(f"{folder}/packages")
+            query.awaitTermination()
+            grown[:] = [p for p in grown if p["id"] not in {x["id"] for x in later}] + later
+    return spark.read.parquet(f"{folder}/packages").groupBy("id").agg(F.count("*").alias("n"), F.min(F.get_json_object("package", "$.title")).alias("title"))
 
 
 def pinned_columns(spark, sf_dir):
@@ -201,7 +240,7 @@ def evaluated_pairs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_to_parquet, stage_append, package_lines, lake_listing, resource_ids, json_file, index_lookup, streamed_index, portal_pages, pinned_columns, preview_rows, filtered_candidates,
+        csv_to_parquet, stage_append, dictionary_batches, package_lines, lake_listing, resource_ids, json_file, index_lookup, streamed_index, portal_pages, portal_stream, pinned_columns, preview_rows, filtered_candidates,
         pairs_for_generation, seeded_samples, sliced_rows, prompt_text, generated_records, leaky_questions, evaluated_pairs,
     )
 }
@@ -233,13 +272,16 @@ _PROMPT = f"Rate from 0 to 10 how sensible it is to combine these two tables on
 ORACLE = {
     "csv_to_parquet": "select cast(s_suppkey as varchar) as s_suppkey, s_name || ' é' as s_name, cast(s_nationkey as varchar) as s_nationkey from supplier",
     "stage_append": "select o_orderkey, o_orderpriority as priority from orders where o_orderkey % 5 <> 0",
+    "dictionary_batches": """with v as (select p_type as v from part union all select p_type || ' 2' from part), w as (select count(distinct v) as n from v), f as (select count(distinct p_type) as n from part where p_partkey % 2 = 0)
+select w.n, w.n as n_ids, cast(0 as bigint) as least, w.n - 1 as most, f.n as n_first, f.n as kept, (select count(*) from part) as read_back from w, f""",
     "package_lines": "select 'p' || cast(n_nationkey as varchar) as package_id, 'r' || cast(n_nationkey as varchar) as resource_id from nation where n_nationkey % 5 <> 4 and n_nationkey % 3 <> 0",
     "lake_listing": "select * from (values (0, 'region_3.parquet', 'r_regionkey,r_name', 'region'), (1, 'nation_3.parquet', 'n_nationkey,n_name,n_regionkey', 'nation')) t(place, table_name, columns, resource_id)",
     "resource_ids": "select p_partkey, p_name as resource_id from part",
     "json_file": "select n_nationkey, n_name from nation",
     "index_lookup": f"with c as (select 0 as table_id, 1 as column_id, r_name as v from region union all select 1, 1, n_name from nation) select table_id, column_id, {sql_clean('v')} as value from c where {sql_clean('v')} in ('asia', 'nation_3', 'nation_7')",
     "streamed_index": f"select p_brand as table_id, count(*) as n_cells, count(distinct {sql_clean('p_name')}) as n_values from part where not {sql_is_num(sql_clean('p_name'))} group by p_brand",
-    "portal_pages": "with n as (select count(*) as n from customer) select cast(a as integer) as start, cast(least(10, n - a) as integer) as rows from n, range(5, (select n from n), 10) t(a)",
+    "portal_pages": "select 'p' || lpad(cast(s_suppkey as varchar), 6, '0') as id, s_name as title from supplier order by s_suppkey offset 5",
+    "portal_stream": "select 'p' || lpad(cast(s_suppkey as varchar), 6, '0') as id, case when s_suppkey = (select min(s_suppkey) from supplier) then 2 else 1 end as n, s_name as title from supplier",
     "pinned_columns": "select c_name, c_custkey, c_mktsegment from customer",
     "preview_rows": "select '| r_regionkey | r_name |' as line union all select '| --- | --- |' union all select '| ' || cast(r_regionkey as varchar) || ' | ' || r_name || ' |' from region",
     "filtered_candidates": f"""with {_BRANDS}, h as (select p_brand as t, count(*) as n_rows, cast(right(p_brand, 1) as integer) % 2 as odd from part group by p_brand),

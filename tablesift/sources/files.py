@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metadata import PACKAGE
+from . import commits
 
 DELIMITERS = ",;\t|"
 
@@ -116,20 +117,25 @@ def schema_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PACKAGE).json(path)
+    """Package records: of a log of batches those committed, else of the JSON lines at path."""
+    known = commits.folders(spark, path)
+    return spark.read.schema(PACKAGE).json(known or path)
 
 
-def append_packages(packages: DataFrame, path: str) -> None:
-    packages.write.mode("append").json(path)
+def append_packages(packages: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Appends package records as JSON lines; a batch of one name once."""
+    return commits.append(packages, path, lambda df, folder: df.write.json(folder), batch)
 
 
 def read_stage(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stage's CSV: rows that don't fit, and rows with nulls, are dropped."""
-    return spark.read.schema(schema).options(header=True, mode="PERMISSIVE").csv(path).dropna()
+    """A stage's CSV, its committed batches alone: rows that don't fit, and rows with nulls, are dropped."""
+    known = commits.folders(spark, path)
+    return (spark.read.schema(schema).options(header=True, mode="PERMISSIVE").csv(known) if known else spark.createDataFrame([], schema)).dropna()
 
 
-def write_stage(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_stage(df: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Appends rows to a stage; a batch of one name once, however often it is written."""
+    return commits.append(df, path, lambda rows, folder: rows.write.option("header", True).csv(folder), batch)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

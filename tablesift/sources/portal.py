@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def pages(first: int, last: int, size: int, count: int | None = None) -> list[tuple[int, int]]:
@@ -45,8 +46,64 @@ class PortalReader(DataSourceReader):
             yield package.get("id"), json.dumps(package)
 
 
+class Span(InputPartition):
+    """Packages changed from `first` to `last`, times as the portal writes them; without `skip` (of the first time), and of the last time `only`."""
+
+    def __init__(self, first: str, last: str, skip: list[str], only: list[str] | None):
+        super().__init__((first, last))
+        self.first, self.last, self.skip, self.only = first, last, skip, only
+
+
+class PortalStream(DataSourceStreamReader):
+    """Packages in the order in which they were changed. An offset is the time of the last change that was read, and the ids that had it:
+    each package comes once for each of its changes, however often polls are repeated, and also where several share a time. A batch is
+    divided at times into parts of about a page, which tasks read; what was changed again meanwhile comes in a later batch."""
+
+    def __init__(self, options: dict, get: Callable[[str], dict] = fetch):
+        self.url, self.get, self.size = options["url"].rstrip("/"), get, int(options.get("page", 10))
+
+    def _changes(self, first: str, last: str, fields: str = "") -> Iterator[dict]:
+        query = {"fq": f"metadata_modified:[{first or '*'} TO {last or '*'}]", "sort": "metadata_modified asc, id asc", "rows": str(max(self.size, 100) if fields else self.size), **({"fl": fields} if fields else {})}
+        at = 0
+        while True:
+            found = self.get(f"{self.url}/package_search?{urllib.parse.urlencode({**query, 'start': str(at)})}")["result"]["results"]
+            yield from found
+            at += len(found)
+            if not found:
+                return
+
+    def initialOffset(self) -> dict:
+        return {"time": "", "ids": []}
+
+    def latestOffset(self) -> dict:
+        newest = self.get(f"{self.url}/package_search?{urllib.parse.urlencode({'sort': 'metadata_modified desc, id desc', 'rows': '1', 'start': '0'})}")["result"]["results"]
+        if not newest:
+            return self.initialOffset()
+        time = newest[0]["metadata_modified"]
+        return {"time": time, "ids": sorted(x["id"] for x in self._changes(time, time, "id,metadata_modified"))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if start == end or not end["time"]:
+            return []
+        times = [x["metadata_modified"] for x in self._changes(start["time"], end["time"], "id,metadata_modified")]
+        cuts = sorted({start["time"] or (times[0] if times else end["time"]), *times[self.size :: self.size], end["time"]})
+        spans = [(a, b) for a, b in zip(cuts, cuts[1:])] or [(cuts[0], cuts[0])]
+        # a span has its first time only where it is the first span
+        return [Span(a, b, start["ids"] if i == 0 and a == start["time"] else [] if i == 0 else ["*"], end["ids"] if b == end["time"] else None) for i, (a, b) in enumerate(spans)]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        for package in self._changes(partition.first, partition.last):
+            time, name = package["metadata_modified"], package["id"]
+            if time == partition.first and (name in partition.skip or partition.skip == ["*"]):
+                continue
+            if time == partition.last and partition.only is not None and name not in partition.only:
+                continue
+            yield name, json.dumps(package)
+
+
 class PortalSource(DataSource):
-    """`spark.dataSource.register(PortalSource)`; then format `portal` with url, from, to and page gives (id, package JSON)."""
+    """`spark.dataSource.register(PortalSource)`; then format `portal` with url, from, to and page gives (id, package JSON), all at once or, as a
+    stream, what was changed since the last batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -57,3 +114,6 @@ class PortalSource(DataSource):
 
     def reader(self, schema) -> PortalReader:
         return PortalReader(self.options)
+
+    def streamReader(self, schema) -> PortalStream:
+        return PortalStream(self.options)
