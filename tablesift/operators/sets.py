@@ -42,9 +42,19 @@ def first_of(rows: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
     return rows.groupBy(*group).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), place).alias("_first")).select("_first.*")
 
 
+def _seeded(keys: list[str], seed: int) -> Column:
+    """A digest that is the same in any engine."""
+    return F.md5(F.concat_ws(",", F.lit(seed), *keys))
+
+
 def shuffled(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """A seeded order of whole rows that is the same on any cluster."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    return rows.orderBy(_seeded(keys, seed), *keys)
+
+
+def shuffled_places(rows: DataFrame, keys: list[str], seed: int, name: str = "place") -> DataFrame:
+    """rows with their places in the order of `shuffled`, from 0, worked out stretch by stretch."""
+    return row_numbers(rows.withColumn("_seeded", _seeded(keys, seed)), ["_seeded", *keys], name).drop("_seeded")
 
 
 def drawn(rows: DataFrame, keys: list[str], n: int, seed: int, replace: bool = False) -> DataFrame:
@@ -55,8 +65,8 @@ def drawn(rows: DataFrame, keys: list[str], n: int, seed: int, replace: bool = F
     total = rows.count()
     if not total:
         return rows.limit(0)
-    draws = rows.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("_at"))
-    return numbered.join(draws, "_at").drop("_at")
+    number = F.conv(F.substring(_seeded(["id"], seed), 1, 15), 16, 10).cast("long")
+    return numbered.join(rows.sparkSession.range(n).select((number % total).alias("_at")), "_at").drop("_at")
 
 
 def slice_rows(rows: DataFrame, keys: list[str], first: int, n: int) -> DataFrame:

@@ -35,9 +35,12 @@ def clean_cells(spark, sf_dir):
 
 
 def clean_headers(spark, sf_dir):
+    """Headers made of the part types, in several spellings, some of which become the same name."""
     from ..functions.text import clean_names
 
-    names = ["HTMLParser id", "Été (fr)", "unit-price", "A\nB", "totalSum", "ﬁn", "total_sum"]
+    kind = F.col("p_type")
+    spelled = F.array(kind, F.upper(kind), F.regexp_replace(F.initcap(kind), " ", ""), F.concat(F.lit("Été-"), kind, F.lit(" (%)")), F.concat(F.lit("HTML"), F.initcap(kind), F.lit("\n2")))
+    names = sorted(r[0] for r in read(spark, sf_dir, "part").select(F.explode(spelled)).distinct().collect())
     return spark.createDataFrame(list(zip(names, clean_names(names))), "header string, cleaned string")
 
 
@@ -167,7 +170,7 @@ def budget_top(spark, sf_dir):
 
 
 def seeded_shuffle(spark, sf_dir):
-    return sets.shuffled(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 42)
+    return sets.shuffled_places(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 42)
 
 
 def schema_text(spark, sf_dir):
@@ -201,7 +204,9 @@ _ALL = " union all ".join(f"select '{t}' as t, '{c}' as c, {x} as v from {t}" fo
 
 ORACLE = {
     "clean_cells": f"select doc_id, {sql_clean('text')} as cleaned from documents",
-    "clean_headers": "select * from (values ('HTMLParser id', 'html_parser_id'), ('Été (fr)', 'ete__fr_'), ('unit-price', 'unit_price'), ('A' || chr(10) || 'B', 'a_b'), ('totalSum', 'total_sum'), ('ﬁn', 'fin'), ('total_sum', 'total_sum_1')) t(header, cleaned)",
+    "clean_headers": f"""with k as (select distinct p_type as k, array_to_string(list_transform(string_split(p_type, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') as initcap from part),
+h as (select distinct unnest([k, upper(k), replace(initcap, ' ', ''), 'Été-' || k || ' (%)', 'HTML' || initcap || chr(10) || '2']) as header from k), c as (select header, {sql_clean('header')} as c from h),
+n as (select header, c, row_number() over (partition by c order by header) - 1 as i from c) select header, case when i = 0 then c else c || '_' || i end as cleaned from n""",
     "is_num_filter": f"""with v as (select cast(o_orderkey as varchar) as v from orders union all select o_orderpriority from orders union all select strftime(o_orderdate, '%Y_%m_%d') from orders
  union all select cast(o_custkey as varchar) || '%' from orders union all select '_' || cast(o_custkey as varchar) from orders)
 select {sql_is_num('v')} as numeric, count(*) as n, count(distinct v) as n_distinct from v group by 1""",
@@ -238,7 +243,7 @@ from i join n x on x.t = r join n y on y.t = s where round(k / cast(x.n + y.n -
     "dedup_first": "select doc_id, lang, source, n_chars from (select *, row_number() over (partition by text order by doc_id) as i from documents) where i = 1",
     "dedup_subset": "select distinct lang, source from documents where not regexp_matches(text, 'dataset|record|table')",
     "strip_tags_truncate": r"select page_id, substring(regexp_replace(coalesce(html, ''), '(<[^>]+>)|\n|\r|\t', ' ', 'g'), 1, 1000) as notes from pages",
-    "seeded_shuffle": "select o_orderkey, o_orderstatus from orders",
+    "seeded_shuffle": "select o_orderkey, o_orderstatus, row_number() over (order by md5('42,' || o_orderkey), o_orderkey) - 1 as place from orders",
     "schema_text": """select * from (values
 ('region', 'CREATE TABLE region (' || chr(10) || '    r_regionkey BIGINT,' || chr(10) || '    r_name VARCHAR(255)' || chr(10) || ');'),
 ('customer', 'CREATE TABLE customer (' || chr(10) || '    c_custkey BIGINT,' || chr(10) || '    c_name VARCHAR(255),' || chr(10) || '    c_nationkey BIGINT,' || chr(10) || '    c_acctbal FLOAT,' || chr(10) || '    c_mktsegment VARCHAR(255)' || chr(10) || ');'),

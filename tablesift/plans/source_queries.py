@@ -180,12 +180,12 @@ def pairs_for_generation(spark, sf_dir):
 
 
 def seeded_samples(spark, sf_dir):
-    """Draws without and with replacement: how many rows, how many different ones, how many that the table has."""
+    """Draws without and with replacement: which rows, how often."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey")
     parts = []
     for kind, n, replace in (("without", 100, False), ("with", 20000, True)):
         got = sets.drawn(orders, ["o_orderkey"], n, 42, replace)
-        parts.append(got.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), (F.count_distinct("o_orderkey") == n).alias("all_different"), F.count_if(F.col("o_orderkey").isNotNull()).alias("known")))
+        parts.append(got.groupBy(F.lit(kind).alias("kind"), "o_orderkey").agg(F.count("*").alias("times")))
     return parts[0].union(parts[1])
 
 
@@ -292,7 +292,10 @@ g as (select *, round(k / cast(rn + sn - k as double), 3) as jaccard from w wher
 u as (select *, row_number() over (partition by least((rt, rc), (st, sc)), greatest((rt, rc), (st, sc)) order by rt, rc) as one from g)
 select rt as r_table_id, rc as r_column_id, st as s_table_id, sc as s_column_id, k as size_intersection, jaccard from u where one = 1""",
     "pairs_for_generation": f"with {_SCORED}, o as (select *, row_number() over (partition by r_rsc_id, s_rsc_id order by score desc, r_col_id, s_col_id) as i from p where score >= 8) select r_rsc_id, s_rsc_id, r_col_id, s_col_id, score from o where i = 1 and not contains(r_rsc_id, '_')",
-    "seeded_samples": "select 'without' as kind, 100 as n, true as all_different, 100 as known union all select 'with', 20000, false, 20000",
+    "seeded_samples": """with o as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as place from orders), w as (select o_orderkey from orders order by md5('42,' || o_orderkey), o_orderkey limit 100),
+c as (select count(*) as c from orders), d as materialized (select cast(('0x' || substr(md5('42,' || i), 1, 15))::bigint % c as bigint) as place from range(20000) r(i), c)
+select 'without' as kind, o_orderkey, cast(1 as bigint) as times from w union all
+select 'with', o_orderkey, count(*) from d join o using (place) group by o_orderkey""",
     "sliced_rows": "select o_orderkey, o_totalprice from orders order by o_orderkey limit 37 offset 100",
     "prompt_text": "select * from (values " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(_PROMPT) if x != "row") + ") t(place, line)",
     "generated_records": """with k(type, r, s, rn, sn) as (values ('single-table', 'nations', null, 'Nations', null), ('multi-table-join', 'nations', 'customers', 'Nations', 'Customers'), ('single-table', 'suppliers', null, null, null), ('multi-table-union', 'suppliers', 'buyers', null, null))
