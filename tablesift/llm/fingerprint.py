@@ -5,8 +5,9 @@ blanks between a vowel and one of a to h; where there are none, after 400), so a
 document are sketched, whatever their number; the cells needed depend on the difference of two texts, not on their
 length. A digest goes to one cell of each of three subtables; a cell holds the count, the XOR of digests and the XOR of their checksums. Subtracting
 two sketches cancels what both texts have; peeling cells that hold a single digest recovers the
-others. The first try is on the returned fingerprints. Pairs where it stalls are tried again with sketches GROWTH times as large, and so on
-until all are peeled: a round of jobs for each size, over what is left. Likeness is the share of common digests in all, from the digests recovered.
+others. The first try is on the returned fingerprints, within rows. Pairs where it stalls are tried again with sketches GROWTH times as
+large, and so on until all are peeled: a job for each size, over what is left, where cells are rows: sketches are aggregates by cell, and
+so is each round of peeling; all of a pair stays in one partition. Likeness is the share of common digests in all, from the digests recovered.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ _END, _IN = r"[\n.!?|]", r"[^\n.!?|]"
 PARAGRAPH = rf"{_IN}{{1,160}}+{_END}++|{_IN}{{1,400}}?(?<=[aeiou]) (?=[a-h])|{_IN}{{1,400}}+{_END}*+|{_END}++"
 #: Cells of a subtable in a fingerprint, and how much larger sketches are at each retry.
 SIZE, GROWTH = 8, 3
+#: Rounds of peeling in a retry; a pair that isn't done then counts as stalled.
+ROUNDS = 12
 #: Ids in a stretch of the global order that one task sorts, and the most stretches by id.
 STRETCH, STRETCHES = 2000, 1000
 
@@ -107,17 +110,39 @@ def recovered(a: Column, b: Column, size: int) -> Column:
     return _let(peel(subtract(a, b), size), lambda x: F.when(x["ok"], F.size(x["found"])))
 
 
+def peeled(pairs: DataFrame, names: list[str], size: int) -> DataFrame:
+    """names, differ, ok for rows of names, a, b that are dealt out by some of names: by sketches of 3 * size cells, a row each. A cell with a
+    single digest sends its removal to the digest's cells, itself among them; removals by several cells are one. Cell -1 counts
+    the digests. Rounds follow each other without exchange, each over the cells that aren't empty yet."""
+    at = lambda j: (F.pmod(F.shiftrightunsigned("k", 21 * j), F.lit(size)) + j * size).cast("int")
+    row = lambda c, n, k, h, of: F.struct(c.cast("int").alias("c"), n.cast("int").alias("n"), k.cast("long").alias("k"), h.cast("int").alias("h"), of.cast("long").alias("of"))
+    none, zero = F.lit(None), F.lit(0)
+    total = (F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+    signs = {"a": lambda d: F.struct(d.alias("k"), F.lit(1).alias("n")), "b": lambda d: F.struct(d.alias("k"), F.lit(-1).alias("n"))}
+    signed = F.concat(*[F.transform(x, f) for x, f in signs.items()])
+    each = pairs.select(*names, F.explode(signed).alias("x")).select(*names, "x.*")
+    cells = each.select(*names, "n", "k", F.hash("k").alias("h"), F.explode(F.array(*[at(j) for j in range(3)])).alias("c")).groupBy(*names, "c").agg(*total)
+    filled = (F.col("n") != 0) | (F.col("k") != 0) | (F.col("h") != 0)
+    for _ in range(ROUNDS):
+        single = (F.col("c") >= 0) & (F.abs("n") == 1) & (F.hash("k") == F.col("h"))
+        own = row(F.col("c"), F.col("n"), F.col("k"), F.col("h"), none)
+        sent = [row(at(j), -F.col("n"), F.col("k"), F.col("h"), F.col("k")) for j in range(3)]
+        out = F.when(single, F.array(own, *sent, row(F.lit(-1), F.lit(1), zero, zero, F.col("k")))).otherwise(F.array(own))
+        once = cells.where(filled).select(*names, F.explode(out).alias("x")).select(*names, "x.*").groupBy(*names, "c", "of").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first("h").alias("h"))
+        cells = once.groupBy(*names, "c").agg(*total)
+    done = cells.where(filled).groupBy(*names).agg(F.coalesce(F.max(F.when(F.col("c") == -1, F.col("n"))), zero).alias("differ"), (F.count_if(F.col("c") >= 0) == 0).alias("ok"))
+    return done
+
+
 def differences(pairs: DataFrame, size: int = GROWTH * SIZE) -> DataFrame:
-    """pairs: columns of their own, a, b (arrays of distinct digests; materialized). The same columns without a and b, and `differ`: how
-    many digests the arrays don't share, by sketches that grow until each pair is peeled. A pair of equal digests and checksums apart, a
-    sketch of more than a few times as many cells as digests always peels, so the rounds end."""
+    """pairs: columns of their own that tell them apart, the first two of which deal them out, a, b (different arrays of distinct digests;
+    materialized). The same columns without a and b, and `differ`: how many digests the arrays don't share, by sketches that grow until each pair is peeled."""
     names = [c for c in pairs.columns if c not in ("a", "b")]
     done, left = [], pairs
     while left.limit(1).count():
-        tried = left.withColumn("differ", recovered(sketch(F.col("a"), size), sketch(F.col("b"), size), size))
-        tried = materialize(tried.select(*names, "differ", *[F.when(F.col("differ").isNull(), F.col(x)).alias(x) for x in "ab"]), "peeled")
-        done.append(tried.where("differ is not null").select(*names, "differ"))
-        left, size = tried.where("differ is null").drop("differ"), GROWTH * size
+        tried = materialize(peeled(left.repartition(*names[:2]), names, size), "peeled")
+        done.append(tried.where("ok").select(*names, "differ"))
+        left, size = materialize(left.join(tried.where("not ok").select(*names), names), "left"), GROWTH * size
     return reduce(DataFrame.union, done) if done else pairs.select(*names, F.lit(0).alias("differ")).limit(0)
 
 
