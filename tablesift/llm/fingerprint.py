@@ -5,9 +5,10 @@ blanks between a vowel and one of a to h; where there are none, after 400), so a
 document are sketched, whatever their number; the cells needed depend on the difference of two texts, not on their
 length. A digest goes to one cell of each of three subtables; a cell holds the count, the XOR of digests and the XOR of their checksums. Subtracting
 two sketches cancels what both texts have; peeling cells that hold a single digest recovers the
-others. The first try is on the returned fingerprints, within rows. Pairs where it stalls are tried again with sketches GROWTH times as
-large, and so on until all are peeled: a job for each size, over what is left, where cells are rows: sketches are aggregates by cell, and
-so is each round of peeling; all of a pair stays in one partition. Likeness is the share of common digests in all, from the digests recovered.
+others. The first try is on the returned fingerprints. Where it stalls, the counts of its cells tell about how much the texts differ (their
+squares add up to that, as digests fall into cells at random), and a second try has as many cells as that takes, for each pair its own number; both are
+within rows, so no digests are written. Few pairs stall again: they are tried with sketches GROWTH times as large, and so on until
+all are peeled. Likeness is the share of common digests in all, from the digests recovered.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ _END, _IN = r"[\n.!?|]", r"[^\n.!?|]"
 PARAGRAPH = rf"{_IN}{{1,160}}+{_END}++|{_IN}{{1,400}}?(?<=[aeiou]) (?=[a-h])|{_IN}{{1,400}}+{_END}*+|{_END}++"
 #: Cells of a subtable in a fingerprint, and how much larger sketches are at each retry.
 SIZE, GROWTH = 8, 3
-#: Rounds of peeling in a retry; a pair that isn't done then counts as stalled.
-ROUNDS = 12
+#: Cells of a subtable for each digest that is expected to differ (three times as many in all peel with near certainty), and besides.
+SHARE, BESIDES = 0.6, 3
+#: What an estimate of the difference is multiplied by; its standard deviation is about 0.3 of it.
+MARGIN = 1.3
 #: Ids in a stretch of the global order that one task sorts, and the most stretches by id.
 STRETCH, STRETCHES = 2000, 1000
 
@@ -48,19 +51,33 @@ def _cell(n: Column, key: Column, checksum: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), key.alias("key"), checksum.alias("sum"))
 
 
-def _placed(keys: Column, signs: Callable[[Column], Column], key: Callable[[Column], Column], size: int) -> Column:
-    """keys with the place of each in the three subtables."""
-    return F.transform(keys, lambda x: F.struct(*[_place(key(x), j, size).alias(f"p{j}") for j in range(3)], signs(x).cast("int").alias("n"), key(x).alias("key"), F.hash(key(x)).alias("sum")))
+def _shape(size: Column) -> Column:
+    """size, about its root `low`, and `high` such that high * low is size: rounded up."""
+    low = F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("int")
+    return _let(F.struct(low.alias("low"), F.ceil(size / low).cast("int").alias("high")), lambda x: F.struct((x["low"] * x["high"]).alias("size"), x["low"].alias("low"), x["high"].alias("high")))
 
 
-def _summed(placed: Column, size: int, start: Callable[[Column], Column], sign: int) -> Column:
-    """The cells: each starts as start(its number), and has the entries placed there added (sign 1) or removed (-1)."""
+def _placed(keys: Column, signs: Callable[[Column], Column], key: Callable[[Column], Column], size: int | Column) -> Column:
+    """keys with the place of each in the three subtables; size: their cells, or a shape."""
+    if isinstance(size, int):
+        places = lambda x: [_place(key(x), j, size).alias(f"p{j}") for j in range(3)]
+    else:
+        at = lambda x, j: F.pmod(F.shiftrightunsigned(key(x), 21 * j), size["size"]).cast("int")
+        places = lambda x: [y for j in range(3) for y in (F.floor(at(x, j) / size["low"]).cast("int").alias(f"h{j}"), (at(x, j) % size["low"]).alias(f"p{j}"))]
+    return F.transform(keys, lambda x: F.struct(*places(x), signs(x).cast("int").alias("n"), key(x).alias("key"), F.hash(key(x)).alias("sum")))
+
+
+def _summed(placed: Column, size: int | Column, start: Callable[[Column], Column], sign: int) -> Column:
+    """The cells: each starts as start(its number), and has the entries placed there added (sign 1) or removed (-1). In a shape entries go to
+    the `high` stretches of cells first, so each is looked at high + low times and not once for every cell."""
+    one = lambda entries, j, c, at: F.aggregate(F.filter(entries, lambda x: x[f"p{j}"] == c), start(at), lambda s, x: _cell(s["n"] + sign * x["n"], s["key"].bitwiseXOR(x["key"]), s["sum"].bitwiseXOR(x["sum"])))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
 
     def subtable(j: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)),
-            lambda c: F.aggregate(F.filter(placed, lambda x: x[f"p{j}"] == c), start(c + j * size), lambda s, x: _cell(s["n"] + sign * x["n"], s["key"].bitwiseXOR(x["key"]), s["sum"].bitwiseXOR(x["sum"]))),
-        )
+        if isinstance(size, int):
+            return F.transform(numbers(F.lit(size)), lambda c: one(placed, j, c, c + j * size))
+        stretch = lambda h: _let(F.filter(placed, lambda x: x[f"h{j}"] == h), lambda entries: F.transform(numbers(size["low"]), lambda c: one(entries, j, c, c + h * size["low"] + j * size["size"])))
+        return F.flatten(F.transform(numbers(size["high"]), stretch))
 
     return F.concat(*[subtable(j) for j in range(3)])
 
@@ -75,13 +92,13 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["sum"].bitwiseXOR(y["sum"])))
 
 
-def _rounds(size: int) -> int:
+def _rounds(size: int | Column) -> Column:
     """Rounds of peeling: below the load at which sketches peel at all, some more than twice the logarithm are enough; one that isn't done
     then counts as stalled."""
-    return 16 + 2 * size.bit_length()
+    return F.lit(16 + 2 * size.bit_length()) if isinstance(size, int) else F.lit(18) + 2 * F.ceil(F.log2(size["size"])).cast("int")
 
 
-def peel(cells: Column, size: int) -> Column:
+def peel(cells: Column, size: int | Column) -> Column:
     """(ok, found): whether all was recovered, and the digests with n 1 for the first text's and -1 for the second's."""
     none = F.array().cast("array<struct<key:bigint,n:int>>")
 
@@ -93,56 +110,58 @@ def peel(cells: Column, size: int) -> Column:
             rest = _let(_placed(p, lambda x: x["n"], lambda x: x["key"], size), lambda placed: _summed(placed, size, lambda c: F.element_at(s["cells"], c + 1), -1))
             return F.struct(
                 F.when(F.size(p) > 0, rest).otherwise(s["cells"]).alias("cells"), F.concat(s["found"], p).alias("found"),
-                ((F.size(p) == 0) | (F.size(s["found"]) > 3 * size)).alias("stop"),
+                ((F.size(p) == 0) | (F.size(s["found"]) > 3 * (size if isinstance(size, int) else size["size"]))).alias("stop"),
             )
 
         return F.when(s["stop"], s).otherwise(_let(pure, remove))
 
     start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(False).alias("stop"))
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(_rounds(size))), start, step,
+        F.sequence(F.lit(1), _rounds(size)), start, step,
         lambda s: F.struct(F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["key"] == 0) & (x["sum"] == 0)).alias("ok"), s["found"].alias("found")),
     )
 
 
-def recovered(a: Column, b: Column, size: int) -> Column:
-    """How many digests of either array the other lacks, from sketches of this size; null if peeling stalls."""
-    return _let(peel(subtract(a, b), size), lambda x: F.when(x["ok"], F.size(x["found"])))
-
-
-def peeled(pairs: DataFrame, names: list[str], size: int) -> DataFrame:
-    """names, differ, ok for rows of names, a, b that are dealt out by some of names: by sketches of 3 * size cells, a row each. A cell with a
-    single digest sends its removal to the digest's cells, itself among them; removals by several cells are one. Cell -1 counts
-    the digests. Rounds follow each other without exchange, each over the cells that aren't empty yet."""
-    at = lambda j: (F.pmod(F.shiftrightunsigned("k", 21 * j), F.lit(size)) + j * size).cast("int")
-    row = lambda c, n, k, h, of: F.struct(c.cast("int").alias("c"), n.cast("int").alias("n"), k.cast("long").alias("k"), h.cast("int").alias("h"), of.cast("long").alias("of"))
-    none, zero = F.lit(None), F.lit(0)
-    total = (F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
-    signs = {"a": lambda d: F.struct(d.alias("k"), F.lit(1).alias("n")), "b": lambda d: F.struct(d.alias("k"), F.lit(-1).alias("n"))}
-    signed = F.concat(*[F.transform(x, f) for x, f in signs.items()])
-    each = pairs.select(*names, F.explode(signed).alias("x")).select(*names, "x.*")
-    cells = each.select(*names, "n", "k", F.hash("k").alias("h"), F.explode(F.array(*[at(j) for j in range(3)])).alias("c")).groupBy(*names, "c").agg(*total)
-    filled = (F.col("n") != 0) | (F.col("k") != 0) | (F.col("h") != 0)
-    for _ in range(ROUNDS):
-        single = (F.col("c") >= 0) & (F.abs("n") == 1) & (F.hash("k") == F.col("h"))
-        own = row(F.col("c"), F.col("n"), F.col("k"), F.col("h"), none)
-        sent = [row(at(j), -F.col("n"), F.col("k"), F.col("h"), F.col("k")) for j in range(3)]
-        out = F.when(single, F.array(own, *sent, row(F.lit(-1), F.lit(1), zero, zero, F.col("k")))).otherwise(F.array(own))
-        once = cells.where(filled).select(*names, F.explode(out).alias("x")).select(*names, "x.*").groupBy(*names, "c", "of").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first("h").alias("h"))
-        cells = once.groupBy(*names, "c").agg(*total)
-    done = cells.where(filled).groupBy(*names).agg(F.coalesce(F.max(F.when(F.col("c") == -1, F.col("n"))), zero).alias("differ"), (F.count_if(F.col("c") >= 0) == 0).alias("ok"))
-    return done
+def recovered(a: Column, b: Column, size: Column) -> Column:
+    """How many digests of either array the other lacks, from sketches of so many cells a subtable; null if peeling stalls. What is placed with
+    1 for a's digests and -1 for b's is the difference of their sketches."""
+    empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0))
+    sign = lambda x, n: F.transform(x, lambda d: F.struct(d.alias("key"), F.lit(n).alias("n")))
+    signed = F.concat(sign(a, 1), sign(b, -1))
+
+    def of(shape: Column) -> Column:
+        cells = _let(_placed(signed, lambda x: x["n"], lambda x: x["key"], shape), lambda placed: _summed(placed, shape, lambda c: empty, 1))
+        return _let(peel(cells, shape), lambda x: F.when(x["ok"], F.size(x["found"])))
+
+    return _let(_shape(size), of)
+
+
+def estimate(cells: Column, n: Column, m: Column) -> Column:
+    """About how many digests differ of arrays of n and m, from the difference of their fingerprints: at least n - m, at most n + m."""
+    squares = F.aggregate(cells, F.lit(0).cast("long"), lambda s, x: s + x["n"].cast("long") * x["n"]) / 3
+    apart = (n - m).cast("long")
+    return F.least(n + m, F.greatest(F.abs(apart), F.ceil(MARGIN * (squares * SIZE - apart * apart) / (SIZE - 1)))).cast("int")
+
+
+def differ(a: Column, b: Column, difference: Column) -> Column:
+    """How many digests of either array the other lacks: from the difference of the fingerprints, where that stalls from sketches as large as it
+    says; null if these stall too."""
+    again = lambda cells: recovered(a, b, F.ceil(SHARE * estimate(cells, F.size(a), F.size(b))).cast("int") + BESIDES)
+    return _let(difference, lambda cells: _let(peel(cells, SIZE), lambda x: F.when(x["ok"], F.size(x["found"])).otherwise(again(cells))))
 
 
 def differences(pairs: DataFrame, size: int = GROWTH * SIZE) -> DataFrame:
-    """pairs: columns of their own that tell them apart, the first two of which deal them out, a, b (different arrays of distinct digests;
-    materialized). The same columns without a and b, and `differ`: how many digests the arrays don't share, by sketches that grow until each pair is peeled."""
+    """pairs: columns of their own, a, b (different arrays of distinct digests; materialized). The same columns without a and b, and `differ`:
+    how many digests the arrays don't share, by sketches of `size` cells a subtable at least, and more than the pair's digests need, that grow
+    until each pair is peeled. A pair of equal digests and checksums apart, a sketch of a few times as many cells as digests always peels, so the rounds end."""
     names = [c for c in pairs.columns if c not in ("a", "b")]
-    done, left = [], pairs
+    done, left, times = [], pairs, 1
     while left.limit(1).count():
-        tried = materialize(peeled(left.repartition(*names[:2]), names, size), "peeled")
-        done.append(tried.where("ok").select(*names, "differ"))
-        left, size = materialize(left.join(tried.where("not ok").select(*names), names), "left"), GROWTH * size
+        need = GROWTH * F.ceil(SHARE * (F.size("a") + F.size("b"))).cast("int") + BESIDES
+        tried = left.withColumn("differ", recovered(F.col("a"), F.col("b"), F.greatest(F.lit(size), need) * times))
+        tried = materialize(tried.select(*names, "differ", *[F.when(F.col("differ").isNull(), F.col(x)).alias(x) for x in "ab"]), "peeled")
+        done.append(tried.where("differ is not null").select(*names, "differ"))
+        left, times = tried.where("differ is null").drop("differ"), GROWTH * times
     return reduce(DataFrame.union, done) if done else pairs.select(*names, F.lit(0).alias("differ")).limit(0)
 
 
@@ -214,7 +233,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     df = df.select("key", "key2", "doc_id", "next_doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", "next_all", F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - F.col("need")), "tail").alias("edited"))
     df = df.select("key", "key2", "doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("all"), digests(F.col("edited")).alias("edited_all"), "next_all")
     df = df.withColumns({f"_{x}": sketch(F.col(x)) for x in ("all", "edited_all", "next_all")})
-    df = df.withColumns({"d_edited": recovered(F.col("_all"), F.col("_edited_all"), SIZE), "d_next": recovered(F.col("_all"), F.col("_next_all"), SIZE)})
+    df = df.withColumns({f"d_{x}": differ(F.col("all"), F.col(f"{x}_all"), subtract(F.col("_all"), F.col(f"_{x}_all"))) for x in ("edited", "next")})
     stalled = lambda d, which, other: F.when(F.col(d).isNull(), F.struct(F.lit(which).alias("which"), F.col("all").alias("a"), F.col(other).alias("b")))
     rest = F.filter(F.array(stalled("d_edited", "edited", "edited_all"), stalled("d_next", "next", "next_all")), lambda x: x.isNotNull())
     sizes = [F.size(x).alias(f"n_{x}") for x in ("all", "edited_all", "next_all")]

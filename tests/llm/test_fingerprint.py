@@ -44,6 +44,19 @@ def test_every_difference_is_peeled_by_sketches_that_grow(spark):
     assert "array_except" not in open(fp.__file__).read()  # the sketches decide alone
 
 
+def test_few_pairs_need_more_than_their_own_row(spark, monkeypatch):
+    """Texts that differ wholly, partly and by size: the second try is as large as the first says, so pairs that are written and tried again are few."""
+    r = random.Random(11)
+    text = lambda i, n: "".join(f"Sentence {r.randrange(10**9)} of {i}. " for _ in range(n))
+    rows = [(i, text(i, r.choice([1, 20, 60, 150])), "", "", "") for i in range(150)]
+    asked, once = [], fp.differences
+    monkeypatch.setattr(fp, "differences", lambda pairs, *x: asked.append(pairs.count()) or once(pairs, *x))
+    got = fp.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute([x[:2] for x in rows])
+    assert {x.doc_id: (x.n_chars, x.edited_sha256, round(x.near_edited, 6), round(x.near_next, 6)) for x in got} == want
+    assert sum(asked) <= 15, asked  # of 300
+
+
 def paragraphs(text):
     return re.findall(fp.PARAGRAPH, text)
 
