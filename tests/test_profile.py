@@ -70,3 +70,19 @@ def test_describe_uses_no_percentile_and_takes_empty_columns(spark):
     assert got["a"] == (2, 1, 2.0, 1.414214, 1.0, 1.5, 2.0, 2.5, 3.0) and got["b"][:2] == (2, 1) and got["b"][4:] == (2.0, 3.5, 5.0, 6.5, 8.0)
     assert got["c"] == (0, 3, None, None, None, None, None, None, None)
     assert "percentile" not in open(stats.__file__).read()
+
+
+def test_the_lake_is_written_by_as_many_tasks_as_read_its_tables(spark, tmp_path, monkeypatch):
+    from tablesift.plans import lake_queries
+
+    for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey")):
+        spark.range(40).selectExpr(f"id as {key}", "concat('x', id) as name").repartition(5).write.parquet(f"{tmp_path}/in/{name}.parquet")
+    monkeypatch.setattr(lake_queries, "scratch", lambda _: f"{tmp_path}/lake")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        got = {(r.table_name, r.column_name): (r.n_rows, r.n_distinct) for r in lake_queries.lake_types(spark, f"{tmp_path}/in").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert got["orders", "name"] == (40, 40) and got["orders", "nothing"] == (40, 0)
+    assert len(list((tmp_path / "lake" / "orders").glob("part-*"))) == 5
