@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import json
 import threading
@@ -40,19 +41,35 @@ def serve(spark, answer: Callable[[str, dict | None], tuple[int, dict | None]])
 
 @contextlib.contextmanager
 def portal_service(spark, packages: list[dict]) -> Iterator[str]:
-    """An open-data portal over a list of packages (id, metadata_modified, ...), which may grow while it is served."""
+    """An open-data portal over a list of packages (id, metadata_modified, ...), which may grow while it is served. They are put in order when
+    they have changed, not for each request, so a page costs no more where there are more packages."""
+    lock, shown_of = threading.Lock(), {}
+
+    def in_order() -> tuple[list[dict], list[dict], list[str]]:
+        with lock:
+            if shown_of.get("all") != packages:  # the same objects are told apart without being looked into
+                ordered = sorted(packages, key=lambda p: (p["metadata_modified"], p["id"]))
+                shown_of.update(all=list(packages), ordered=ordered, times=[p["metadata_modified"] for p in ordered])
+            return shown_of["all"], shown_of["ordered"], shown_of["times"]
 
     def answer(path: str, _) -> tuple[int, dict]:
         query = dict(urllib.parse.parse_qsl(urllib.parse.urlparse(path).query))
-        found = list(packages)
-        if "fq" in query:
-            first, last = query["fq"].removeprefix("metadata_modified:[").removesuffix("]").split(" TO ")
-            found = [p for p in found if (first == "*" or p["metadata_modified"] >= first) and (last == "*" or p["metadata_modified"] <= last)]
-        if "sort" in query:
-            found = sorted(found, key=lambda p: (p["metadata_modified"], p["id"]), reverse=" desc" in query["sort"])
-        at = int(query.get("start", 0))
-        shown = found[at : at + int(query["rows"])]
-        return 200, {"result": {"count": len(found), "results": shown if "fl" not in query else [{k: p[k] for k in query["fl"].split(",")} for p in shown]}}
+        found, ordered, times = in_order()
+        if "fq" in query or "sort" in query:
+            begin, end = 0, len(ordered)
+            if "fq" in query:
+                first, last = query["fq"].removeprefix("metadata_modified:[").removesuffix("]").split(" TO ")
+                begin = 0 if first == "*" else bisect.bisect_left(times, first)
+                end = len(ordered) if last == "*" else max(begin, bisect.bisect_right(times, last))
+            at, rows, total = int(query.get("start", 0)), int(query["rows"]), end - begin
+            if " desc" in query.get("sort", ""):
+                shown = ordered[max(begin, end - at - rows) : max(begin, end - at)][::-1]
+            else:
+                shown = ordered[begin + at : min(end, begin + at + rows)]
+        else:
+            at, total = int(query.get("start", 0)), len(found)
+            shown = found[at : at + int(query["rows"])]
+        return 200, {"result": {"count": total, "results": shown if "fl" not in query else [{k: p[k] for k in query["fl"].split(",")} for p in shown]}}
 
     with serve(spark, answer) as url:
         yield url

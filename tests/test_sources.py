@@ -71,3 +71,39 @@ def test_streamed_index_equals_the_batch_one(spark, tmp_path):
         append_cells(spark, f"{tmp_path}/in", "t string, v string", "t", "v", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").select("table_id", "value")
     assert sorted(map(tuple, got.collect())) == [("t1", "ab"), ("t2", "ab")]
+
+
+def test_the_portal_is_put_in_order_once_for_each_change(spark):
+    import json
+    import urllib.parse
+    import urllib.request
+
+    from tablesift.plans import services
+
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return super().__getitem__(key)
+
+    packages = [Counted(id=f"p{i:03}", metadata_modified=f"t{(i * 7) % 50:02}") for i in range(200)]
+    by_time = lambda: sorted((p.get("metadata_modified"), p.get("id")) for p in packages)
+    with services.portal_service(spark, packages) as url:
+        def ask(**query):
+            with urllib.request.urlopen(f"{url}/package_search?{urllib.parse.urlencode(query)}") as reply:
+                got = json.load(reply)["result"]
+            return got["count"], [(p["metadata_modified"], p["id"]) for p in got["results"]]
+
+        order = by_time()
+        within = [x for x in order if "t10" <= x[0] <= "t20"]
+        for at in (0, 30, 60):
+            assert ask(fq="metadata_modified:[t10 TO t20]", sort="metadata_modified asc, id asc", rows=20, start=at) == (len(within), within[at : at + 20])
+            assert ask(fq="metadata_modified:[* TO t20]", sort="metadata_modified desc, id desc", rows=20, start=at)[1] == [x for x in order if x[0] <= "t20"][::-1][at : at + 20]
+        assert ask(rows=3, start=1)[1] == [(p.get("metadata_modified"), p.get("id")) for p in packages[1:4]]
+        before = Counted.looked
+        for at in range(10):
+            ask(sort="metadata_modified asc, id asc", rows=20, start=at)
+        assert Counted.looked == before  # not sorted again
+        packages.append(Counted(id="new", metadata_modified="t99"))
+        assert ask(sort="metadata_modified desc, id desc", rows=1, start=0) == (201, [("t99", "new")])
