@@ -39,3 +39,19 @@ def test_context(spark):
     assert context.columns == ("people", "city_name", "kind") and "CREATE TABLE R" in context.text() and "x, y" in context.text() and "notes" not in context.text()
     assert prompts.leaks("use city_name", context.columns) and not prompts.leaks("which kind", context.columns) and prompts.leaks("the 'kind'", context.columns)
     assert "Answer: <number>" in prompts.scoring_prompt(context, context, 0, 10)
+
+
+def test_a_table_is_cleaned_once_for_all_its_queries(spark, monkeypatch):
+    from tablesift.config import Generation
+    from tablesift.operators import profile, workflow
+
+    made, load = [], profile.load_table
+    monkeypatch.setattr(workflow.profile, "load_table", lambda df, *x: made.append(1) or load(df, *x))
+    tables = {n: spark.createDataFrame([(i, f"{n} {i % 3}") for i in range(9)], f"k int, {n} string") for n in ("a", "b", "c")}
+    pairs = spark.createDataFrame([("a", s, "k", "k", None, None) for s in ("b", "c")], "r_rsc_id string, s_rsc_id string, r_col_name string, s_col_name string, r_rsc_name string, s_rsc_name string")
+    loaded = {}
+    settings = Generation(levels=("simple",), max_reviews=1)
+    first = [x[1:6] for x in workflow.generate_records(pairs, tables, settings, loaded=loaded)]
+    again = [x[1:6] for x in workflow.generate_records(pairs, tables, settings, loaded=loaded)]
+    assert len(made) == 3 and first == again and len(first) == 3 and all(x[2] for x in first)
+    assert all("clean" not in x and x.count("Scan") + x.count("Relation") >= 1 for x in (t._jdf.queryExecution().optimizedPlan().toString() for t in loaded.values()))
