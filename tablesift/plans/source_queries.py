@@ -223,9 +223,9 @@ def generated_records(spark, sf_dir):
 def leaky_questions(spark, sf_dir):
     """Questions that quote a resource's name or use a column's never pass."""
     tables, pairs = _pairs_of_levels(spark, sf_dir)
-    rows = []
+    rows, loaded = [], {}
     for case, words in enumerate(("all of them", "what 'Nations' has", "each n_name", "the customers")):
-        for r in workflow.generate_records(pairs.limit(1), tables, Generation(levels=("simple",), max_reviews=1), ask=lambda sql, review, w=words: (w, 0, 0)):
+        for r in workflow.generate_records(pairs.limit(1), tables, Generation(levels=("simple",), max_reviews=1), ask=lambda sql, review, w=words: (w, 0, 0), loaded=loaded):
             rows.append((case, r[1], r[3], r[21]))
     return spark.createDataFrame(rows, "case int, type string, success boolean, revisions int")
 
