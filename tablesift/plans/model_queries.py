@@ -1,8 +1,10 @@
-"""Queries that ask a language model over HTTP. A stand-in service on the driver's host answers by rule, and fails every third call."""
+"""Queries that ask a language model over HTTP. A stand-in service, on the driver's host or beside each task that asks, answers by rule, and
+fails every third call."""
 
 from __future__ import annotations
 
 import contextlib
+import functools
 import json
 import re
 import threading
@@ -14,14 +16,11 @@ from ..operators import debate, sqlgen
 from ..sources import models
 from ..sources.exchange import scratch
 from .lake_queries import read
-from .services import serve
+from .services import Answer, listen, serve
 from .stats_queries import ORACLE as STATS_ORACLE
 
 
-@contextlib.contextmanager
-def stand_in(spark, reply: Callable[[str, int], str], fail_every: int = 3) -> Iterator[tuple[models.Endpoint, list[str]]]:
-    """A service that replies by a function of (prompt, seed); gives its endpoint and the prompts it was asked so far."""
-    asked: list[str] = []
+def _replier(reply: Callable[[str, int], str], fail_every: int, asked: list[str] | None = None) -> Answer:
     lock, calls = threading.Lock(), [0]
 
     def answer(_, sent: dict) -> tuple[int, dict | None]:
@@ -30,14 +29,34 @@ def stand_in(spark, reply: Callable[[str, int], str], fail_every: int = 3) -> It
             calls[0] += 1
             if fail_every and calls[0] % fail_every == 0:
                 return 503, None
-            asked.append(prompt)
+            if asked is not None:
+                asked.append(prompt)
         text = reply(prompt, sent["seed"])
         return 200, {"choices": [{"message": {"content": text}}], "usage": {"prompt_tokens": len(prompt.split()), "completion_tokens": len(text.split())}}
 
-    with serve(spark, answer) as url:
+    return answer
+
+
+@contextlib.contextmanager
+def stand_in(spark, reply: Callable[[str, int], str], fail_every: int = 3) -> Iterator[tuple[models.Endpoint, list[str]]]:
+    """A service that replies by a function of (prompt, seed); gives its endpoint and the prompts it was asked so far."""
+    asked: list[str] = []
+    with serve(spark, _replier(reply, fail_every, asked)) as url:
         yield models.Endpoint(f"{url}/v1/chat/completions", "stand-in", wait=0.01, longest=0.1, tries=12), asked
 
 
+@contextlib.contextmanager
+def _replica(reply: Callable[[str, int], str], fail_every: int) -> Iterator[str]:
+    with listen(_replier(reply, fail_every), "127.0.0.1") as port:
+        yield f"http://127.0.0.1:{port}/v1/chat/completions"
+
+
+def stand_ins(spark, reply: Callable[[str, int], str], fail_every: int = 3) -> models.Endpoint:
+    """Such a service for each task that asks, on its own host: no prompts pass through the driver, and more cores bring more services."""
+    tasks = max(models.Endpoint.tasks, 4 * spark.sparkContext.defaultParallelism)
+    return models.Endpoint("", "stand-in", tasks=tasks, wait=0.01, longest=0.1, tries=12, beside=functools.partial(_replica, reply, fail_every))
+
+
 def _debater(prompt: str, seed: int) -> str:
     base, _, others = prompt.partition("\n\nOther solvers answered:\n")
     return f"Answer: {min(map(int, re.findall(r'Answer: (\d+)', others)))}" if others else f"Answer: {(len(base) + seed) % 11}"
@@ -47,9 +66,8 @@ def debate_over_http(spark, sf_dir):
     """The debate, asked round by round through the client."""
     prompts = read(spark, sf_dir, "conversations").where("turn = 0").groupBy(F.col("conv_id").alias("pair_id")).agg(F.max("text").alias("prompt"))
     store = f"{scratch(spark)}/answers"
-    with stand_in(spark, _debater) as (endpoint, _):
-        found = debate.replies_by_rounds(prompts, lambda rows: models.answers(rows, endpoint, store))
-    return debate.debate_scores(found)
+    endpoint = stand_ins(spark, _debater)
+    return debate.debate_scores(debate.replies_by_rounds(prompts, lambda rows: models.answers(rows, endpoint, store)))
 
 
 def _author(prompt: str, seed: int) -> str:

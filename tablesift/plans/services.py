@@ -1,4 +1,4 @@
-"""Small HTTP services on the driver's host, for queries whose sources are reached over HTTP."""
+"""Small HTTP services on the driver's host or beside a task, for queries whose sources are reached over HTTP."""
 
 from __future__ import annotations
 
@@ -11,11 +11,18 @@ from collections.abc import Callable, Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 
+Answer = Callable[[str, dict | None], tuple[int, dict | None]]
+
+
 @contextlib.contextmanager
-def serve(spark, answer: Callable[[str, dict | None], tuple[int, dict | None]]) -> Iterator[str]:
-    """Serves answer(path and query, body sent as JSON or None), a status and what to reply as JSON; gives the address."""
+def listen(answer: Answer, host: str = "") -> Iterator[int]:
+    """Serves answer(path and query, body sent as JSON or None), a status and what to reply as JSON; gives the port."""
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"  # connections stay open
+        wbufsize = -1  # headers and body leave together
+        disable_nagle_algorithm = True
+
         def _answer(self) -> None:
             size = int(self.headers.get("Content-Length") or 0)
             status, reply = answer(self.path, json.loads(self.rfile.read(size)) if size else None)
@@ -30,15 +37,22 @@ def serve(spark, answer: Callable[[str, dict | None], tuple[int, dict | None]])
         def log_message(self, *args) -> None:
             pass
 
-    server = ThreadingHTTPServer(("", 0), Handler)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
+    server = ThreadingHTTPServer((host, 0), Handler)
+    threading.Thread(target=lambda: server.serve_forever(0.05), daemon=True).start()
     try:
-        yield f"http://{spark.conf.get('spark.driver.host', '127.0.0.1')}:{server.server_port}"
+        yield server.server_port
     finally:
         server.shutdown()
         server.server_close()
 
 
+@contextlib.contextmanager
+def serve(spark, answer: Answer) -> Iterator[str]:
+    """A service on the driver's host; gives the address."""
+    with listen(answer) as port:
+        yield f"http://{spark.conf.get('spark.driver.host', '127.0.0.1')}:{port}"
+
+
 @contextlib.contextmanager
 def portal_service(spark, packages: list[dict]) -> Iterator[str]:
     """An open-data portal over a list of packages (id, metadata_modified, ...), which may grow while it is served. They are put in order when

@@ -7,13 +7,18 @@ what was not yet written is asked again. Prompts and replies stay distributed.
 
 from __future__ import annotations
 
+import contextlib
+import http.client
 import json
+import threading
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from email.message import Message
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +34,8 @@ AGAIN = (408, 409, 425, 429, 500, 502, 503, 504)
 @dataclass(frozen=True)
 class Endpoint:
     """url takes POSTs in the chat-completions format. At most tasks * at_once requests are under way. Before the second of `tries` attempts
-    a task waits `wait` seconds, then twice as long each time, at most `longest`, or as long as the service says."""
+    a task waits `wait` seconds, then twice as long each time, at most `longest`, or as long as the service says. beside: opens a service
+    for a task alone, on the task's host, and gives its url; it is asked instead of url."""
 
     url: str
     model: str
@@ -41,31 +47,110 @@ class Endpoint:
     wait: float = 0.5
     longest: float = 30.0
     timeout: float = 120.0
-
-
-def call(endpoint: Endpoint, prompt: str, seed: int) -> tuple[str | None, int, int, str | None]:
-    """(reply, tokens in, tokens out, error). An answer that can't be read is tried again like one that didn't come."""
+    beside: Callable[[], contextlib.AbstractContextManager[str]] | None = None
+
+
+class Line:
+    """Connections to a service that stay open from one request to the next, one for each thread."""
+
+    def __init__(self, url: str, timeout: float):
+        self.url, self.timeout, self.to = url, timeout, urllib.parse.urlsplit(url)
+        self.path = urllib.parse.urlunsplit(("", "", self.to.path or "/", self.to.query, ""))
+        self.direct = self.to.scheme not in urllib.request.getproxies() or bool(urllib.request.proxy_bypass(self.to.netloc))
+        self.open: dict[int, http.client.HTTPConnection] = {}
+
+    def post(self, body: bytes, headers: dict[str, str]) -> tuple[int, Message, bytes]:
+        """(status, headers, body). What a service closed while it was idle is opened anew."""
+        if not self.direct:
+            try:
+                with urllib.request.urlopen(urllib.request.Request(self.url, body, headers), timeout=self.timeout) as found:
+                    return found.status, found.headers, found.read()
+            except urllib.error.HTTPError as failure:
+                return failure.code, failure.headers, failure.read()
+        me = threading.get_ident()
+        while True:
+            line = self.open.pop(me, None)
+            used = line is not None
+            if not used:
+                line = (http.client.HTTPSConnection if self.to.scheme == "https" else http.client.HTTPConnection)(self.to.hostname, self.to.port, timeout=self.timeout)
+                try:
+                    line.connect()
+                except OSError as failure:
+                    raise urllib.error.URLError(failure) from failure
+            try:
+                line.request("POST", self.path, body, headers)
+                found = line.getresponse()
+                out = found.status, found.headers, found.read()
+            except BaseException as failure:
+                line.close()
+                if used and isinstance(failure, ConnectionError):
+                    continue
+                raise
+            if found.will_close:
+                line.close()
+            else:
+                self.open[me] = line
+            return out
+
+    def close(self) -> None:
+        for line in self.open.values():
+            line.close()
+
+
+#: reply, tokens in, tokens out, error
+Said = tuple[str | None, int, int, str | None]
+
+
+def _once(endpoint: Endpoint, line: Line, prompt: str, seed: int) -> tuple[Said, float | None]:
+    """What one request gave; the seconds that the service says to wait, 0 if it doesn't say, None if the request need not be sent again."""
     body = json.dumps({"model": endpoint.model, "temperature": endpoint.temperature, "seed": seed, "messages": [{"role": "user", "content": prompt}]}).encode()
-    request = urllib.request.Request(endpoint.url, body, {"Content-Type": "application/json", **dict(endpoint.headers)})
-    error = "never asked"
+    try:
+        status, headers, found = line.post(body, {"Content-Type": "application/json", **dict(endpoint.headers)})
+        if not 200 <= status < 300:
+            after = headers.get("Retry-After", "")
+            return (None, 0, 0, f"HTTP {status}"), None if status not in AGAIN else float(after) if after.replace(".", "", 1).isdigit() else 0.0
+        out = json.loads(found)
+        used = out.get("usage") or {}
+        return (out["choices"][0]["message"]["content"], int(used.get("prompt_tokens", 0)), int(used.get("completion_tokens", 0)), None), None
+    except (OSError, http.client.HTTPException, ValueError, KeyError, IndexError, TypeError) as failure:
+        return (None, 0, 0, f"{type(failure).__name__}: {failure}"[:300]), 0.0
+
+
+def call_all(endpoint: Endpoint, line: Line, pool: ThreadPoolExecutor, asked: list[tuple[str, int]]) -> list[Said]:
+    """What came for each (prompt, seed). An answer that can't be read is tried again like one that didn't come. What is to be tried again
+    waits until the others were asked, so a batch waits once before each attempt, not once for each of its requests."""
+    said: list[Said] = [(None, 0, 0, "never asked")] * len(asked)
+    left = list(range(len(asked)))
     for n in range(endpoint.tries):
-        pause = min(endpoint.longest, endpoint.wait * 2**n)
+        after: list[float] = []
+        again = []
+        for i, (what, pause) in zip(left, pool.map(lambda i: _once(endpoint, line, *asked[i]), left)):
+            said[i] = what
+            if pause is not None:
+                again.append(i)
+                after.append(pause or endpoint.wait * 2**n)
+        left = again
+        if not left or n + 1 == endpoint.tries:
+            break
+        time.sleep(min(endpoint.longest, max(after)))
+    return said
+
+
+@contextlib.contextmanager
+def calls(endpoint: Endpoint) -> Iterator[Callable[[list[tuple[str, int]]], list[Said]]]:
+    """call_all over connections that stay open in between, to the endpoint's service or one of the task's own."""
+    with endpoint.beside() if endpoint.beside else contextlib.nullcontext(endpoint.url) as url, ThreadPoolExecutor(endpoint.at_once) as pool:
+        line = Line(url, endpoint.timeout)
         try:
-            with urllib.request.urlopen(request, timeout=endpoint.timeout) as found:
-                out = json.load(found)
-            used = out.get("usage") or {}
-            return out["choices"][0]["message"]["content"], int(used.get("prompt_tokens", 0)), int(used.get("completion_tokens", 0)), None
-        except urllib.error.HTTPError as failure:
-            error = f"HTTP {failure.code}"
-            if failure.code not in AGAIN:
-                break
-            after = failure.headers.get("Retry-After", "")
-            pause = min(endpoint.longest, float(after)) if after.replace(".", "", 1).isdigit() else pause
-        except (OSError, ValueError, KeyError, IndexError, TypeError) as failure:
-            error = f"{type(failure).__name__}: {failure}"[:300]
-        if n + 1 < endpoint.tries:
-            time.sleep(pause)
-    return None, 0, 0, error
+            yield lambda asked: call_all(endpoint, line, pool, asked)
+        finally:
+            line.close()
+
+
+def call(endpoint: Endpoint, prompt: str, seed: int) -> Said:
+    """One prompt's reply."""
+    with calls(endpoint) as ask:
+        return ask([(prompt, seed)])[0]
 
 
 def answers(prompts: DataFrame, endpoint: Endpoint, store: str) -> DataFrame:
@@ -79,11 +164,11 @@ def answers(prompts: DataFrame, endpoint: Endpoint, store: str) -> DataFrame:
     once = keyed.where("_key is not null").groupBy("_key").agg(F.first("prompt").alias("prompt"), F.first(seed).alias("seed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ThreadPoolExecutor(endpoint.at_once) as pool:
+        with calls(endpoint) as ask:
             for batch in batches:
                 keys, texts, seeds = (batch.column(i).to_pylist() for i in range(3))
-                found = list(pool.map(lambda x: call(endpoint, *x), zip(texts, seeds)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, *zip(*found)), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["key", "reply", "tokens_in", "tokens_out", "error"])
+                found = ask(list(zip(texts, seeds)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, *(zip(*found) if found else [[]] * 4)), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["key", "reply", "tokens_in", "tokens_out", "error"])
 
     missing = once.join(stored(spark, store).select(F.col("key").alias("_key")), "_key", "left_anti")
     new = materialize(missing.repartition(endpoint.tasks, "_key").mapInArrow(run, REPLY))

@@ -2,12 +2,14 @@
 
 import dataclasses
 import json
+import types
 
 from pyspark.sql import functions as F
 
 from tablesift.config import Evaluation
 from tablesift.operators import debate, sqlgen, workflow
-from tablesift.plans.model_queries import stand_in
+from tablesift.plans import model_queries, services
+from tablesift.plans.model_queries import stand_in, stand_ins
 from tablesift.sources import models
 
 
@@ -42,6 +44,36 @@ def test_a_wrong_request_is_not_repeated():
     assert models.call(models.Endpoint("http://127.0.0.1:1/none", "m", tries=2, wait=0.0), "x", 0)[3].startswith("URLError")
 
 
+def test_a_batch_waits_once_an_attempt_and_keeps_its_connections(spark, monkeypatch):
+    waits, accepted = [], []
+    monkeypatch.setattr(models, "time", types.SimpleNamespace(sleep=waits.append))
+    accept = services.ThreadingHTTPServer.get_request
+    monkeypatch.setattr(services.ThreadingHTTPServer, "get_request", lambda self: accepted.append(0) or accept(self))
+    endpoint = stand_ins(spark, lambda prompt, seed: f"{prompt}/{seed}")
+    with models.calls(endpoint) as ask:
+        for n in (3000, 1, 0):  # a third fails, then a third of these, ...: none for good
+            assert ask([(f"p{i}", i % 2) for i in range(n)]) == [(f"p{i}/{i % 2}", 1, 1, None) for i in range(n)]
+    assert len(waits) < 2 * endpoint.tries and 0 < len(accepted) <= endpoint.at_once
+
+
+def test_a_connection_closed_while_idle_is_opened_anew():
+    with services.listen(lambda path, sent: (200, {"sent": sent, "path": path})) as port:
+        line = models.Line(f"http://127.0.0.1:{port}/a?b=c", 5.0)
+        for n in range(3):
+            assert json.loads(line.post(b"[1]", {})[2]) == {"sent": [1], "path": "/a?b=c"}
+            [kept] = line.open.values()
+            kept.sock.shutdown(2)
+        line.close()
+
+
+def test_the_debate_sends_no_prompt_through_the_driver(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("a service on the driver's host")
+
+    monkeypatch.setattr(model_queries, "serve", none)
+    assert model_queries.debate_over_http(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_debate_by_rounds_equals_the_debate_in_tasks(spark, tmp_path):
     prompts = spark.createDataFrame([(i, "p" * (i % 13)) for i in range(40)], "pair_id long, prompt string")
     settings = Evaluation(solvers=3, rounds=3)
