@@ -51,3 +51,44 @@ def test_texts_as_sets(spark):
     assert [(x.r_table_id, x.s_table_id, x.size_intersection) for x in found] == [(1, 4, 1)] and np.isclose(found[0].jaccard, 0.333)
     none = tiles.value_sets(spark.createDataFrame([], "table_id string, column_id int, value string"))
     assert search.similar_sets(none, 0.2).count() == 0 and search.top_k_sets(none, F.lit(True), 3).count() == 0
+
+
+def kinds_of_sets(n=240, size=60):
+    """Sets of two kinds, each with frequent values of its own and a few of all, and near copies."""
+    r = random.Random(7)
+    every = [set(r.sample(range(10_000 * (i % 2), 10_000 * (i % 2) + 3 * size), size // 2)) | {20_000 + r.randrange(9) for _ in range(3)} | set(range(30_000 + 1000 * i, 30_000 + 1000 * i + size // 2)) for i in range(n)]
+    return every + [set(sorted(x)[: int(len(x) * r.uniform(0.25, 1))]) | {-1 - i} for i, x in enumerate(every[:40])]
+
+
+def test_most_pairs_are_ruled_out_and_not_counted(spark, monkeypatch):
+    def counted(a, b):
+        raise AssertionError("all pairs were counted")
+
+    monkeypatch.setattr(tiles, "common", counted)
+    monkeypatch.setattr(tiles, "LEFT", 0.2)
+    monkeypatch.setattr(tiles, "MOST", 1 << 15)
+    for size, names in ((60, {}), (700, {}), (60, {"ROWS": 7, "COUNTED": 3, "PAIRS": 50, "COLUMNS": (4, 16)})):  # 700: more than the digits hold at once
+        for name, value in names.items():
+            monkeypatch.setattr(tiles, name, value)
+        data = kinds_of_sets(size=size)
+        sets = spark.createDataFrame([(i, 0, sorted(x)) for i, x in enumerate(data)], "table_id long, column_id int, ids array<long>")
+        all_ = tiles.blocks(sets, wide=True)
+        batch = all_.select(*[F.col(c).alias(f"{x}_{c}") for x in "rs" for c in all_.columns]).toArrow().combine_chunks().to_batches()[0]
+        for least in (0.2, 0.5):
+            got = {}
+            for p, q in itertools.product(range(batch.num_rows), repeat=2):
+                a, b = tiles._Block(batch, p, "r"), tiles._Block(batch, q, "s")
+                got |= {(a.keys[0][int(i)].as_py(), b.keys[0][int(j)].as_py()): int(k) for i, j, k in zip(*tiles.near(a, b, least))}
+            want = {(i, j): len(x & y) for i, x in enumerate(data) for j, y in enumerate(data) if len(x & y) >= least * len(x | y)}
+            assert got == want and len(want) > len(data)
+
+
+def test_blocks_hold_one_kind_of_sets(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "NARROW", 20)
+    data = kinds_of_sets()[:240]
+    sets = spark.createDataFrame([(i, 0, sorted(x)) for i, x in enumerate(data)], "table_id long, column_id int, ids array<long>")
+    found = [[i % 2 for i in x.tables] for x in tiles.blocks(sets, wide=True).collect()]
+    assert sum(map(len, found)) == 240 and sum(min(sum(x), len(x) - sum(x)) for x in found) <= 20 * len(found) // 2
+    monkeypatch.setattr(tiles, "LEFT", -1)  # then all are counted
+    got = {(x.r_table_id, x.s_table_id): x.k for x in tiles.pairs_within(sets, 0.2).collect()}
+    assert got == {(i, j): len(data[i] & data[j]) for i, j in itertools.combinations(range(240), 2) if len(data[i] & data[j]) >= 0.2 * len(data[i] | data[j])}
